@@ -1,9 +1,12 @@
 """The queries of the corpus operators and, where SQL can express one, its SQL."""
 
-from barsmith.llm import fingerprints
+from barsmith.llm import fingerprints, mixing
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op8_mixing": mixing.op8_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.ORACLE,
+}
