@@ -1,9 +1,11 @@
 """The queries of the corpus operators and, where SQL can express one, its SQL."""
 
-from barsmith.llm import fingerprints, mixing
+from barsmith.llm import fingerprints, mixing, packing, simhash
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op3_packing": packing.op3_packing,
+    "op5_simhash": simhash.op5_simhash,
     "op8_mixing": mixing.op8_mixing,
 }
 
