@@ -1,12 +1,13 @@
 """The queries of the corpus operators and, where SQL can express one, its SQL."""
 
-from barsmith.llm import fingerprints, mixing, packing, quality, simhash, toxicity
+from barsmith.llm import fingerprints, lattice, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
+    "op7_embeddings": lattice.op7_embeddings,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
 }
