@@ -1,17 +1,21 @@
 """The queries of the corpus operators and, where SQL can express one, its SQL."""
 
-from barsmith.llm import fingerprints, lattice, mixing, packing, quality, simhash, toxicity
+from barsmith.llm import fingerprints, lattice, licenses, mixing, packing, quality, simhash, toxicity, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_licenses": licenses.op2_licenses,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
+    "op6_url_filter": urls.op6_url_filter,
     "op7_embeddings": lattice.op7_embeddings,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_licenses": licenses.ORACLE,
+    "op6_url_filter": urls.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
