@@ -1,6 +1,7 @@
 """The queries of the corpus operators and, where SQL can express one, its SQL."""
 
-from barsmith.llm import fingerprints, lattice, licenses, mixing, packing, quality, simhash, toxicity, urls
+import corpus_pipeline
+from barsmith.llm import chat, fingerprints, lattice, licenses, mixing, packing, quality, simhash, toxicity, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -12,6 +13,8 @@ QUERIES = {
     "op7_embeddings": lattice.op7_embeddings,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
+    "op10_chat": chat.op10_chat,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
