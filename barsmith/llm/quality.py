@@ -140,7 +140,8 @@ def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label: s
         for b in batches:
             for f, i, part in zip(b["fold"], b["i"], b["part"]):
                 parts[f, i] = parts.get((f, i), 0) + part
-        yield pd.DataFrame({"fold": [f for f, _ in parts], "i": [i for _, i in parts], "part": list(parts.values())})
+        if parts:  # a partition may be empty
+            yield pd.DataFrame({"fold": [f for f, _ in parts], "i": [i for _, i in parts], "part": list(parts.values())})
 
     shape = "fold int, i int, part array<double>"
     normal = np.zeros((folds, size + 1, size + 2))
