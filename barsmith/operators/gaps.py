@@ -66,7 +66,7 @@ def mitigation(bars: DataFrame, gaps: DataFrame, block: int = LOOK) -> DataFrame
     last = rows.groupBy("symbol").agg(F.max("time").alias("_last"))
     found = found.join(after, [*key, "index"], "left").join(last, "symbol")
     depth = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("_touch") - F.col("_after"), F.col("size"))))
-    return found.select("symbol", "direction", "index", "time", "start_time", F.coalesce("filled_time", "_last").alias("end_time"), "bottom", "top", "midpoint", "size", "size_percent", F.col("mitigated_time").isNotNull().alias("mitigated"), "mitigated_time", F.col("filled_time").isNotNull().alias("filled"), "filled_time", F.coalesce(depth, F.lit(0.0)).alias("penetration"))
+    return found.select("symbol", "direction", "index", "time", "start_time", F.coalesce("filled_time", "_last").alias("end_time"), "bottom", "top", "midpoint", "size", "size_percent", F.col("mitigated_time").isNotNull().alias("mitigated"), "mitigated_time", F.col("filled_time").isNotNull().alias("filled"), "filled_time", F.when(F.col("_after").isNull(), F.lit(0.0)).otherwise(F.coalesce(depth, F.lit(0.0))).alias("penetration"))
 
 
 def fair_value_gaps(bars: DataFrame, min_size_percent: float = 0.0, include_filled: bool = True) -> DataFrame:

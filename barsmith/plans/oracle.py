@@ -43,7 +43,7 @@ GAPS = """g0 as (select z.symbol, case when x.high < z.low then 'bullish' else '
 g as (select *, (top + bottom) / 2 as midpoint, top - bottom as size, (top - bottom) / ((top + bottom) / 2) * 100 as size_percent from g0),
 gm as (select g.symbol, g.direction, g.i, min(case when (g.direction = 'bullish' and y.low <= g.top) or (g.direction = 'bearish' and y.high >= g.bottom) then y.time end) as mitigated_time,
   min(case when (g.direction = 'bullish' and y.low <= g.bottom) or (g.direction = 'bearish' and y.high >= g.top) then y.time end) as filled_time,
-  coalesce(greatest(0.0, least(1.0, case g.direction when 'bullish' then (any_value(g.top) - min(y.low)) / any_value(g.size) else (max(y.high) - any_value(g.bottom)) / any_value(g.size) end)), 0.0) as penetration
+  case when count(y.i) = 0 then 0.0 else coalesce(greatest(0.0, least(1.0, case g.direction when 'bullish' then (any_value(g.top) - min(y.low)) / any_value(g.size) else (max(y.high) - any_value(g.bottom)) / any_value(g.size) end)), 0.0) end as penetration
   from g left join b y on y.symbol = g.symbol and y.i > g.i group by g.symbol, g.direction, g.i),
 gs as (select g.symbol, g.direction, g.i as "index", g.time, g.start_time, coalesce(gm.filled_time, (select max(time) from b where b.symbol = g.symbol)) as end_time, bottom, top, midpoint, size, size_percent, mitigated_time is not null as mitigated, mitigated_time, filled_time is not null as filled, filled_time, penetration
   from g join gm on gm.symbol = g.symbol and gm.direction = g.direction and gm.i = g.i)"""
