@@ -39,7 +39,7 @@ def unwrap(rows: DataFrame, payload: str = "payload") -> DataFrame:
     lists = [F.from_json(F.get_json_object(payload, f"$.{k}"), "array<string>") for k in "tohlcv"]
     empty = F.transform(lists[0], lambda _: F.lit("0"))
     zipped = F.arrays_zip(*(c.alias(k) for c, k in zip([*lists[:5], F.coalesce(lists[5], empty)], "tohlcv")))
-    columnar = F.transform(zipped, lambda z: F.create_map(*(x for i, k in enumerate("tohlcv") for x in (F.lit(k), z[str(i)]))))
+    columnar = F.transform(zipped, lambda z: F.create_map(*(x for k in "tohlcv" for x in (F.lit(k), z[k]))))
     # a list with null records only is the wrong reading of another form
     usable = [F.when(F.exists(c, lambda m: m.isNotNull()), F.filter(c, lambda m: m.isNotNull())) for c in listed]
     return rows.select("symbol", F.posexplode(F.coalesce(*usable, F.when(lists[0].isNotNull(), columnar))).alias("ingest_seq", "record"))

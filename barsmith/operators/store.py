@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barsmith.operators import ranges
 
 KEY = ["symbol", "interval", "time"]
+POINTER = "number int, path string, schema string"
 
 
 def latest(existing: DataFrame, incoming: DataFrame, keys=KEY) -> DataFrame:
@@ -40,26 +44,28 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _versions(self, name: str) -> list[str]:
-        pointers = f"{self.folder}/{name}/_pointers"
+    def _versions(self, name: str) -> list:
+        """The writes of a table in order: number, path and schema, one short row each."""
         try:
-            rows = self.spark.read.parquet(pointers).orderBy("number").collect()  # one short row a write
-        except Exception as e:
+            return self.spark.read.schema(POINTER).parquet(f"{self.folder}/{name}/_pointers").orderBy("number").collect()
+        except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return []
             raise
-        return [r["path"] for r in rows]
 
     def read(self, name: str) -> DataFrame | None:
         found = self._versions(name)
-        return self.spark.read.parquet(found[-1]) if found else None
+        return self._open(found[-1]["path"], found[-1]["schema"]) if found else None
+
+    def _open(self, path: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(path)
 
     def replace(self, name: str, rows: DataFrame, partition_by=()) -> DataFrame:
         number = len(self._versions(name))
-        path = f"{self.folder}/{name}/v{number:06d}-{uuid.uuid4().hex[:8]}"
+        path, schema = f"{self.folder}/{name}/v{number:06d}-{uuid.uuid4().hex[:8]}", rows.schema.json()
         rows.write.partitionBy(*partition_by).parquet(path)
-        self.spark.createDataFrame([(number, path)], "number int, path string").coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}/_pointers")
-        return self.spark.read.parquet(path)
+        self.spark.createDataFrame([(number, path, schema)], POINTER).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}/_pointers")
+        return self._open(path, schema)
 
     def save_candles(self, candles: DataFrame) -> DataFrame:
         old = self.read("candles")
