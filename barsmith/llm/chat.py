@@ -7,8 +7,8 @@ length, a question mark at the end, an empty line before it). Viterbi finds the
 lines from one beginning to the next are rendered as one turn: ``<|role|>``, the text without its
 marker, ``<|end|>``.
 
-Conversations are cut into blocks of ``block`` turns, each read with the ``context`` turns before it, so
-that one endless conversation is many small tasks; within a block lines stream, and after ``window`` lines
+Conversations are cut into blocks of BLOCK turns, each read with the CONTEXT turns before and after it, so
+that one endless conversation is many small tasks; within a block lines stream, and after WINDOW rows
 the path so far is settled, so memory is bounded. Lines are sorted by conversation, block and place.
 
 Nulls: a null text is an empty line; a null conversation makes each row its own conversation; a null turn
@@ -121,8 +121,10 @@ def format_turns(lines: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     rows = lines.select(F.col(conv).cast("bigint").alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     group = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "t"))
     block = F.floor(F.coalesce("turn", F.lit(0)) / BLOCK)
-    ahead = F.coalesce(F.col("turn"), F.lit(0)) - block * BLOCK >= BLOCK - CONTEXT
-    dealt = rows.select("*", group.alias("lone"), F.explode(F.when(ahead, F.array(F.struct(block.alias("block"), F.lit(True).alias("mine")), F.struct((block + 1).alias("block"), F.lit(False).alias("mine")))).otherwise(F.array(F.struct(block.alias("block"), F.lit(True).alias("mine"))))).alias("b")).select("conv_id", "lone", "turn", "t", "b.block", "b.mine")
+    at = F.coalesce(F.col("turn"), F.lit(0)) - block * BLOCK
+    place = lambda b, mine, here: F.struct(b.alias("block"), F.lit(mine).alias("mine"), here.alias("here"))
+    places = F.filter(F.array(place(block, True, F.lit(True)), place(block + 1, False, at >= BLOCK - CONTEXT), place(block - 1, False, at < CONTEXT)), lambda p: p["here"])
+    dealt = rows.select("*", group.alias("lone"), F.explode(places).alias("b")).select("conv_id", "lone", "turn", "t", "b.block", "b.mine")
     dealt = dealt.repartition(partitions(spark), "conv_id", "lone", "block").sortWithinPartitions("conv_id", "lone", "block", "turn", "t")
 
     def turns_of(rows: list[tuple]) -> Iterator[tuple]:

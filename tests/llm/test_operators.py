@@ -319,7 +319,7 @@ def test_chat(spark, data):
     right = both.where("role = found and rendered = concat('<|', role, '|>\n', text, '\n<|end|>')").count()
     assert right >= 0.97 * truth.count()
     odd = spark.createDataFrame([(1, None, "user", None), (None, 0, None, "x"), (1, 0, "user", "hello?\nthere"), (1, 0, "user", "hello?\nthere"), (2, 5_000, "assistant", "z")], "conv_id bigint, turn bigint, role string, text string").withColumn("block", F.lit(0))
-    assert chat.format_turns(chat.transcript(odd)).count() >= 4
+    assert {r["conv_id"] for r in chat.format_turns(chat.transcript(odd)).collect()} == {1, 2, None}
     assert chat.format_turns(chat.transcript(empty(odd))).count() == 0
 
 
