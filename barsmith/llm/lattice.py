@@ -10,7 +10,7 @@ block at least has no more than its share, and near pairs meet in some table.
 Equal vectors are collapsed first and counted. A pair that meets in several tables is counted in the
 first; that is recomputed from the two vectors, so pairs are never written out, sorted or compared with
 each other: a task adds up each vector's number of links and sends the links that join classes. A cell
-with over ``chunk`` probing vectors is dealt out in parts.
+with over CHUNK vectors that are stored in it or probe it is dealt out in parts.
 
 Nulls: a vector that is null, all zero, of another length than the first ``dim`` asks, or holds null or
 non-finite components links with nothing and is a class of its own; so is a null id. Rows that repeat
@@ -32,7 +32,7 @@ from barsmith.llm.common import partitions, table, written
 from barsmith.llm.components import components
 from barsmith.llm.simhash import _settle
 
-SCALE, REACH, CHUNK = 0.1, 1.25, 1024
+SCALE, REACH, CHUNK = 0.1, 1.25, 256
 
 
 def _shells() -> np.ndarray:
@@ -207,9 +207,12 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str =
     held = own.groupBy("cell").agg(F.count(F.lit(1)).alias("stored"), F.min("rep").alias("one"))
     probes = hashes.select("rep", F.explode("probes").alias("cell")).join(held, "cell").where("stored > 1 or one <> rep").select("cell", "rep")
     probes = written(probes, "lattice-probes")
-    size = probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
-    stored = own.join(size, "cell").select("t", "cell", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("stored"))
-    asking = probes.join(size, "cell").select(F.lit(None).cast("int").alias("t"), "cell", "rep", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("stored"))
+    # a cell is a grid of parts: chunks of those stored in it by chunks of those that ask
+    size = probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("a")).join(held.select("cell", F.ceil(F.col("stored") / CHUNK).cast("int").alias("s")), "cell")
+    chunk = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = own.join(size, "cell").withColumn("other", each("a")).select("t", "cell", "rep", (F.col("other") * F.col("s") + chunk("s")).alias("part"), F.lit(True).alias("stored"))
+    asking = probes.join(size, "cell").withColumn("other", each("s")).select(F.lit(None).cast("int").alias("t"), "cell", "rep", (chunk("a") * F.col("s") + F.col("other")).alias("part"), F.lit(False).alias("stored"))
     rows = stored.unionByName(asking).join(distinct, "rep").repartition(4 * partitions(spark), "cell", "part").sortWithinPartitions("cell", "part", F.desc("stored"))
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
