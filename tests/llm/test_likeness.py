@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barsmith.llm import likeness
+from barsmith.llm import likeness, mixing
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -69,3 +70,16 @@ def test_stage_keeps_one_of_each(spark, data):
                 label = [label[j] if x == label[i] else x for x in label]
     want = {min(r["doc_id"] for r, y in zip(rows, label) if y == x) for x in set(label)}
     assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, data).collect()} == want
+
+
+def test_null_and_repeated_ids_stay(spark, data):
+    words = lambda k: " ".join(f"d{k}x{i}" for i in range(40))
+    rows = [(None, words(0), "en", "a", 0), (None, words(1), "en", "a", 0), (None, words(2), "en", None, 0), (7, words(3), "en", "a", 0), (7, words(4), "en", "b", 0), (8, words(5), "en", "b", 0), (8, words(5), "en", "b", 0), (None, words(5), "en", "b", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = corpus_pipeline.one_of_each(spark, df, data)
+    assert kept.columns == df.columns
+    assert sorted(r["text"] for r in kept.collect()) == sorted({r[1] for r in rows}) and kept.where(F.col("text") == words(5)).first()["doc_id"] == 8
+    plan = [(r["doc_id"], r["h"]) for r in mixing.mix(kept).collect() for _ in range(r["copies"])]
+    mixed = corpus_pipeline.mix_sources(spark, kept, data)
+    got = [(r["doc_id"], r["h"]) for r in mixed.withColumn("h", F.xxhash64("text")).collect()]
+    assert mixed.columns == df.columns and sorted(got, key=str) == sorted(plan, key=str) and {i for i, _ in got} >= {None, 7}
