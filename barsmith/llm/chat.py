@@ -9,7 +9,8 @@ marker, ``<|end|>``.
 
 Conversations are cut into blocks of BLOCK turns, each read with the CONTEXT turns before and after it, so
 that one endless conversation is many small tasks; within a block lines stream, and after WINDOW rows
-the path so far is settled, so memory is bounded. Lines are sorted by conversation, block and place.
+the path so far is settled. Each row is rendered by its own block; rows that lead a block without a beginning
+are joined to the last turn begun in a block before. Lines are sorted by conversation, block and place.
 
 Nulls: a null text is an empty line; a null conversation makes each row its own conversation; a null turn
 sorts first. Rows that repeat are read one after the other. Only the named columns are read.
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import partitions, table
+from barsmith.llm.common import partitions, table, written
 
 ROLES = ("system", "user", "assistant")
 #: Words that announce a speaker.
@@ -97,10 +98,9 @@ def viterbi(scores: np.ndarray, start: np.ndarray = START) -> tuple[list[int], n
     return path[::-1], best
 
 
-def parse(lines: list[str], first: list[bool]) -> list[int]:
+def parse(lines: list[str], first: list[bool], start: np.ndarray = START) -> list[int]:
     """States of all lines of a block, settled window by window."""
     path: list[int] = []
-    start = START
     for i in range(0, len(lines), WINDOW):
         more, _ = viterbi(emissions(lines[i : i + WINDOW], first[i : i + WINDOW]), start)
         path += more
@@ -127,53 +127,73 @@ def format_turns(lines: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     dealt = rows.select("*", group.alias("lone"), F.explode(places).alias("b")).select("conv_id", "lone", "turn", "t", "b.block", "b.mine")
     dealt = dealt.repartition(partitions(spark), "conv_id", "lone", "block").sortWithinPartitions("conv_id", "lone", "block", "turn", "t")
 
-    def turns_of(rows: list[tuple]) -> Iterator[tuple]:
+    def pieces_of(rows: list[tuple], open_: dict) -> Iterator[tuple]:
+        """Turns that end within ``rows``; ``open_`` holds the path's state and the piece that goes on."""
         flat, first, owner = [], [], []
         for k, (_, _, t, _) in enumerate(rows):
             for n, line in enumerate(t.split("\n")):
                 flat.append(line)
                 first.append(n == 0)
                 owner.append(k)
-        begun: tuple | None = None
-        body: list[str] = []
-        parts = 0
-        for line, state, k in zip(flat, parse(flat, first), owner):
+        path = parse(flat, first, open_["start"])
+        at = None
+        for line, state, k in zip(flat, path, owner):
             role, begins = STATES[state]
-            if begins or begun is None:
-                if begun and begun[4]:
-                    yield (*begun[:4], render(begun[3], "\n".join(body).strip("\n")))
-                conv_id, at, _, mine = rows[k]
-                parts = parts + 1 if begun and begun[1] == at and begun[5] == k else 0
-                begun = (conv_id, at, parts, ROLES[role], mine, k)
-                body = [line[marker(line)[1] :] if marker(line)[0] >= 0 else line]
-            else:
-                body.append(line)
-        if begun and begun[4]:
-            yield (*begun[:4], render(begun[3], "\n".join(body).strip("\n")))
-
-    columns = ["conv_id", "turn", "part", "role", "rendered"]
+            _, turn, _, mine = rows[k]
+            if begins:
+                if open_["piece"]:
+                    yield (*open_["piece"], False, "\n".join(open_["body"]))
+                parts, at = (parts + 1 if at == k else 0), k
+                open_["piece"], open_["body"] = (False, turn, parts, ROLES[role]) if mine else None, []
+                line = line[marker(line)[1] :] if marker(line)[0] >= 0 else line
+            if mine and not open_["piece"]:
+                # goes on with a turn of a block before
+                open_["piece"] = (True, None, 0, None)
+            if mine:
+                open_["body"].append(line)
+        open_["start"] = TRANSITIONS[path[-1]]
+
+    columns = ["conv_id", "lone", "block", "lead", "turn", "part", "role", "last", "body"]
 
     def frame(found: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(found, columns=columns)
-        return out.astype({"conv_id": "Int64", "turn": "Int64", "part": "int64"})
+        return out.astype({"conv_id": "Int64", "lone": "Int64", "block": "int64", "turn": "Int64", "part": "int64", "lead": bool, "last": bool})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, found = None, [], []
+        key, held, found, open_ = None, [], [], {}
+
+        def settle(ends: bool) -> None:
+            if held:
+                found.extend((*key, *x) for x in pieces_of(held, open_))
+            if ends and open_.get("piece"):
+                lead = open_["piece"][0]
+                found.append((*key, *open_["piece"], not lead, "\n".join(open_["body"])))
+
         for b in batches:
             b = b.astype({"conv_id": "Int64", "lone": "Int64", "turn": "Int64"}).astype(object).where(lambda x: x.notna(), None)
             for conv_id, lone, at, t, block, mine in zip(*(b[c] for c in ("conv_id", "lone", "turn", "t", "block", "mine"))):
-                if (conv_id, lone, block) != key or len(held) >= WINDOW:
-                    if held:
-                        found += turns_of(held)
-                    key, held = (conv_id, lone, block), []
+                if (conv_id, lone, block) != key:
+                    settle(True)
+                    key, held, open_ = (conv_id, lone, block), [], {"start": START, "piece": None, "body": []}
+                elif len(held) >= WINDOW:
+                    settle(False)
+                    held = []
                 held.append((conv_id, at, t, mine))
             if found:
                 yield frame(found)
-                found = []
-        if held:
-            yield frame(list(turns_of(held)))
-
-    return dealt.mapInPandas(run, "conv_id bigint, turn bigint, part bigint, role string, rendered string")
+                found.clear()
+        settle(True)
+        if found:
+            yield frame(found)
+
+    pieces = written(dealt.mapInPandas(run, "conv_id bigint, lone bigint, block bigint, lead boolean, turn bigint, part bigint, role string, last boolean, body string"), "chat-pieces")
+    # at most two rows a block: its leading piece, and its last turn, which may go on in blocks after it
+    order = Window.partitionBy("conv_id", "lone").orderBy("block", F.desc("lead"))
+    ends = pieces.where("lead or last").withColumn("run", F.sum(F.col("last").cast("int")).over(order))
+    whole = ends.groupBy("conv_id", "lone", "run").agg(F.max("turn").alias("turn"), F.max("part").alias("part"), F.max("role").alias("role"), F.array_sort(F.collect_list(F.struct("block", "body"))).alias("all"))
+    whole = whole.select("conv_id", "turn", "part", "role", F.array_join(F.transform("all", lambda x: x["body"]), "\n").alias("body"))
+    turns = pieces.where("not lead and not last").select("conv_id", "turn", "part", "role", "body").unionByName(whole)
+    return turns.select("conv_id", "turn", "part", "role", F.concat(F.lit("<|"), "role", F.lit("|>\n"), F.trim("body", F.lit("\n")), F.lit("\n<|end|>")).alias("rendered"))
 
 
 def transcript(conversations: DataFrame) -> DataFrame:
