@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by hashing to cells of the E8 lattice.
 
 A random rotation cuts a unit vector into blocks of eight coordinates; each block is one hash table. A
-block's coordinates, divided by ``scale``, are decoded to the nearest point of E8, which is the vector's
+block's coordinates, divided by a scale (by default one that leaves each block a share of SHARE
+of the squared distance of a pair at the threshold), are decoded to the nearest point of E8, which is the vector's
 cell. A vector also probes every cell whose lattice point lies within ``reach`` of its own coordinates.
 Two vectors meet in a table if one of them probes the other's cell; each pair that meets is verified by
 its cosine in double precision. As the squared distance of a pair is the sum of those of its blocks, one
@@ -12,15 +13,18 @@ first; that is recomputed from the two vectors, so pairs are never written out,
 each other: a task adds up each vector's number of links and sends the links that join classes. A cell
 with over CHUNK vectors that are stored in it or probe it is dealt out in parts.
 
-Nulls: a vector that is null, all zero, of another length than the first ``dim`` asks, or holds null or
+Vectors are compared with those of their own length: each length has its rotation and its cells.
+
+Nulls: a vector that is null, all zero, of another length than ``dim`` (if that is asked for), or holds null or
 non-finite components links with nothing and is a class of its own; so is a null id. Rows that repeat
-count as vectors of their own. Only the named columns are read.
+count as vectors of their own. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations, product
 
 import numpy as np
@@ -32,7 +36,7 @@ from barsmith.llm.common import partitions, table, written
 from barsmith.llm.components import components
 from barsmith.llm.simhash import _settle
 
-SCALE, REACH, CHUNK = 0.1, 1.25, 256
+SHARE, REACH, CHUNK = 1.25, 1.25, 256
 
 
 def _shells() -> np.ndarray:
@@ -74,6 +78,12 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
+def scale_of(dim: int, cosine: float) -> float:
+    """The scale at which a block's share of the squared distance of a pair at ``cosine`` is SHARE."""
+    return max(1e-6, float(np.sqrt(2 * (1 - cosine) / (SHARE * -(-dim // 8)))))
+
+
+@cache
 def rotation(dim: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix, with zero rows added up to a multiple of eight."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
@@ -81,9 +91,9 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return np.vstack([turned.T, np.zeros((-dim % 8, dim))]).T
 
 
-def _keys(points: np.ndarray, t: int) -> np.ndarray:
-    """A 64-bit number for a lattice point in a table; points are half-integers, so doubled they are integers."""
-    key = np.full(len(points), t + 1, np.uint64)
+def _keys(points: np.ndarray, t: int, dim: int) -> np.ndarray:
+    """A 64-bit number for a lattice point in a table of a length; points are half-integers, so doubled they are integers."""
+    key = np.full(len(points), (dim << 20) + t + 1, np.uint64)
     with np.errstate(over="ignore"):
         for c in (2 * points).round().astype(np.int64).T:
             key = (key ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -106,13 +116,25 @@ def cells(vectors: np.ndarray, turn: np.ndarray, scale: float, reach: float) ->
         rest = block - near
         far = (rest**2).sum(axis=1)[:, None] - 2 * rest @ SHELLS.T + squares
         i, k = np.nonzero(far <= reach**2 + 1e-9)
-        own.append(_keys(near, t))
-        found = np.split(_keys(near[i] + SHELLS[k], t), np.searchsorted(i, np.arange(1, len(x))))
+        own.append(_keys(near, t, vectors.shape[1]))
+        found = np.split(_keys(near[i] + SHELLS[k], t, vectors.shape[1]), np.searchsorted(i, np.arange(1, len(x))))
         for mine, more in zip(probes, found):
             mine.append(more)
     return np.stack(own, axis=1), [np.concatenate(p) for p in probes]
 
 
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def by_length(rows: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(length, rows) for vectors of each length."""
+    lengths = rows["v"].map(len)
+    if len(rows) and lengths.min() == lengths.max():
+        return iter([(int(lengths.iloc[0]), rows)])
+    return ((int(n), part) for n, part in rows.groupby(lengths, sort=True))
+
+
 @dataclass
 class Side:
     """Vectors of one side of a comparison: unit vectors, coordinates and lattice points of all tables, ids, copies."""
@@ -128,7 +150,7 @@ class Side:
 
 
 def side(rows: pd.DataFrame, turn: np.ndarray, scale: float) -> Side:
-    unit = _unit(np.stack(rows["v"].to_numpy()))
+    unit = _unit(_stacked(rows["v"]))
     at = unit @ turn / scale
     points = np.hstack([decode(at[:, i : i + 8]) for i in range(0, at.shape[1], 8)])
     return Side(unit, at, points, rows["rep"].to_numpy(), rows["copies"].to_numpy())
@@ -178,29 +200,27 @@ def pair_links(q: Side, s: Side, table_: int, cosine: float, reach: float) -> tu
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def valid(column: str, dim: int) -> F.Column:
+def valid(column: str, dim: int | None) -> F.Column:
     x = F.col(column)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.coalesce(x.isNotNull() & (F.size(x) == dim) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
+    return F.coalesce(x.isNotNull() & (F.lit(True) if dim is None else F.size(x) == dim) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", dim: int | None = None, cosine: float = 0.95, scale: float = SCALE, reach: float = REACH, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", dim: int | None = None, cosine: float = 0.95, scale: float | None = None, reach: float = REACH, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of ``vectors``."""
     spark = vectors.sparkSession
     every = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector).alias("v"))
-    if dim is None:
-        dim = (every.agg(F.max(F.size("v"))).first()[0] or 0) if every.columns else 0
-    dim = max(1, dim)
     every = every.withColumn("ok", valid("v", dim) & F.col("vec_id").isNotNull())
-    turn = rotation(dim, seed)
-    distinct = written(every.where("ok").groupBy(F.transform("v", lambda e: e.cast("double")).alias("v")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "lattice-distinct")
+    # numbers are kept as they are stored, and made double where they are compared
+    held_as = "array<float>" if dict(every.dtypes)["v"] == "array<float>" else "array<double>"
+    distinct = written(every.where("ok").groupBy(F.col("v").cast(held_as).alias("v")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "lattice-distinct")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 512):
-                part = b.iloc[i : i + 512]
-                own, probes = cells(np.stack(part["v"].to_numpy()), turn, scale, reach)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "own": list(own), "probes": probes})
+                for n, part in by_length(b.iloc[i : i + 512]):
+                    own, probes = cells(_stacked(part["v"]), rotation(n, seed), scale or scale_of(n, cosine), reach)
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy(), "own": list(own), "probes": probes})
 
     hashes = written(distinct.repartition(partitions(spark)).select("rep", "v").mapInPandas(hashed, "rep bigint, own array<bigint>, probes array<bigint>"), "lattice-cells")
     own = hashes.select("rep", F.posexplode("own").alias("t", "cell"))
@@ -218,8 +238,11 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str =
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
-        def links(rows: pd.DataFrame) -> pd.DataFrame:
-            every = side(rows, turn, scale)
+        def links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            return (linked(part.reset_index(drop=True), n) for n, part in by_length(rows))
+
+        def linked(rows: pd.DataFrame, n: int) -> pd.DataFrame:
+            every = side(rows, rotation(n, seed), scale or scale_of(n, cosine))
             stored, tables = rows["stored"].to_numpy(), rows["t"].fillna(0).to_numpy().astype(np.int64)
             cell, part = rows["cell"].to_numpy(), rows["part"].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]))))
@@ -247,9 +270,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str =
                     a.append(p[first])
                     b.append(o[first])
             a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
-            ids, n = every.rep, every.copies
+            ids, copies = every.rep, every.copies
             nodes, at = np.unique(ids, return_inverse=True)
-            total = np.bincount(at[a], n[b], len(nodes)) + np.bincount(at[b], n[a], len(nodes))
+            total = np.bincount(at[a], copies[b], len(nodes)) + np.bincount(at[b], copies[a], len(nodes))
             label = np.arange(len(nodes))
             _settle(label, at[a], at[b])  # a link to the first of its class for each vector joins what all links join
             some = np.flatnonzero(total > 0)
@@ -262,9 +285,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str =
                 last = (rows["cell"] == rows["cell"].iloc[-1]) & (rows["part"] == rows["part"].iloc[-1])
                 held = [rows[last]]
                 if not last.all():
-                    yield links(rows[~last].reset_index(drop=True))
+                    yield from links(rows[~last])
         if held and sum(map(len, held)):
-            yield links(pd.concat(held, ignore_index=True))
+            yield from links(pd.concat(held, ignore_index=True))
 
     found = written(rows.mapInPandas(verified, "rep bigint, other bigint, n bigint"), "lattice-links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
@@ -272,7 +295,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str =
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     of = distinct.select("v", "rep", "copies").join(counts, "rep", "left").join(roots.join(least, "root").select(F.col("node").alias("rep"), "component_id"), "rep", "left")
     of = of.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    good = every.where("ok").withColumn("v", F.transform("v", lambda e: e.cast("double"))).join(of, "v").select("vec_id", "n_links", "component_id")
+    good = every.where("ok").withColumn("v", F.col("v").cast(held_as)).join(of, "v").select("vec_id", "n_links", "component_id")
     alone = every.where("not ok").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
