@@ -1,15 +1,18 @@
 """Near copies by the Jaccard likeness of their shingles.
 
-Words and shingles are those of ``simhash``, each shingle counted once. Two documents are linked if their
+Words and shingles are those of ``shingles``, each shingle counted once. Two documents are linked if their
 sets of shingles have a Jaccard likeness of ``least`` or more, and documents of one connected component
-are one class.
+are one class. SimHash alone cannot find these pairs: at a likeness of 0.8 two fingerprints of 64 bits differ
+in 9.7 bits on average, and a trie walk with such a budget visits most pairs of nodes. So candidates
+are found by minima, and the SimHash of each text is given beside its class.
 
 1. Documents of one set of shingles are one node; the node is a hash of the set.
 2. Each set has BANDS keys of ROWS minima under random orders. Sets that share a key are candidates: at a
    likeness of J a pair is one with probability 1 - (1 - J**ROWS)**BANDS, 0.99994 at 0.8.
-3. Candidates are gathered to components, a component of over ``chunk`` sets is dealt out as pairs of
-   chunks, and in each every pair that shares a key is compared shingle by shingle, unless both are of
-   one class already.
+3. Candidates are gathered to components. In one of at most CHUNK sets every pair that shares a key is compared
+   shingle by shingle, unless both are of one class already. In a larger one each set is first compared
+   with the smallest of each of its keys, which joins most of a dense group; then the sets of a key that are of
+   several classes meet, in chunks that leave out pairs of one class.
 
 So no link is made below ``least``, and one at 0.8 is missed with probability 0.00006. Links, not pairs of
 documents, leave the tasks. Nothing is capped.
@@ -21,7 +24,6 @@ Rows that repeat are in one class. An empty table gives an empty result. Only th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 
 from barsmith.llm.common import partitions, written
 from barsmith.llm.components import components
+from barsmith.llm.dealing import meetings
+from barsmith.llm.shingles import hashes, majority
 
 LEAST, BANDS, ROWS = 0.8, 32, 6
 #: Most sets of one component in a chunk; shingles hashed at once.
@@ -42,19 +46,6 @@ FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint6
 TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The XXH64 of each different shingle, sorted."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    k = min(width, len(words))
-    slices = map(joined.__getitem__, map(slice, starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(42)), np.uint64, len(words) - k + 1))
-
-
 def band_keys(found: np.ndarray) -> np.ndarray:
     """BANDS keys (int64) of a set that is not empty."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -74,14 +65,18 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def linked(texts: list[str], width: int, least: float) -> list[tuple[int, int]]:
-    """Pairs of positions that join all texts with a path of links among those that share a key."""
-    sets = [shingles(t, width) for t in texts]
+def linked(texts: list[str], width: int, least: float, classes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs of positions that join all texts with a path of links among those that share a key.
+
+    Texts of equal ``classes`` are joined already.
+    """
+    sets = [np.unique(hashes(t, width)) for t in texts]
     keys = np.array([band_keys(s) for s in sets])
     sizes = np.array([len(s) for s in sets], np.int64)
+    label = np.arange(len(sets)) if classes is None else np.unique(np.array(classes), return_inverse=True)[1]
     shared: list[np.ndarray] = []
     for k in range(1, len(sets)):
-        same = (keys[:k] == keys[k]).sum(axis=1)
+        same = np.where(label[:k] != label[k], (keys[:k] == keys[k]).sum(axis=1), 0)
         # a likeness cannot be more than the smaller size divided by the larger
         near = np.flatnonzero((same > 0) & (np.minimum(sizes[:k], sizes[k]) >= least * np.maximum(sizes[:k], sizes[k])))
         if len(near):
@@ -90,7 +85,6 @@ def linked(texts: list[str], width: int, least: float) -> list[tuple[int, int]]:
         return []
     pairs = np.concatenate(shared)
     pairs = pairs[np.argsort(-pairs[:, 0], kind="stable")]
-    label = np.arange(len(sets))
     out = []
     for _, a, b in pairs.tolist():
         if label[a] != label[b] and likeness(sets[a], sets[b]) >= least:
@@ -100,63 +94,95 @@ def linked(texts: list[str], width: int, least: float) -> list[tuple[int, int]]:
 
 
 def keyed(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(doc_id, h, node bigint, bands array<bigint>): h is the text's hash, node that of its set; bands is empty for the empty set."""
+    """(doc_id, h, fp, node, bands array<bigint>): the hash of the text, its SimHash, the hash of its set; bands is empty for the empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            nodes, bands = [], []
+            fps, nodes, bands = [], [], []
             for t in b["t"]:
-                found = shingles(t, width)
+                every = hashes(t, width)
+                found = np.unique(every)
+                fps.append(majority(every))
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
                 bands.append(band_keys(found) if len(found) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "node": np.array(nodes, np.uint64).view(np.int64), "bands": bands})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": np.array(fps, np.uint64).view(np.int64), "node": np.array(nodes, np.uint64).view(np.int64), "bands": bands})
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, "doc_id bigint, h bigint, node bigint, bands array<bigint>")
+    return rows.mapInPandas(run, "doc_id bigint, h bigint, fp bigint, node bigint, bands array<bigint>")
 
 
-def links(members: DataFrame, width: int, least: float) -> DataFrame:
-    """(root, node, t) of candidates -> (u, v): links that join all of one class."""
-    spark = members.sparkSession
-    size = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    rows = members.join(size, "root").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # a chunk is met by each other chunk once
-    meet = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: i != F.col("chunk")), lambda i: F.least(i, F.col("chunk")) * F.col("chunks") + F.greatest(i, F.col("chunk"))))
-    rows = rows.select("root", F.explode(meet).alias("meet"), "node", "t").repartition(4 * partitions(spark), "root", "meet").sortWithinPartitions("root", "meet")
+def compared(rows: DataFrame, group: list[str], width: int, least: float) -> DataFrame:
+    """(group, node, class, t), sorted by group within partitions -> (u, v): links that join what is linked in each group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, nodes, texts = None, [], []
+        key, held = None, []
 
         def found() -> pd.DataFrame:
-            pairs = np.array(linked(texts, width, least), np.int64).reshape(-1, 2)
+            nodes, classes, texts = zip(*held)
+            pairs = np.array(linked(list(texts), width, least, list(classes)), np.int64).reshape(-1, 2)
             of = np.array(nodes, np.int64)
             return pd.DataFrame({"u": of[pairs[:, 0]], "v": of[pairs[:, 1]]})
 
         for b in batches:
-            for root, met, node, t in zip(b["root"].tolist(), b["meet"].tolist(), b["node"].tolist(), b["t"]):
-                if (root, met) != key:
-                    if len(nodes) > 1:
+            for *at, node, cls, t in zip(*(b[c].tolist() for c in (*group, "node", "class", "t"))):
+                if at != key:
+                    if len(held) > 1:
                         yield found()
-                    key, nodes, texts = (root, met), [], []
-                nodes.append(node)
-                texts.append(t)
-        if len(nodes) > 1:
+                    key, held = at, []
+                held.append((node, cls, t))
+        if len(held) > 1:
             yield found()
 
-    return rows.mapInPandas(run, "u bigint, v bigint")
+    spark = rows.sparkSession
+    dealt = rows.repartition(4 * partitions(spark), *group).sortWithinPartitions(*group)
+    return dealt.select(*group, "node", "class", "t").mapInPandas(run, "u bigint, v bigint")
+
+
+def stars(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(u, v) -> those that are linked. Pairs are dealt by v in parts, each with the text of v at its head."""
+    spark = pairs.sparkSession
+    parts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    members = pairs.join(parts, "v").select("v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("place"), F.col("u").alias("node")).join(texts, "node")
+    heads = parts.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"), F.col("v").alias("node")).join(texts, "node")
+    rows = members.select("v", "part", "place", "node", "t").unionByName(heads.select("v", "part", "place", "node", "t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = None
+        for b in batches:
+            out = []
+            for v, place, node, t in zip(b["v"].tolist(), b["place"].tolist(), b["node"].tolist(), b["t"]):
+                found = np.unique(hashes(t, width))
+                if place == 0:
+                    head = found
+                elif likeness(found, head) >= least:
+                    out.append((node, v))
+            yield pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return rows.repartition(4 * partitions(spark), "v", "part").sortWithinPartitions("v", "part", "place").mapInPandas(run, "u bigint, v bigint")
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, least: float = LEAST) -> DataFrame:
-    """(doc_id, h, class bigint): one row for each row of ``docs``; h is the XXH64 of the text, class a node of the class."""
+    """(doc_id, h, fp, class bigint): one row for each row of ``docs``; h is the XXH64 of the text, fp its SimHash, class a node of the class."""
     each = written(keyed(docs, id_col, text, width), "likeness")
     # one text for each set; any text of a set has the same shingles
     sets = each.where(F.size("bands") > 0).groupBy("node").agg(F.min("h").alias("h"), F.first("bands").alias("bands"))
     bands = sets.select("node", F.posexplode("bands").alias("k", "key"))
     low = bands.groupBy("k", "key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    near = bands.join(low, ["k", "key"]).where("node <> v").select(F.col("node").alias("u"), "v")
-    candidates = written(components(near), "likeness-candidates")
-    of = candidates.join(sets.select("node", "h"), "node")
-    texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(of, "h").groupBy("root", "node").agg(F.first("t").alias("t"))
-    classes = components(links(texts, width, least)).withColumnRenamed("root", "class")
-    return each.select("doc_id", "h", "node").join(classes, "node", "left").select("doc_id", "h", F.coalesce("class", "node").alias("class"))
+    near = written(bands.join(low, ["k", "key"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "likeness-near")
+    candidates = components(near)
+    size = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    candidates = written(candidates.join(size, "root").join(sets.select("node", "h"), "node"), "likeness-candidates")
+    texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(candidates, "h").groupBy("root", "n", "node").agg(F.first("t").alias("t"))
+    small = compared(texts.where(F.col("n") <= CHUNK).withColumn("class", F.col("node")), ["root"], width, least)
+    large = candidates.where(F.col("n") > CHUNK)
+    if large.isEmpty():
+        found = small
+    else:
+        some = written(texts.where(F.col("n") > CHUNK).select("node", "t"), "likeness-texts")
+        found = written(stars(near.join(large.select(F.col("node").alias("u")), "u", "left_semi"), some, width, least), "likeness-stars")
+        class_of = components(found).withColumnRenamed("root", "class")
+        open_ = large.select("node").join(bands, "node").join(class_of, "node", "left").select("k", "key", "node", F.coalesce("class", "node").alias("class"))
+        rest = meetings(open_, ["k", "key"], "node", CHUNK).join(some, "node")
+        found = small.unionByName(found).unionByName(compared(rest, ["k", "key", "meet"], width, least))
+    classes = components(found).withColumnRenamed("root", "class")
+    return each.select("doc_id", "h", "fp", "node").join(classes, "node", "left").select("doc_id", "h", "fp", F.coalesce("class", "node").alias("class"))

@@ -1,8 +1,7 @@
 """Near-duplicate documents by SimHash and a binary trie self-join.
 
-Fingerprint: A-Z lower-cased, words between ASCII white space, shingles of ``width`` words joined by a
-space, repeats included (fewer words: the whole sequence); XXH64 with seed 42 of each; a bit is set if it
-is set in over half of the hashes. A text without words, or null, has fingerprint zero.
+Fingerprint: XXH64 of each shingle, repeats included (see ``shingles``); a bit is set if it is set in over
+half of the hashes. A text without words, or null, has fingerprint zero.
 
 Fingerprints that differ in at most ``budget`` bits are linked, and documents of one connected component
 are one class. The join runs on distinct fingerprints:
@@ -13,8 +12,10 @@ are one class. The join runs on distinct fingerprints:
 2. Before that, fingerprints that differ within one group of ``budget`` bits are linked by grouping alone:
    they cannot be over the budget. A dense ball of near copies so becomes one class early, and a pair of
    nodes that holds only one class is dropped too.
-3. A block value with over ``chunk`` fingerprints is dealt out as pairs of chunks (by class), so no task
-   holds more than two chunks of it.
+3. A block value with over CHUNK fingerprints is walked one level further apart from the rest: the bits
+   below it are cut into ``budget + 1`` blocks again, each of which leads to a node of its own. A node that
+   still has more is dealt out as pairs of chunks, so no task holds more than two chunks of it, and
+   chunks of one class do not meet.
 
 Nothing is capped: every link is found, either as a pair or as a path within a class. Links between
 classes, not pairs of documents, leave the tasks.
@@ -26,16 +27,17 @@ Rows that repeat are in one class. An empty table gives an empty result. Only th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barsmith.llm import likeness
 from barsmith.llm.common import partitions, table, written
 from barsmith.llm.components import components
+from barsmith.llm.dealing import meetings
+from barsmith.llm.shingles import hashes, majority
 
 BUDGET = 4
 #: Most fingerprints of one block value in a chunk, and most pairs of leaves compared at once.
@@ -44,21 +46,7 @@ CHUNK, LEAF_PAIRS, FRONTIER = 2048, 64, 200_000
 
 def simhash(text: str | None, width: int) -> int:
     """The 64-bit fingerprint, unsigned."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    k = min(width, len(words))
-    slices = map(joined.__getitem__, map(slice, starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(42)), np.uint64, len(words) - k + 1)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i : i + (1 << 16)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    return majority(hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -72,9 +60,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInPandas(run, "doc_id bigint, fp bigint")
 
 
-def blocks(budget: int) -> list[tuple[int, int]]:
+def blocks(budget: int, bits: int = 64) -> list[tuple[int, int]]:
     """(first bit from the top, bits) of budget + 1 blocks."""
-    cuts = [round(i * 64 / (budget + 1)) for i in range(budget + 2)]
+    cuts = [round(i * bits / (budget + 1)) for i in range(budget + 2)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -145,23 +133,45 @@ def _leaves(values, a, b, c, e, budget, label) -> None:
             _settle(label, x[hit], y[hit])
 
 
-def _rotated(fp: Column, first: int) -> Column:
-    """Bits turned left so that bit ``first`` from the top comes first."""
-    return fp if first == 0 else F.shiftleft(fp, first).bitwiseOR(F.shiftrightunsigned(fp, 64 - first))
+def _on_top(blocks_: list[tuple[int, int]], value: Column, bits: int) -> list[Column]:
+    """For each block of the lowest ``bits`` bits of a value, those bits turned so that the block comes first."""
+    whole = (1 << bits) - 1
+    mask = F.lit(whole - (1 << 64) if whole >> 63 else whole)
+    turn = lambda first: value if first == 0 else F.shiftleft(value, first).bitwiseOR(F.shiftrightunsigned(value, bits - first)).bitwiseAND(mask)
+    return [turn(first) for first, _ in blocks_]
+
+
+def nodes(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(fp, class) -> fp, class, width, path, key, turned: the trie nodes at which a fingerprint meets those within the budget.
+
+    ``turned`` is the fingerprint in the order of bits of the trie ``path``, ``key`` its first ``width`` bits. A
+    node of a first block with over CHUNK fingerprints is left for its descendants: of the bits below it, again
+    one of ``budget + 1`` blocks is the same in a pair.
+    """
+    first = blocks(budget)
+    tops = _on_top(first, F.col("fp"), 64)
+    each = F.array(*(F.struct(F.lit(t).alias("path"), F.lit(w).alias("width"), top.alias("turned"), F.shiftrightunsigned(top, 64 - w).alias("key")) for t, ((_, w), top) in enumerate(zip(first, tops))))
+    rows = fps.select("fp", "class", F.explode(each).alias("x")).select("fp", "class", "x.*")
+    size = rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.join(size, ["path", "key"])
+    light = rows.where(F.col("n") <= CHUNK).drop("n")
+    deep = []
+    for w in sorted({w for _, w in first}):
+        bits = 64 - w
+        second = blocks(budget, bits)
+        rest = F.col("turned").bitwiseAND(F.lit((1 << bits) - 1))
+        for s, ((_, w2), low) in enumerate(zip(second, _on_top(second, rest, bits))):
+            turned = F.shiftleft(F.col("key"), bits).bitwiseOR(low)
+            deep.append(F.when(F.col("width") == w, F.struct((F.col("path") * 100 + 100 + s).alias("path"), F.lit(w + w2).alias("width"), turned.alias("turned"), F.shiftrightunsigned(turned, bits - w2).alias("key"))))
+    below = rows.where(F.col("n") > CHUNK).select("fp", "class", F.explode(F.filter(F.array(*deep), lambda x: x.isNotNull())).alias("x")).select("fp", "class", "x.*")
+    return light.select(*below.columns).unionByName(below)
 
 
 def class_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(fp, class) of distinct fingerprints -> (u, v): links between classes that join all that is within the budget."""
     spark = fps.sparkSession
-    rows = fps.select("fp", "class", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(width).alias("width"), _rotated(F.col("fp"), first).alias("turned"), F.shiftrightunsigned(_rotated(F.col("fp"), first), 64 - width).alias("block")) for t, (first, width) in enumerate(blocks(budget))))).alias("x")).select("fp", "class", "x.*")
-    size = rows.groupBy("t", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    rows = rows.join(size, ["t", "block"])
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    # a chunk is met by each other chunk once; chunks go by class, then by value
-    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.col("class"), F.when(F.col("chunks") > 64, F.col("fp"))), F.col("chunks")).cast("int"))
-    meet = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: i != F.col("chunk")), lambda i: F.least(i, F.col("chunk")) * F.col("chunks") + F.greatest(i, F.col("chunk"))))
-    rows = rows.select("t", "width", "block", F.explode(meet).alias("meet"), "turned", "class")
-    rows = rows.repartition(4 * partitions(spark), "t", "block", "meet").sortWithinPartitions("t", "block", "meet")
+    rows = meetings(nodes(fps, budget), ["path", "key"], "fp", CHUNK).select("path", "width", "key", "meet", "turned", "class")
+    rows = rows.repartition(4 * partitions(spark), "path", "key", "meet").sortWithinPartitions("path", "key", "meet")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -170,7 +180,7 @@ def class_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
             out = []
             for width, part in rows.groupby("width"):
                 turned = part["turned"].to_numpy().view(np.uint64)
-                group = part.groupby(["t", "block", "meet"], sort=False).ngroup().to_numpy()
+                group = part.groupby(["path", "key", "meet"], sort=False).ngroup().to_numpy()
                 order = np.lexsort((turned, group))
                 turned, group, cls = turned[order], group[order], part["class"].to_numpy()[order]
                 edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
@@ -190,7 +200,7 @@ def class_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
             if sum(map(len, held)) >= 50_000:
                 rows = pd.concat(held, ignore_index=True)
                 tail = rows.iloc[-1]
-                on = (rows["t"] == tail["t"]) & (rows["block"] == tail["block"]) & (rows["meet"] == tail["meet"])
+                on = (rows["path"] == tail["path"]) & (rows["key"] == tail["key"]) & (rows["meet"] == tail["meet"])
                 held = [rows[on]]
                 if not on.all():
                     yield links(rows[~on])
@@ -209,8 +219,7 @@ def ball_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
     return keyed.join(low, ["g", "masked"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row for each row of ``docs``."""
+def bit_classes(docs: DataFrame, id_col: str, text: str, width: int, budget: int) -> DataFrame:
     each = written(fingerprints(docs, id_col, text, width), "simhash")
     fps = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     balls = components(ball_links(fps, budget))
@@ -220,9 +229,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     fps = written(fps, "simhash-root")
     ids = fps.groupBy("root").agg(F.min("least").alias("component_id"))
     known = fps.join(ids, "root").select("fp", "component_id")
-    return each.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return each.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, budget: int = BUDGET, least: float | None = likeness.LEAST) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row for each row of ``docs``.
+
+    With ``least``, documents are linked by the Jaccard likeness of their shingles and not by ``budget`` bits:
+    see :mod:`barsmith.llm.likeness`, which says why. Two more columns then tell rows without an id apart:
+    ``text_hash`` (XXH64) and ``class``, the same number for all of a class. Without ``least``, by the bits alone.
+    """
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    if least is None:
+        return bit_classes(docs, id_col, text, width, budget).select("doc_id", shown, "component_id")
+    rows = written(likeness.near_copies(docs, id_col=id_col, text=text, width=width, least=least), "simhash-near")
+    ids = rows.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(ids, "class").select("doc_id", shown, "component_id", F.col("h").alias("text_hash"), "class")
 
 
 def op5_simhash(spark, sf_dir):
     """All ``documents`` with shingles of four words and at most four differing bits."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4, budget=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, budget=4, least=None)
