@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barsmith.functions.intervals import LENGTH, bucket
 from barsmith.functions.time import EXCHANGE_ZONE, from_ntz
+from barsmith.operators.blocks import SPAN, previous
 
 COLUMNS = ("symbol", "time", "open", "high", "low", "close", "volume")
 
@@ -46,15 +47,18 @@ def selection_summary(bars: DataFrame) -> DataFrame:
 
 def median_spacing(bars: DataFrame) -> DataFrame:
     """The upper median of the positive distances between neighbouring bars of a symbol."""
-    gap = F.col("time") - F.lag("time").over(Window.partitionBy("symbol").orderBy("time"))
-    gaps = bars.select("symbol", gap.alias("gap")).where("gap > 0").groupBy("symbol", "gap").agg(F.count(F.lit(1)).alias("n"))
+    near = previous(bars.select("symbol", "time"), ["symbol"], F.floor(F.col("time") / SPAN), ["time"], ["time"])
+    gaps = near.select("symbol", (F.col("time") - F.col("_prev.time")).alias("gap")).where("gap > 0").groupBy("symbol", "gap").agg(F.count(F.lit(1)).alias("n"))
     up = Window.partitionBy("symbol").orderBy("gap")
     ranked = gaps.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy("symbol")))
     return ranked.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("symbol").agg(F.min("gap").alias("spacing"))
 
 
 def tail(rows: DataFrame, n: int, keys: list[str], order: list) -> DataFrame:
-    """The most recent ``n`` rows of each key, with the flag whether any were cut."""
+    """The most recent ``n`` rows of each key, with the flag whether any were cut.
+
+    No more than n + 1 rows of a key leave a task; the flag is whether there is a row n + 1.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = rows.withColumn("_r", F.row_number().over(w)).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy(*keys)) > n)
-    return ranked.where(F.col("_r") <= n).drop("_r")
+    few = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n + 1)
+    return few.withColumn("truncated", F.max("_r").over(Window.partitionBy(*keys)) > n).where(F.col("_r") <= n).drop("_r")

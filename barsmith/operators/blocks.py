@@ -8,7 +8,6 @@ positions then carry the few bars before and after that a fixed frame looks at.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -19,11 +18,16 @@ BLOCK, SPAN = 4096, 7 * 86_400_000
 def indexed(bars: DataFrame, span: int = SPAN) -> DataFrame:
     """Adds ``index``: the position of a bar in its symbol's series, from 0."""
     rows = bars.withColumn("_span", F.floor(F.col("time") / span))
-    counts = rows.groupBy("symbol", "_span").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("symbol").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("symbol", "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy("symbol", "_span").orderBy("time")) - 1
-    return rows.withColumn("_place", place).join(offsets, ["symbol", "_span"]).withColumn("index", (F.col("_place") + F.col("_offset")).cast("bigint")).drop("_span", "_place", "_offset")
+    return place(rows, ["symbol"], "_span", ["time"], "index").drop("_span")
+
+
+def place(rows: DataFrame, keys: list[str], span: str, order: list[str], name: str) -> DataFrame:
+    """Adds the position from 0 in ``order`` of ``keys``; the column ``span`` grows with the order."""
+    counts = rows.groupBy(*keys, span).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, span, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    at = F.row_number().over(Window.partitionBy(*keys, span).orderBy(*order)) - 1
+    return rows.withColumn("_place", at).join(offsets, [*keys, span]).withColumn(name, (F.col("_place") + F.col("_offset")).cast("bigint")).drop("_place", "_offset")
 
 
 def in_blocks(rows: DataFrame, before: int, after: int, block: int = BLOCK) -> DataFrame:
@@ -48,6 +52,36 @@ def over_blocks(bars: DataFrame, columns: dict[str, Column], before: int, after:
     return own(in_blocks(bars, before, after).withColumns(columns))
 
 
-def reuse(rows: DataFrame) -> DataFrame:
-    """Keeps rows that a plan reads several times, in memory as far as it goes and on disk beyond."""
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+def previous(rows: DataFrame, keys: list[str], block: Column, order: list[str], columns: list[str], name: str = "_prev") -> DataFrame:
+    """Adds the struct of ``columns`` of the row before in ``order`` of its ``keys`` (null for the first).
+
+    ``block`` grows with the order. Rows look back within their block; the first of one gets the last row of the
+    block before from a table with one row a block.
+    """
+    rows = rows.withColumn("_b", block)
+    of = F.struct(*columns)
+    inside = F.lag(of).over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    ends = rows.groupBy(*keys, "_b").agg(F.max_by(of, F.struct(*order)).alias("_end"))
+    before = ends.select(*keys, "_b", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b")).alias("_before"))
+    return rows.withColumn(name, inside).join(before, [*keys, "_b"]).withColumn(name, F.coalesce(name, "_before")).drop("_b", "_before")
+
+
+#: How a running value of a block joins that of all blocks before, by kind of aggregate.
+_JOINED = {"sum": (F.sum, lambda a, b: a + b, 0), "max": (F.max, F.greatest, None), "product": (F.product, lambda a, b: a * b, 1.0)}
+
+
+def running(rows: DataFrame, keys: list[str], block: Column, order: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds running aggregates up to each row: {name: ("sum", "max" or "product", column)}.
+
+    They run within blocks, and over the table with one row a block.
+    """
+    rows = rows.withColumn("_b", block).withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
+    whole = rows.groupBy(*keys, "_b").agg(*(_JOINED[how][0](f"_v_{n}").alias(f"_t_{n}") for n, (how, _) in values.items()))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = whole.select(*keys, F.col("_b").alias("_b"), *(_JOINED[how][0](f"_t_{n}").over(before).alias(f"_o_{n}") for n, (how, _) in values.items()))
+    upto = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({n: _JOINED[how][0](f"_v_{n}").over(upto) for n, (how, _) in values.items()}).join(offsets, [*keys, "_b"])
+    for n, (how, _) in values.items():
+        _, join, none = _JOINED[how]
+        rows = rows.withColumn(n, join(F.col(n), F.col(f"_o_{n}")) if none is None else join(F.col(n), F.coalesce(f"_o_{n}", F.lit(none))))
+    return rows.drop("_b", *(f"_{k}_{n}" for n in values for k in "vo"))

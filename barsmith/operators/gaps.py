@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.operators.blocks import indexed, over_blocks, reuse, window
+from barsmith.operators.blocks import indexed, over_blocks, window
 
-#: Bars in a block of the search for the first touch.
+#: Children of a node in the tree of lowest and highest prices.
 LOOK = 256
+#: Milliseconds of the shortest stretch of time by which points meet gaps, and how much longer each next one is.
+STRETCH, LONGER = 16 * 3_600_000, 8
 
 
 def detect(bars: DataFrame, min_size_percent: float = 0.0) -> DataFrame:
@@ -25,63 +27,97 @@ def detect(bars: DataFrame, min_size_percent: float = 0.0) -> DataFrame:
     return rows.where(F.col("size_percent") >= min_size_percent).select("symbol", "direction", "index", "time", "start_time", "bottom", "top", "midpoint", "size", "size_percent")
 
 
-def _signed(rows: DataFrame) -> DataFrame:
-    """Bars as the two directions see them: ``reach`` is the price that comes back into a gap, mirrored for bearish ones."""
-    return rows.withColumn("s", F.explode(F.array(F.struct(F.lit("bullish").alias("direction"), F.col("low").alias("reach")), F.struct(F.lit("bearish").alias("direction"), (-F.col("high")).alias("reach"))))).select("symbol", "s.direction", "index", "time", "s.reach")
+def tree(bars: DataFrame, fan: int, depth: int) -> DataFrame:
+    """(symbol, k, parent, children): nodes over positions, each with the lowest low and highest high of its up to ``fan`` children.
 
-
-def _first(levels: DataFrame, bars: DataFrame) -> DataFrame:
-    """(symbol, direction, which, _i, _b, level) -> ``at``: the time of the first later bar whose reach is at or below the level.
-
-    A bar of the level's own block is looked for first. For those that find none, the lowest reach of each
-    later block tells which block is the first with such a bar, and only that block is searched.
+    The children of level 0 are bars, and carry their times.
     """
-    key, of = ["symbol", "direction", "_b"], ["symbol", "direction", "which", "_i"]
-    near = levels.join(bars.select(*key, "index", "time", "reach"), key).groupBy(*of, "_b", "level").agg(F.min(F.when((F.col("index") > F.col("_i")) & (F.col("reach") <= F.col("level")), F.col("time"))).alias("at"))
-    near = reuse(near)
-    lows = bars.groupBy(*key).agg(F.min("reach").alias("_lowest")).withColumnRenamed("_b", "_later")
-    which = near.where("at is null").drop("at").join(lows, ["symbol", "direction"]).where("_later > _b and _lowest <= level").groupBy(*of, "level").agg(F.min("_later").alias("_b"))
-    far = which.join(bars.select(*key, "time", "reach"), key).where("reach <= level").groupBy(*of).agg(F.min("time").alias("at"))
-    return near.where("at is not null").select(*of, "at").unionByName(far)
+    level = bars.select("symbol", F.col("index").alias("at"), "low", "high", "time")
+    levels = []
+    for k in range(depth):
+        levels.append(level.withColumn("k", F.lit(k)))
+        level = level.groupBy("symbol", F.floor(F.col("at") / fan).alias("at")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.lit(None).cast("bigint").alias("time"))
+    rows = levels[0]
+    for more in levels[1:]:
+        rows = rows.unionByName(more)
+    child = F.struct(F.pmod("at", F.lit(fan)).alias("i"), "low", "high", "time")
+    return rows.groupBy("symbol", "k", F.floor(F.col("at") / fan).alias("parent")).agg(F.array_sort(F.collect_list(child)).alias("children"))
 
 
 def mitigation(bars: DataFrame, gaps: DataFrame, block: int = LOOK) -> DataFrame:
     """Adds mitigated(_time), filled(_time), end_time and penetration (0 to 1) by the bars after each gap.
 
-    The lowest reach after a gap is the smaller of that in the rest of its block and that of all later
-    blocks; both are running minima from the end.
+    The first bar that comes back to a price is found in a tree of lowest and highest prices: on the way up
+    a gap looks at the nodes to the right of its own, on the way down at the children of the first one that
+    reaches the price. Each step is a join with one row a gap, so the work is gaps times levels.
     """
     rows = bars if "index" in bars.columns else indexed(bars)
-    signed = _signed(rows).withColumn("_b", F.floor(F.col("index") / block))
+    fan = max(2, block)
+    last, depth = rows.agg(F.max("index")).first()[0] or 0, 1  # one number
+    while fan**depth <= last:
+        depth += 1
+    nodes = tree(rows, fan, depth)
     up = F.col("direction") == "bullish"
+    # prices as the direction sees them: the price that comes back into the gap, mirrored for bearish ones
+    reach = lambda c: F.when(up, c["low"]).otherwise(-c["high"])
     found = gaps.withColumns({"_touch": F.when(up, F.col("top")).otherwise(-F.col("bottom")), "_fill": F.when(up, F.col("bottom")).otherwise(-F.col("top"))})
-    levels = found.select("symbol", "direction", F.col("index").alias("_i"), F.floor(F.col("index") / block).alias("_b"), F.explode(F.array(F.struct(F.lit("touch").alias("which"), F.col("_touch").alias("level")), F.struct(F.lit("fill").alias("which"), F.col("_fill").alias("level")))).alias("x")).select("symbol", "direction", "_i", "_b", "x.which", "x.level")
-    times = _first(levels, signed).groupBy("symbol", "direction", F.col("_i").alias("index")).agg(F.max(F.when(F.col("which") == "touch", F.col("at"))).alias("mitigated_time"), F.max(F.when(F.col("which") == "fill", F.col("at"))).alias("filled_time"))
-    key = ["symbol", "direction"]
-    found = found.join(times, [*key, "index"], "left")
-    rest = F.min("reach").over(Window.partitionBy(*key, "_b").orderBy(F.desc("index")).rowsBetween(Window.unboundedPreceding, -1))
-    lows = signed.groupBy(*key, "_b").agg(F.min("reach").alias("_low"))
-    later = lows.withColumn("_later", F.min("_low").over(Window.partitionBy(*key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))).drop("_low")
-    after = signed.withColumn("_rest", rest).join(later, [*key, "_b"]).select(*key, "index", F.least("_rest", "_later").alias("_after"))
-    last = rows.groupBy("symbol").agg(F.max("time").alias("_last"))
-    found = found.join(after, [*key, "index"], "left").join(last, "symbol")
-    depth = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("_touch") - F.col("_after"), F.col("size"))))
-    return found.select("symbol", "direction", "index", "time", "start_time", F.coalesce("filled_time", "_last").alias("end_time"), "bottom", "top", "midpoint", "size", "size_percent", F.col("mitigated_time").isNotNull().alias("mitigated"), "mitigated_time", F.col("filled_time").isNotNull().alias("filled"), "filled_time", F.when(F.col("_after").isNull(), F.lit(0.0)).otherwise(F.coalesce(depth, F.lit(0.0))).alias("penetration"))
+    nothing = F.lit(None).cast("struct<k:int,at:bigint,time:bigint>")
+    found = found.withColumns({"_t": nothing, "_f": nothing, "_after": F.lit(None).cast("double")})
+    for k in range(depth):
+        own, parent = F.floor(F.col("index") / fan**k), F.floor(F.col("index") / fan ** (k + 1))
+        here = nodes.where(F.col("k") == k).select("symbol", F.col("parent").alias("_p"), "children")
+        found = found.withColumn("_p", parent).join(here, ["symbol", "_p"], "left")
+        right = F.filter("children", lambda c: c["i"] > F.pmod(own, F.lit(fan)))  # noqa: B023
+        found = found.withColumn("_right", right)
+        first = lambda level: F.get(F.filter("_right", lambda c: reach(c) <= level), F.lit(0))
+        node = lambda c: F.when(c.isNotNull(), F.struct(F.lit(k).alias("k"), (F.col("_p") * fan + c["i"]).alias("at"), c["time"].alias("time")))  # noqa: E731, B023
+        found = found.withColumns({"_t": F.coalesce("_t", node(first(F.col("_touch")))), "_f": F.coalesce("_f", node(first(F.col("_fill")))), "_after": F.least("_after", F.array_min(F.transform("_right", reach)))})
+        found = found.drop("_p", "children", "_right")
+    for k in range(depth - 1, 0, -1):
+        for name, level in (("_t", "_touch"), ("_f", "_fill")):
+            below = nodes.where(F.col("k") == k - 1).select("symbol", F.col("parent").alias("_p"), "children")
+            found = found.withColumn("_p", F.when(F.col(f"{name}.k") == k, F.col(f"{name}.at"))).join(below, ["symbol", "_p"], "left")
+            c = F.get(F.filter("children", lambda c: reach(c) <= F.col(level)), F.lit(0))  # noqa: B023
+            down = F.struct(F.lit(k - 1).alias("k"), (F.col("_p") * fan + c["i"]).alias("at"), c["time"].alias("time"))
+            found = found.withColumn(name, F.when(F.col("_p").isNotNull(), down).otherwise(F.col(name))).drop("_p", "children")
+    ends = rows.groupBy("symbol").agg(F.max("time").alias("_last"))
+    found = found.join(ends, "symbol")
+    depth_of = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("_touch") - F.col("_after"), F.col("size"))))
+    return found.select("symbol", "direction", "index", "time", "start_time", F.coalesce("_f.time", "_last").alias("end_time"), "bottom", "top", "midpoint", "size", "size_percent", F.col("_t").isNotNull().alias("mitigated"), F.col("_t.time").alias("mitigated_time"), F.col("_f").isNotNull().alias("filled"), F.col("_f.time").alias("filled_time"), F.when(F.col("_after").isNull(), F.lit(0.0)).otherwise(F.coalesce(depth_of, F.lit(0.0))).alias("penetration"))
 
 
 def fair_value_gaps(bars: DataFrame, min_size_percent: float = 0.0, include_filled: bool = True) -> DataFrame:
-    rows = reuse(bars if "index" in bars.columns else indexed(bars))
-    found = mitigation(rows, reuse(detect(rows, min_size_percent)))
+    """Gaps and what became of them. ``bars`` are read several times, so they should be a table."""
+    rows = bars if "index" in bars.columns else indexed(bars)
+    found = mitigation(rows, detect(rows, min_size_percent))
     return found if include_filled else found.where("not filled")
 
 
 def containing(points: DataFrame, gaps: DataFrame, time: str = "time", price: str = "price") -> DataFrame:
     """Adds ``gap_time``: the earliest gap that existed, was not filled before, and holds the price.
 
-    Points and gaps meet by symbol; a gap filled at that very time still counts.
+    A gap filled at that very time still counts. Points and gaps meet in cells of time and price: a gap lies in
+    cells as long and as high as itself (two by two of them at most), and a point asks in one cell of each
+    size that gaps of its symbol have. So a point meets gaps that are near in both, not all of its symbol.
     """
-    g = gaps.select("symbol", F.col("time").alias("_gt"), "bottom", "top", "filled_time")
-    keyed = points.withColumn("_row", F.struct(*(F.col(c) for c in points.columns)))
-    holds = (F.col("_gt") <= F.col(time)) & (F.col("filled_time").isNull() | (F.col("filled_time") >= F.col(time))) & F.col(price).between(F.col("bottom"), F.col("top"))
-    first = keyed.join(g, "symbol").where(holds).groupBy("_row").agg(F.min("_gt").alias("gap_time"))
+    open_end = F.lit(1 << 62)
+    g = gaps.select("symbol", F.col("time").alias("_gt"), "bottom", "top", F.coalesce("filled_time", open_end).alias("_gf"))
+    span = F.greatest(F.col("_gf") - F.col("_gt"), F.lit(1)).cast("double")
+    # sizes are numbers of steps: time in powers of LONGER, without end for gaps still open; price in powers of two
+    long = F.when(F.col("_gf") == open_end, F.lit(99)).otherwise(F.greatest(F.lit(0), F.ceil(F.log(span / STRETCH) / F.log(F.lit(float(LONGER)))).cast("int")))
+    high = F.ceil(F.log2(F.greatest(F.col("top") - F.col("bottom"), F.lit(1e-12)))).cast("int")
+    g = g.withColumns({"_long": long, "_high": high})
+
+    def stretch(t: Column) -> Column:
+        return F.when(F.col("_long") == 99, F.lit(0).cast("bigint")).otherwise(F.floor(t / (STRETCH * F.pow(F.lit(float(LONGER)), F.col("_long")))))
+
+    def cell(p: Column) -> Column:
+        return F.floor(p / F.pow(F.lit(2.0), F.col("_high")))
+
+    sizes = g.select("symbol", "_long", "_high").distinct()
+    g = g.withColumn("_s", F.explode(F.sequence(stretch(F.col("_gt")), stretch(F.col("_gf"))))).withColumn("_c", F.explode(F.sequence(cell(F.col("bottom")), cell(F.col("top")))))
+    keyed = points.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in points.columns))).select("_row", "symbol", F.col(time).alias("_time"), F.col(price).alias("_price"))
+    asked = keyed.join(sizes, "symbol").withColumns({"_s": stretch(F.col("_time")), "_c": cell(F.col("_price"))})
+    holds = (F.col("_gt") <= F.col("_time")) & (F.col("_gf") >= F.col("_time")) & F.col("_price").between(F.col("bottom"), F.col("top"))
+    first = asked.join(g, ["symbol", "_long", "_high", "_s", "_c"]).where(holds).groupBy("_row").agg(F.min("_gt").alias("gap_time"))
     return keyed.select("_row").join(first, "_row", "left").select("_row.*", "gap_time")

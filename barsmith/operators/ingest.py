@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from barsmith.functions.numbers import finite
 from barsmith.functions.time import unit_to_ms
+from barsmith.operators.blocks import BLOCK, previous
 
+#: Names of fields, the preferred one first.
 ALIASES = {"time": ("time", "timestamp", "t", "date"), "open": ("open", "o"), "high": ("high", "h"), "low": ("low", "l"), "close": ("close", "c"), "volume": ("volume", "v")}
 PRICES = ("open", "high", "low", "close")
+#: Keys under which vendors put their list, in order of preference.
+ENVELOPES = ("bars", "data", "results", "candles", "ohlcv")
 
 
 def field(record: Column, names: tuple[str, ...]) -> Column:
@@ -32,17 +36,40 @@ def from_lists(rows: DataFrame, record: str = "record") -> DataFrame:
     return rows.select("symbol", "ingest_seq", *(item(i).alias(c) for i, c in enumerate(("time", *PRICES))), volume.alias("volume"))
 
 
+def _lean(text: Column) -> Column:
+    return F.ltrim(text, F.lit(" \t\r\n"))
+
+
+def records(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """Vendor JSON to (symbol, ingest_seq, record): each record's JSON text, in the order sent.
+
+    A payload is a bare list, a list under a known key (the first that holds one), or columns t, o, h, l, c, v of
+    equal length (without v, a volume of 0). Any other payload gives no rows.
+    """
+    text = F.col(payload)
+    found = [text, *(F.get_json_object(text, f"$.{k}") for k in ENVELOPES)]
+    listed = [F.when(F.startswith(_lean(c), F.lit("[")), F.from_json(c, "array<string>")) for c in found]
+    lists = [F.from_json(F.get_json_object(text, f"$.{k}"), "array<string>") for k in "tohlcv"]
+    zeros = F.transform(lists[0], lambda _: F.lit("0"))
+    zipped = F.arrays_zip(*(c.alias(k) for c, k in zip([*lists[:5], F.when(F.size(lists[5]) > 0, lists[5]).otherwise(zeros)], "tohlcv")))
+    columnar = F.transform(zipped, lambda z: F.to_json(F.create_map(*(x for k in "tohlcv" for x in (F.lit(k), z[k])))))
+    every = F.coalesce(*listed, F.when(lists[0].isNotNull(), columnar))
+    return rows.select("symbol", F.posexplode(every).alias("ingest_seq", "record"))
+
+
 def unwrap(rows: DataFrame, payload: str = "payload") -> DataFrame:
-    """Vendor JSON to (symbol, ingest_seq, record map): a bare list, a list under a known key, or columns t, o, h, l, c, v."""
-    as_maps = "array<map<string,string>>"
-    listed = [F.from_json(payload, as_maps), *(F.from_json(F.get_json_object(payload, f"$.{k}"), as_maps) for k in ("bars", "data", "results", "candles", "ohlcv"))]
-    lists = [F.from_json(F.get_json_object(payload, f"$.{k}"), "array<string>") for k in "tohlcv"]
-    empty = F.transform(lists[0], lambda _: F.lit("0"))
-    zipped = F.arrays_zip(*(c.alias(k) for c, k in zip([*lists[:5], F.coalesce(lists[5], empty)], "tohlcv")))
-    columnar = F.transform(zipped, lambda z: F.create_map(*(x for k in "tohlcv" for x in (F.lit(k), z[k]))))
-    # a list with null records only is the wrong reading of another form
-    usable = [F.when(F.exists(c, lambda m: m.isNotNull()), F.filter(c, lambda m: m.isNotNull())) for c in listed]
-    return rows.select("symbol", F.posexplode(F.coalesce(*usable, F.when(lists[0].isNotNull(), columnar))).alias("ingest_seq", "record"))
+    """The records of vendor JSON that are objects: (symbol, ingest_seq, record map)."""
+    found = records(rows, payload).where(F.startswith(_lean(F.col("record")), F.lit("{")))
+    return found.select("symbol", "ingest_seq", F.from_json("record", "map<string,string>").alias("record"))
+
+
+def from_payloads(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """Vendor JSON to raw columns, whether its records are objects or lists; other records give null prices."""
+    found = records(rows, payload)
+    listed = F.startswith(_lean(F.col("record")), F.lit("["))
+    lists = from_lists(found.where(listed).withColumn("record", F.from_json("record", "array<string>")))
+    maps = from_maps(found.where(F.coalesce(~listed, F.lit(True))).withColumn("record", F.coalesce(F.from_json("record", "map<string,string>"), F.create_map().cast("map<string,string>"))))
+    return maps.unionByName(lists)
 
 
 def normalize(raw: DataFrame) -> DataFrame:
@@ -67,8 +94,8 @@ def report(raw: DataFrame) -> DataFrame:
     """One row a symbol: received, kept, malformed, duplicate, reordered, repaired, missing_volume."""
     rows = _marked(raw)
     good = F.col("reason").isNull()
-    late = F.col("time") < F.lag("time").over(Window.partitionBy("symbol").orderBy("ingest_seq"))
-    order = rows.where(good).withColumn("late", late).groupBy("symbol").agg(F.max(F.coalesce("late", F.lit(False))).alias("reordered"))
+    near = previous(rows.where(good), ["symbol"], F.floor(F.col("ingest_seq") / BLOCK), ["ingest_seq"], ["time"])
+    order = near.groupBy("symbol").agg(F.max(F.coalesce(F.col("time") < F.col("_prev.time"), F.lit(False))).alias("reordered"))
     kept = rows.where(good).select("symbol", "time").distinct().groupBy("symbol").agg(F.count(F.lit(1)).alias("kept"))
     counts = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("received"), F.count_if(~good).alias("malformed"), F.count_if(F.col("repaired")).alias("repaired"), F.count_if(good & F.col("no_volume")).alias("missing_volume"))
     out = counts.join(kept, "symbol", "left").join(order, "symbol", "left").withColumn("kept", F.coalesce("kept", F.lit(0)).cast("bigint"))

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barsmith.operators.blocks import BLOCK, running
+
 START, LEAST_SAMPLE = 100.0, 20
 
 
 def equity_curve(trades: DataFrame) -> DataFrame:
-    """(trade_number, time, equity, drawdown), each rounded to six digits.
-
-    A run of trades is one series; a backtest has no more of them than matches.
-    """
-    w = Window.orderBy("trade_number").rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("_e", START * F.product(1 + F.col("net_return") / 100).over(w))
-    rows = rows.withColumn("_peak", F.greatest(F.lit(START), F.max("_e").over(w)))
+    """(trade_number, time, equity, drawdown), each rounded to six digits. Running values go by blocks of trades."""
+    rows = trades.select("trade_number", F.col("exit_time").alias("time"), "net_return", F.lit(0).alias("_all"))
+    block = F.floor((F.col("trade_number") - 1) / BLOCK)
+    rows = running(rows, ["_all"], block, ["trade_number"], {"_e": ("product", 1 + F.col("net_return") / 100)}).withColumn("_e", START * F.col("_e"))
+    rows = running(rows, ["_all"], block, ["trade_number"], {"_peak": ("max", F.greatest(F.lit(START), F.col("_e")))})
     drawdown = F.when(F.col("_peak") > 0, (F.col("_e") - F.col("_peak")) / F.col("_peak") * 100).otherwise(0.0)
-    return rows.select("trade_number", F.col("exit_time").alias("time"), F.round("_e", 6).alias("equity"), F.round(drawdown, 6).alias("drawdown"))
+    return rows.select("trade_number", "time", F.round("_e", 6).alias("equity"), F.round(drawdown, 6).alias("drawdown"))
 
 
 def maximum_drawdown(curve: DataFrame) -> DataFrame:
@@ -26,9 +26,9 @@ def maximum_drawdown(curve: DataFrame) -> DataFrame:
 
 def streaks(trades: DataFrame) -> DataFrame:
     """One row: the longest runs of winning and of losing trades; a trade that breaks even ends both."""
-    sign = F.signum("net_return").cast("int")
-    w = Window.orderBy("trade_number")
-    rows = trades.select("trade_number", sign.alias("s")).withColumn("_run", F.row_number().over(w) - F.row_number().over(Window.partitionBy("s").orderBy("trade_number")))
+    rows = trades.select("trade_number", F.signum("net_return").cast("int").alias("s"))
+    block = F.floor((F.col("trade_number") - 1) / BLOCK)
+    rows = running(rows, ["s"], block, ["trade_number"], {"_k": ("sum", F.lit(1))}).withColumn("_run", F.col("trade_number") - F.col("_k"))
     runs = rows.groupBy("s", "_run").agg(F.count(F.lit(1)).alias("n"))
     most = lambda s: F.coalesce(F.max(F.when(F.col("s") == s, F.col("n"))), F.lit(0)).cast("bigint")
     return runs.agg(most(1).alias("longest_winning_streak"), most(-1).alias("longest_losing_streak"))

@@ -28,13 +28,13 @@ def coalesce(ranges: DataFrame, step: int, bars: int = 4, keys=KEYS) -> DataFram
 
 
 def missing(covered: DataFrame, requested: DataFrame, keys=KEYS) -> DataFrame:
-    """What of each requested range (one a key) is not covered."""
-    wanted = requested.select(*keys, F.col("start").alias("_from"), F.col("end").alias("_to"))
+    """What of each requested range is not covered; a key may have several."""
+    wanted = requested.select(*keys, F.col("start").alias("_from"), F.col("end").alias("_to")).distinct()
     inside = wanted.join(covered.select(*keys, "start", "end"), list(keys), "left").where("start is null or (start <= _to and end >= _from)")
     inside = inside.unionByName(wanted.withColumns({"start": F.lit(None).cast("bigint"), "end": F.lit(None).cast("bigint")}))
     # a last row past the end closes the final gap
     inside = inside.unionByName(wanted.withColumns({"start": F.col("_to") + 1, "end": F.col("_to") + 1})).where("start is not null")
-    order = Window.partitionBy(*keys).orderBy("start", "end")
+    order = Window.partitionBy(*keys, "_from", "_to").orderBy("start", "end")
     done = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     gaps = inside.withColumn("gap_start", F.greatest(F.coalesce(done + 1, F.col("_from")), F.col("_from"))).withColumn("gap_end", F.least(F.col("start") - 1, F.col("_to")))
     return gaps.where("gap_start <= gap_end").select(*keys, F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))

@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from barsmith.operators.blocks import BLOCK, in_blocks, indexed
 
-EPSILON = 1e-12
+#: What counts as zero, bars of the trailing deviation, windows scored at once.
+EPSILON, TRAIL, AT_ONCE = 1e-12, 5, 4096
 #: The parts of a feature vector, in order, and their weights.
 WEIGHTS = (("normalised_close", 1.0), ("returns", 0.9), ("body", 0.6), ("upper_wick", 0.4), ("lower_wick", 0.4), ("volatility", 0.5), ("volume", 0.3))
-TRAIL = 5
-AT_ONCE = 4096
 
 
 def _ratio(a: np.ndarray, b: np.ndarray, otherwise: float) -> np.ndarray:
@@ -58,6 +57,7 @@ class Pattern:
     length: int
     bars: np.ndarray  # (5, length): open, high, low, close, volume
     normalized: tuple[float, ...]
+    selected: int
 
     def vector(self, volume: bool) -> np.ndarray:
         return features(*(row[None] for row in self.bars), volume)[0]
@@ -77,7 +77,7 @@ def pattern(selection: DataFrame, length: int | None = None, least: int = 5, mos
     if wanted != len(rows):
         columns = np.stack([resample(x, wanted) for x in columns])
     closes = rows[:, 3]
-    return Pattern(wanted, columns, tuple(round(float(x), 4) for x in (closes / closes[0] - 1) * 100))
+    return Pattern(wanted, columns, tuple(round(float(x), 4) for x in (closes / closes[0] - 1) * 100), len(rows))
 
 
 def scores(bars: DataFrame, query: Pattern) -> DataFrame:
@@ -116,15 +116,32 @@ def scores(bars: DataFrame, query: Pattern) -> DataFrame:
     return dealt.groupBy("symbol", "_block").applyInPandas(score, shape)
 
 
-def eligible(scored: DataFrame, bars: DataFrame, *, threshold: float, future: int = 0, exclude: list[tuple[int, int]] = ()) -> DataFrame:
-    """Windows similar enough, with ``future`` bars after them, that touch none of the excluded time ranges."""
+def eligible(scored: DataFrame, bars: DataFrame, *, threshold: float, future: int = 0, exclude: list[tuple[int, int]] = (), exclude_of: list[tuple[str, int, int]] = ()) -> DataFrame:
+    """Windows similar enough, with ``future`` bars after them, that touch none of the excluded time ranges (of all symbols, or of one)."""
     last = bars.groupBy("symbol").agg((F.count(F.lit(1)) - 1).alias("_last"))
     rows = scored.join(last, "symbol").where((F.col("similarity") >= threshold) & (F.col("end_index") + future <= F.col("_last"))).drop("_last")
     for start, end in exclude:
         rows = rows.where(~((F.col("start_time") <= end) & (F.col("end_time") >= start)))
+    for symbol, start, end in exclude_of:
+        rows = rows.where(~((F.col("symbol") == symbol) & (F.col("start_time") <= end) & (F.col("end_time") >= start)))
     return rows
 
 
+def guarded(rows: DataFrame, length: int, most: int) -> None:
+    """ValueError if a series has more windows than ``most``."""
+    found = rows.groupBy("symbol").agg((F.count(F.lit(1)) - length + 1).alias("n")).agg(F.max("n")).first()[0] or 0  # one number
+    if found > most:
+        raise ValueError(f"a search of {found} windows; at most {most} are allowed")
+
+
+def with_series(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """Adds ``normalized``: the closes of each match as changes from its first one in percent, four digits."""
+    steps = matches.select("id", "symbol", F.explode(F.sequence("start_index", "end_index")).alias("index"))
+    closes = steps.join(rows.select("symbol", "index", "close"), ["symbol", "index"]).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "close"))), lambda x: x["close"]).alias("_c"))
+    change = F.transform("_c", lambda c: F.round((c / F.get("_c", F.lit(0)) - 1) * 100, 4))
+    return matches.join(closes, "id").withColumn("normalized", change).drop("_c")
+
+
 def spaced(candidates: DataFrame, k: int, separation: int) -> DataFrame:
     """Greedily the ``k`` most similar windows of each symbol whose starts are ``separation`` apart, with their ``rank``.
 
@@ -152,27 +169,64 @@ def match_id(symbol="symbol", start="start_time", length: int = 0):
     return F.substring(F.sha2(F.concat_ws("|", symbol, start, F.lit(length)), 256), 1, 32)
 
 
+#: Queries and vectors compared in one matrix.
+QUERIES, VECTORS = 2048, 1024
+
+
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the ``k`` rows of the largest cosine for a stated, small set of queries.
+    """(query_id, vec_id, similarity, rank): for each query the ``k`` rows of the largest cosine, smaller ids first among equals.
 
-    The queries are sent to every partition in blocks; each partition keeps the k best of each before the shuffle.
+    Queries are cut into blocks of about QUERIES, vectors into parts; a task compares one block with one part, tile by
+    tile, and keeps k of each query. Null embeddings, as query or vector, are left out; a zero vector is like nothing (0).
     """
-    ids = queries.select("vec_id", "embedding").toPandas()
-    if ids.empty:
-        return vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
-    q = np.stack(ids["embedding"].to_numpy()).astype(np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    names = ids["vec_id"].to_numpy()
+    spark = vectors.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = queries.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    blocks = max(1, -(-asked.count() // QUERIES))  # one number
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    q = asked.select(block.alias("block"), F.explode(every).alias("part"), F.lit(0).alias("place"), "vec_id", "embedding")
+    v = vectors.where("vec_id is not null and embedding is not null").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part.alias("part"), F.lit(1).alias("place"), "vec_id", "embedding")
+    rows = q.unionByName(v).repartition(parts * blocks, "block", "part").sortWithinPartitions("block", "part", "place", "vec_id")
+
+    def unit(x: pd.Series) -> np.ndarray:
+        x = np.stack(x.to_numpy()).astype(np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -scores), axis=-1)[:, :k]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = q @ x.T
-            s[names[:, None] == b["vec_id"].to_numpy()[None]] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(names, top.shape[1]), "vec_id": b["vec_id"].to_numpy()[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, similarity double")
+        key, asking, names, ids, scores = None, [], None, None, None
+
+        def done() -> Iterator[pd.DataFrame]:
+            if ids is not None:
+                real = np.isfinite(scores)
+                yield pd.DataFrame({"query_id": np.repeat(names, ids.shape[1])[real.ravel()], "vec_id": ids[real], "similarity": scores[real]})
+
+        for batch in batches:
+            for at, group in batch.groupby(["block", "part", "place"], sort=False):
+                if at[:2] != key:
+                    yield from done()
+                    key, asking, ids = at[:2], [], None
+                if at[2] == 0:
+                    asking.append(group)
+                    continue
+                if not asking:
+                    continue
+                if ids is None:
+                    names, x = np.concatenate([g["vec_id"].to_numpy() for g in asking]), unit(pd.concat([g["embedding"] for g in asking]))
+                    ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+                for i in range(0, len(group), VECTORS):
+                    tile = group.iloc[i : i + VECTORS]
+                    there = tile["vec_id"].to_numpy()
+                    found = x @ unit(tile["embedding"]).T
+                    found[names[:, None] == there[None]] = -np.inf
+                    ids, scores = best(np.hstack([ids, np.broadcast_to(there, found.shape)]), np.hstack([scores, found]))
+        yield from done()
+
+    found = rows.mapInPandas(run, "query_id bigint, vec_id bigint, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.where("similarity > double('-Infinity')").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -1,20 +1,23 @@
-"""The bar cache: upsert, coverage, statistics, runs."""
+"""The bar cache: upsert, coverage, statistics, runs. Plain Parquet, partitioned; one writer at a time."""
 
 from __future__ import annotations
 
-import json
-import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from barsmith.functions.intervals import DAY
 from barsmith.operators import ranges
+from barsmith.operators.tables import kept
 
 KEY = ["symbol", "interval", "time"]
-POINTER = "number int, path string, schema string"
+CANDLES = "time bigint, open double, high double, low double, close double, volume double, provider string, fetched_at bigint, symbol string, interval string, part bigint"
+COVERAGE = "start bigint, end bigint, symbol string, interval string"
+RUNS = "created_at bigint, primary_symbol string, interval string, status string, configuration string, summary string, run string"
+#: Milliseconds of bars in one folder of the cache.
+PART = 30 * DAY
 
 
 def latest(existing: DataFrame, incoming: DataFrame, keys=KEY) -> DataFrame:
@@ -24,6 +27,11 @@ def latest(existing: DataFrame, incoming: DataFrame, keys=KEY) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_new")
 
 
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of both, incoming ones in the place of existing ones of the same key. Keys are unique in each."""
+    return existing.join(incoming, keys, "left_anti").unionByName(incoming)
+
+
 def statistics(candles: DataFrame) -> DataFrame:
     """Per symbol and interval, and in all (both null): bars, first and last time, provider (the last in the alphabet), last fetch."""
     out = candles.rollup("symbol", "interval").agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("bars"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.max("provider").alias("provider"), F.max("fetched_at").alias("last_fetch"))
@@ -35,92 +43,92 @@ def latest_provider(candles: DataFrame) -> DataFrame:
     return candles.groupBy("symbol", "interval").agg(F.max_by("provider", F.struct("fetched_at", "time")).alias("provider"))
 
 
+def listed(runs: DataFrame, n: int = 50) -> DataFrame:
+    """The newest runs with the figures that a list shows, read from the JSON of their summaries."""
+    figure = lambda k, t: F.get_json_object("summary", f"$.{k}").cast(t).alias(k)
+    return runs.orderBy(F.desc("created_at"), "run").limit(n).select("run", "created_at", "primary_symbol", "interval", "status", figure("trades_executed", "bigint"), figure("win_rate", "double"), figure("net_return", "double"))
+
+
 class Store:
-    """Parquet tables under one folder. A write makes a new version beside the old one and then points to it.
+    """Parquet tables under one folder. A write replaces the folders of the partitions that it touches, and no others.
 
-    ``candles`` is partitioned by symbol and interval, so a read of one series opens only its files.
+    Parquet folders know no transactions: one process writes at a time, and a reader of a partition that is being
+    replaced may have to read again.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _versions(self, name: str) -> list:
-        """The writes of a table in order: number, path and schema, one short row each."""
+    def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(POINTER).parquet(f"{self.folder}/{name}/_pointers").orderBy("number").collect()
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
-                return []
+                return self.spark.createDataFrame([], schema)
             raise
 
-    def read(self, name: str) -> DataFrame | None:
-        found = self._versions(name)
-        return self._open(found[-1]["path"], found[-1]["schema"]) if found else None
+    def _write(self, name: str, rows: DataFrame, by: list[str], dynamic: bool = True) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy(*by).parquet(f"{self.folder}/{name}")
 
-    def _open(self, path: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(path)
+    def candles(self) -> DataFrame:
+        return self._read("candles", CANDLES)
 
-    def replace(self, name: str, rows: DataFrame, partition_by=()) -> DataFrame:
-        number = len(self._versions(name))
-        path, schema = f"{self.folder}/{name}/v{number:06d}-{uuid.uuid4().hex[:8]}", rows.schema.json()
-        rows.write.partitionBy(*partition_by).parquet(path)
-        self.spark.createDataFrame([(number, path, schema)], POINTER).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}/_pointers")
-        return self._open(path, schema)
-
-    def save_candles(self, candles: DataFrame) -> DataFrame:
-        old = self.read("candles")
-        rows = candles if old is None else latest(old, candles)
-        if old is None:
-            rows = latest(candles.limit(0), candles)
-        return self.replace("candles", rows, ("symbol", "interval"))
+    def save_candles(self, candles: DataFrame) -> None:
+        new = candles.withColumn("part", F.floor(F.col("time") / PART))
+        touched = kept(new.select("symbol", "interval", "part").distinct(), "touched")
+        old = self.candles().join(touched, ["symbol", "interval", "part"], "left_semi")
+        self._write("candles", kept(latest(old, new), "upsert"), ["symbol", "interval", "part"])
 
     def load_candles(self, symbol: str, interval: str, start: int, end: int) -> DataFrame:
-        rows = self.read("candles")
-        if rows is None:
-            return self.spark.createDataFrame([], "symbol string, time bigint, open double, high double, low double, close double, volume double")
-        return rows.where((F.col("symbol") == symbol) & (F.col("interval") == interval) & F.col("time").between(start, end)).select("symbol", "time", "open", "high", "low", "close", "volume")
+        """Opens the files of one series and stretch of time only."""
+        inside = F.col("part").between(start // PART, end // PART) & F.col("time").between(start, end)
+        return self.candles().where((F.col("symbol") == symbol) & (F.col("interval") == interval) & inside).select("symbol", "time", "open", "high", "low", "close", "volume")
+
+    def coverage(self) -> DataFrame:
+        return self._read("coverage", COVERAGE)
 
-    def record_coverage(self, covered: DataFrame) -> DataFrame:
-        old = self.read("coverage")
-        both = covered.select("symbol", "interval", "start", "end")
-        return self.replace("coverage", ranges.merge(both if old is None else old.unionByName(both)))
+    def record_coverage(self, covered: DataFrame) -> None:
+        new = covered.select("symbol", "interval", "start", "end")
+        old = self.coverage().join(kept(new.select("symbol", "interval").distinct(), "touched"), ["symbol", "interval"], "left_semi")
+        self._write("coverage", kept(ranges.merge(old.unionByName(new)), "coverage"), ["symbol", "interval"])
 
     def missing(self, requested: DataFrame) -> DataFrame:
-        covered = self.read("coverage")
-        return ranges.missing(requested.limit(0).select("symbol", "interval", "start", "end") if covered is None else covered, requested)
+        return ranges.missing(self.coverage(), requested)
 
     def clear(self, symbol: str | None = None) -> None:
         """Forgets all bars and coverage, or those of one symbol."""
-        for name, parts in (("candles", ("symbol", "interval")), ("coverage", ())):
-            rows = self.read(name)
-            if rows is not None:
-                self.replace(name, rows.limit(0) if symbol is None else rows.where(F.col("symbol") != symbol), parts)
-
-    def save_run(self, run_id: str, header: DataFrame, matches: DataFrame, trades: DataFrame) -> None:
-        """Children first, the header last: a run without a header does not exist."""
+        for name, rows, by in (("candles", self.candles(), ["interval", "part"]), ("coverage", self.coverage(), ["interval"])):
+            if symbol is None:
+                self._write(name, rows.limit(0), ["symbol", *by], dynamic=False)
+            else:
+                self._write(f"{name}/symbol={symbol}", rows.limit(0).drop("symbol"), by, dynamic=False)
+
+    def save_run(self, header: DataFrame, matches: DataFrame, trades: DataFrame) -> None:
+        """Tables with a column ``run``. Children first, the header last: a run without a header does not exist."""
         for name, rows in (("matches", matches), ("trades", trades), ("runs", header)):
-            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/run={run_id}")
+            self._write(name, rows, ["run"])
+
+    def runs(self) -> DataFrame:
+        return self._read("runs", RUNS)
 
-    def load_run(self, run_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return tuple(self.spark.read.parquet(f"{self.folder}/{name}/run={run_id}") for name in ("runs", "matches", "trades"))
+    def load_run(self, run: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return tuple(self.spark.read.parquet(f"{self.folder}/{name}").where(F.col("run") == run) for name in ("runs", "matches", "trades"))
 
     def list_runs(self, n: int = 50) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/runs").orderBy(F.desc("created_at")).limit(n)
+        return listed(self.runs(), n)
 
     def delete_runs(self, before: int, dry_run: bool = True) -> DataFrame:
         """Runs created before a time with the number of their matches and trades; they are forgotten unless ``dry_run``."""
-        old = self.spark.read.parquet(f"{self.folder}/runs").where(F.col("created_at") < before).select("run", "created_at")
-        for name in ("matches", "trades"):
-            counts = self.spark.read.parquet(f"{self.folder}/{name}").join(old, "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias(name))
+        old = self.runs().where(F.col("created_at") < before).select("run", "created_at")
+        children = {name: self.spark.read.parquet(f"{self.folder}/{name}") for name in ("matches", "trades")}
+        for name, rows in children.items():
+            counts = rows.join(old, "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias(name))
             old = old.join(counts, "run", "left").fillna(0, [name])
+        old = kept(old, "old-runs")
         if not dry_run:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            rows = old.collect()  # one row a run
-            for r in rows:
-                for name in ("runs", "trades", "matches"):
-                    path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/run={r['run']}")
-                    path.getFileSystem(conf).delete(path, True)
-            return self.spark.createDataFrame(rows, old.schema)
+            rest = {"runs": self.runs(), **children}
+            for name, rows in ((n, kept(r.join(old, "run", "left_anti"), n)) for n, r in rest.items()):
+                self._write(name, rows, ["run"], dynamic=False)
         return old
 
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.functions import intervals, numbers, time
 from barsmith.operators import asof, bars, divergence, gaps, ingest, metrics, ranges, similarity, simulate, store, structure
-from barsmith.operators.blocks import indexed, reuse
+from barsmith.operators.blocks import indexed
+from barsmith.operators.tables import kept
+from barsmith.operators.tables import shared_folder
+from barsmith.plans import present, service
 from barsmith.sources import catalog, demo
 
 HOUR = intervals.HOUR
-PRIMARY, REFERENCE = "click", "view"
+PRIMARY = "click"
 #: The pattern of the search queries: bars 100 to 111 of the primary symbol; threshold, matches, distance.
 PATTERN_AT, PATTERN_LENGTH, THRESHOLD, MATCHES, SEPARATION, FUTURE = 100, 12, 0.3, 10, 6, 26
 
@@ -30,7 +36,7 @@ def hourly(spark, sf_dir):
 
 def placed(spark, sf_dir):
     """Hourly bars with their positions, kept for plans that read them several times."""
-    return reuse(indexed(hourly(spark, sf_dir)))
+    return kept(indexed(hourly(spark, sf_dir)))
 
 
 def ohlcv(name):
@@ -81,19 +87,22 @@ def gap_containing(spark, sf_dir):
     return gaps.containing(structure.swing_points(rows, 2).select("symbol", "kind", "time", "price"), gaps.fair_value_gaps(rows))
 
 
-def smt(include_invalid, only=None):
+REFERENCES = ["view", "signup", "purchase", "error"]
+
+
+def smt(include_invalid):
+    """The primary symbol against all others."""
+
     def query(spark, sf_dir):
-        rows = reuse(indexed(hourly(spark, sf_dir).where(F.col("symbol").isin(PRIMARY, REFERENCE))))
-        points, found = reuse(structure.swing_points(rows, 1)), reuse(gaps.fair_value_gaps(rows))
-        of = lambda df, s: df.where(F.col("symbol") == s)
-        return divergence.divergences(of(rows, PRIMARY), of(points, PRIMARY), of(rows, REFERENCE), of(points, REFERENCE), primary_symbol=PRIMARY, reference_symbol=REFERENCE, primary_gaps=of(found, PRIMARY), reference_gaps=of(found, REFERENCE), include_invalid=include_invalid)
+        rows = placed(spark, sf_dir)
+        found = kept(gaps.fair_value_gaps(rows), "gaps")
+        return divergence.between(rows, structure.swing_points(rows, 1), found, PRIMARY, REFERENCES, include_invalid=include_invalid)
 
     return query
 
 
 def shared(spark, sf_dir):
-    rows = hourly(spark, sf_dir)
-    return divergence.shared_bars(rows.where(F.col("symbol") == PRIMARY), rows.where(F.col("symbol") == REFERENCE))
+    return divergence.shared_bars(hourly(spark, sf_dir), PRIMARY, REFERENCES)
 
 
 def tail_n(spark, sf_dir):
@@ -126,18 +135,19 @@ def pattern_topk_global(spark, sf_dir):
 
 
 def resample_linear(spark, sf_dir):
-    """Each symbol's first 30 closes interpolated at 12 points, without leaving the JVM."""
-    first = indexed(hourly(spark, sf_dir)).where("index < 30").groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "close"))), lambda x: x["close"]).alias("c"))
-    at = lambda i: i * (F.size("c") - 1) / 11.0
-    low = lambda i: F.floor(at(i)).cast("int")
-    value = lambda i: F.get("c", low(i)) + (F.get("c", F.least(low(i) + 1, F.size("c") - 1)) - F.get("c", low(i))) * (at(i) - low(i))
-    points = first.select("symbol", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(11)), value)).alias("point", "value"))
-    return points.select("symbol", "point", F.round("value", 8).alias("value"))
+    """The closes of every stretch of 30 bars interpolated at 12 points (the last stretch may be shorter)."""
+
+    def points(part: pd.DataFrame) -> pd.DataFrame:
+        values = similarity.resample(part.sort_values("index")["close"].to_numpy(), 12)
+        return pd.DataFrame({"symbol": part["symbol"].iloc[0], "stretch": part["stretch"].iloc[0], "point": range(12), "value": values})
 
+    rows = indexed(hourly(spark, sf_dir)).select("symbol", F.floor(F.col("index") / 30).alias("stretch"), "index", "close")
+    return rows.groupBy("symbol", "stretch").applyInPandas(points, "symbol string, stretch bigint, point int, value double").withColumn("value", F.round("value", 8))
 
-def fixed_matches(rows: DataFrame) -> DataFrame:
-    """Windows of twelve bars that end at every 37th bar, in place of a search."""
-    return rows.where("index % 37 = 20").select(F.concat_ws(":", "symbol", "index").alias("id"), "symbol", (F.col("index") - 11).alias("start_index"), F.col("index").alias("end_index"), F.lit(0.5).alias("similarity"))
+
+def all_windows(rows: DataFrame) -> DataFrame:
+    """Every window of twelve bars as a match."""
+    return rows.where("index >= 11").select(F.concat_ws(":", "symbol", "index").alias("id"), "symbol", (F.col("index") - 11).alias("start_index"), F.col("index").alias("end_index"), F.lit(0.5).alias("similarity"))
 
 
 #: The rules of each trade query; the SQL is made from the same table.
@@ -157,18 +167,18 @@ TRADES = {
 def trades(rules):
     def query(spark, sf_dir):
         rows = placed(spark, sf_dir)
-        return simulate.simulate(rows, fixed_matches(rows), rules)
+        return simulate.simulate(rows, all_windows(rows), rules)
 
     return query
 
 
 def _numbered(spark, sf_dir, name="trades_no_overlap"):
-    return reuse(simulate.numbered(trades(TRADES[name])(spark, sf_dir)))
+    return kept(simulate.numbered(trades(TRADES[name])(spark, sf_dir)))
 
 
 def outcomes(spark, sf_dir):
     rows = placed(spark, sf_dir)
-    found = fixed_matches(rows)
+    found = all_windows(rows)
     return simulate.outcomes(found, simulate.simulate(rows, found, TRADES["trades_no_overlap"])).select("id", "symbol", "end_index", "outcome", "net_return")
 
 
@@ -208,8 +218,8 @@ def quality(spark, sf_dir):
 def _points(spark, sf_dir):
     """Times between bars, some on a bar and some outside the series."""
     h = hourly(spark, sf_dir)
-    t = ticks(spark, sf_dir).where("seq % 10 = 3").select(F.col("seq").alias("id"), "symbol", F.when(F.col("seq") % 20 == 3, F.col("time") - F.pmod("time", F.lit(HOUR // 2))).when(F.col("seq") % 50 == 13, F.col("time") - 40 * 24 * HOUR).when(F.col("seq") % 50 == 33, F.col("time") + 40 * 24 * HOUR).otherwise(F.col("time")).alias("time"))
-    return t, reuse(indexed(h))
+    t = ticks(spark, sf_dir).select(F.col("seq").alias("id"), "symbol", F.when(F.col("seq") % 20 == 3, F.col("time") - F.pmod("time", F.lit(HOUR // 2))).when(F.col("seq") % 50 == 13, F.col("time") - 40 * 24 * HOUR).when(F.col("seq") % 50 == 33, F.col("time") + 40 * 24 * HOUR).otherwise(F.col("time")).alias("time"))
+    return t, kept(indexed(h))
 
 
 def nearest_bar(spark, sf_dir):
@@ -250,6 +260,155 @@ def daily_benchmark(spark, sf_dir):
     return rows.groupBy(F.col("l_returnflag").alias("symbol"), day.alias("day")).agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum("l_quantity").alias("volume"))
 
 
+def vendor_rows(spark, sf_dir):
+    """Hourly bars as vendors send them, a payload a day in one of four forms, read again and cleaned."""
+    h = hourly(spark, sf_dir).withColumn("day", F.floor(F.col("time") / intervals.DAY))
+    bar = F.struct("time", "open", "high", "low", "close", "volume")
+    days = h.groupBy("symbol", "day").agg(F.array_sort(F.collect_list(bar)).alias("b"))
+    items = lambda n: F.transform("b", lambda x: F.array(*(x[c].cast("string") for c in ("time", "open", "high", "low", "close", "volume")[:n])))
+    columns = F.struct(*(F.transform("b", lambda x: x[c]).alias(k) for c, k in (("time", "t"), ("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"), ("volume", "v"))))  # noqa: B023
+    form = F.pmod("day", F.lit(4))
+    payload = F.when(form == 0, F.to_json(items(6))).when(form == 1, F.to_json(F.struct(F.col("b").alias("bars")))).when(form == 2, F.to_json(F.struct(items(5).alias("data")))).otherwise(F.to_json(columns))
+    return ingest.normalize(ingest.from_payloads(days.select("symbol", payload.alias("payload"))).withColumn("ingest_seq", F.col("ingest_seq") + F.lit(0)))
+
+
+def edge_at_price(spark, sf_dir):
+    """Swing prices, a thousandfold and some of them moved a little, against edges of gaps at such prices."""
+    rows = placed(spark, sf_dir)
+    gap = gaps.detect(rows).select("symbol", "time", (F.col("bottom") * 1000).alias("bottom"), (F.col("top") * 1000).alias("top"))
+    points = structure.swing_points(rows, 1).select("symbol", "kind", "index", "time", (F.col("price") * 1000 * (1 + F.pmod("index", F.lit(4)) * 4e-10)).alias("price"))
+    return divergence.on_edges(points, gap).select("symbol", "kind", "index", "time", "on_edge")
+
+
+def _stored(spark, sf_dir):
+    """A cache with five-minute and hourly rows of all symbols."""
+    t = ticks(spark, sf_dir)
+    five, hour = (bars.from_ticks(t, n).withColumns({"interval": F.lit(n), "provider": F.lit("alpha"), "fetched_at": F.lit(1).cast("bigint")}) for n in ("5m", "1h"))
+    return five.unionByName(hour)
+
+
+#: The range of the cache queries, in the first days of 2024.
+FROM, TO = 1_704_205_800_000, 1_705_199_400_000
+
+
+def _fresh(spark):
+    return store.Store(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
+def cached_range(spark, sf_dir):
+    """A range of a cache that was written twice, the second time with other closes for some hours."""
+    first, second = _candles(spark, sf_dir)
+    s = _fresh(spark)
+    s.save_candles(first)
+    s.save_candles(second)
+    return s.load_candles(PRIMARY, "1h", FROM, TO)
+
+
+def cache_cleared(spark, sf_dir):
+    """What a cache and its coverage hold after one symbol was forgotten."""
+    s = _fresh(spark)
+    s.save_candles(_candles(spark, sf_dir)[0])
+    s.record_coverage(_coverage(spark, sf_dir))
+    s.clear(PRIMARY)
+    return s.candles().groupBy("symbol").agg(F.count(F.lit(1)).alias("bars")).join(s.coverage().groupBy("symbol").agg(F.sum(F.col("end") - F.col("start")).alias("covered")), "symbol", "full")
+
+
+def missing_of_many(spark, sf_dir):
+    """Two requests of each symbol against one coverage."""
+    covered = _coverage(spark, sf_dir)
+    ends = covered.groupBy("symbol", "interval").agg(F.min("start").alias("a"), F.max("end").alias("z"))
+    half = F.floor((F.col("a") + F.col("z")) / 2)
+    wanted = ends.select("symbol", "interval", F.explode(F.array(F.struct(F.col("a").alias("start"), half.alias("end")), F.struct((half + HOUR).alias("start"), F.col("z").alias("end")))).alias("r")).select("symbol", "interval", "r.start", "r.end")
+    return ranges.missing(covered, wanted)
+
+
+RUN_REFERENCES = ["view", "signup"]
+
+
+def structure_part(part, **options):
+    return lambda spark, sf_dir: service.structure_of(hourly(spark, sf_dir), PRIMARY, RUN_REFERENCES, **options)[part]
+
+
+def structure_warnings(spark, sf_dir):
+    """One reference from another source, one whose bars are a minute late."""
+    h = hourly(spark, sf_dir).withColumn("provider", F.when(F.col("symbol") == "view", "demo").otherwise("vendor"))
+    h = h.withColumn("time", F.when(F.col("symbol") == "signup", F.col("time") + 60_000).otherwise(F.col("time")))
+    return service.structure_of(h, PRIMARY, RUN_REFERENCES)["warnings"]
+
+
+RUN_RULES = simulate.Rules(stop="percentage", stop_value=20.0, target="percentage", target_value=30.0, hold=8)
+
+
+def _run(spark, sf_dir, provider=None):
+    h = kept(hourly(spark, sf_dir), "hourly")
+    edge = indexed(h.where(F.col("symbol") == PRIMARY)).where(F.col("index").isin(PATTERN_AT, PATTERN_AT + PATTERN_LENGTH - 1)).agg(F.min("time"), F.max("time")).first()
+    ends = h.agg(F.min("time"), F.max("time")).first()
+    request = service.Request(PRIMARY, tuple(RUN_REFERENCES), (edge[0], edge[1]), (ends[0], ends[1]), threshold=THRESHOLD, matches=MATCHES, separation=SEPARATION, rules=RUN_RULES)
+    return service.backtest(h if provider is None else h.withColumn("provider", provider), request), request
+
+
+def run_matches(spark, sf_dir):
+    out = _run(spark, sf_dir)[0]["matches"]
+    return out.select("id", "symbol", "start_index", "end_index", F.round("similarity", 8).alias("similarity"), "rank", "outcome", "net_return", F.round(F.aggregate("normalized", F.lit(0.0), lambda a, x: a + x), 4).alias("path"))
+
+
+def run_trades(spark, sf_dir):
+    return _run(spark, sf_dir)[0]["trades"].select("trade_number", "id", "symbol", "entry_time", "exit_time", "entry_price", "exit_price", "net_return", "exit_reason")
+
+
+def run_summary(spark, sf_dir):
+    return _run(spark, sf_dir)[0]["summary"]
+
+
+def run_notes(spark, sf_dir):
+    return _run(spark, sf_dir, F.when(F.col("symbol") == "view", "demo").otherwise("vendor"))[0]["notes"]
+
+
+def runs_listed(spark, sf_dir):
+    """Three runs persisted, one forgotten, the rest listed with figures from their JSON."""
+    rows = placed(spark, sf_dir)
+    s, found = _fresh(spark), all_windows(rows)
+    for k, name in enumerate(("trades_long_pct", "trades_short_pct", "trades_long_fixed")):
+        done = kept(simulate.numbered(simulate.simulate(rows, found, TRADES[name])), "trades")
+        run = F.lit(name).alias("run")
+        summary = present.as_json(done.agg(F.count(F.lit(1)).alias("trades_executed"), F.round(F.count_if(F.col("net_return") > 0) * 100.0 / F.count(F.lit(1)), 4).alias("win_rate"), F.round(F.avg("net_return"), 4).alias("net_return")), "summary")
+        header = summary.select(F.lit(1000 * (k + 1)).cast("bigint").alias("created_at"), F.lit(PRIMARY).alias("primary_symbol"), F.lit("1h").alias("interval"), F.lit("done").alias("status"), F.lit("{}").alias("configuration"), "summary", run)
+        s.save_run(header, found.withColumn("run", run), done.withColumn("run", run))
+    s.delete_runs(1500, dry_run=False)
+    return s.list_runs()
+
+
+def interval_table(spark, sf_dir):
+    names = list(intervals.LENGTH)
+    rows = [(n, intervals.LENGTH[n], intervals.storage_interval(n), intervals.is_intraday(n), intervals.fetch_interval(n, {"5m", "1h"}), intervals.fetch_interval(n, {"5m"})) for n in names]
+    return spark.createDataFrame(rows, "interval string, length bigint, stored_as string, intraday boolean, from_two string, from_five string")
+
+
+def instruments_upsert(spark, sf_dir):
+    new = spark.createDataFrame([("YM", "Dow", 1.0, 0, "America/Chicago"), ("RTY", "Russell 2000", 0.1, 1, "America/Chicago")], catalog.SCHEMA)
+    return store.upsert(catalog.instruments(spark), new, ["symbol"])
+
+
+def parse_times(spark, sf_dir):
+    """Times written in six ways."""
+    t = ticks(spark, sf_dir)
+    whole = F.col("time") - F.pmod("time", F.lit(1000))
+    iso = F.date_format(time.to_ntz(whole), "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.get(F.array(whole.cast("string"), (whole / 1000).cast("bigint").cast("string"), F.concat(iso, F.lit("Z")), F.concat(iso, F.lit("+02:00")), iso, F.lit("soon")), F.pmod("seq", F.lit(6)).cast("int"))
+    return t.select("seq", time.parse_time(text).alias("time"))
+
+
+def trust(spark, sf_dir):
+    """Quality of a serve, whether to trust it, and whether it is a fallback."""
+    h = hourly(spark, sf_dir)
+    state = catalog.quality(F.col("volume") > 5, F.col("volume") > 2, F.when(F.col("symbol") == "view", "demo").otherwise("delayed"))
+    return h.select("symbol", "time", state.alias("quality"), present.trusted(state).alias("trusted"), present.fallback(F.col("volume") > 5, F.col("symbol"), F.lit(PRIMARY)).alias("fallback"))
+
+
+def texts(spark, sf_dir):
+    return hourly(spark, sf_dir).select("symbol", "time", present.price_text(F.col("close") * 1000, 2).alias("price"), present.percent_text(F.round(F.when(F.col("volume") > 1, numbers.percent_change(F.col("open"), F.col("close"))), 1)).alias("change"))
+
+
 QUERIES = {
     **{f"ohlcv_{n}": ohlcv(n) for n in intervals.LENGTH},
     "resample_4h": resampled("4h"),
@@ -283,8 +442,8 @@ QUERIES = {
     "resample_linear": resample_linear,
     **{name: trades(rules) for name, rules in TRADES.items()},
     "match_outcomes": outcomes,
-    # equity grows to nine digits here, so six decimals would be beyond a double
-    "equity_curve": lambda s, d: metrics.equity_curve(_numbered(s, d)).withColumns({"equity": F.round("equity", 2), "drawdown": F.round("drawdown", 4)}),
+    # equity has many digits here, more than a double
+    "equity_curve": lambda s, d: metrics.equity_curve(_numbered(s, d)).select("trade_number", "time", F.round(F.log10(F.col("equity") + 1), 6).alias("log10_equity"), F.round("drawdown", 4).alias("drawdown")),
     "max_drawdown": lambda s, d: metrics.maximum_drawdown(metrics.equity_curve(_numbered(s, d))),
     "streaks": lambda s, d: metrics.streaks(_numbered(s, d)),
     "backtest_summary": lambda s, d: metrics.summary(_numbered(s, d)),
@@ -302,6 +461,30 @@ QUERIES = {
     "time_round_trip": time_round_trip,
     "regime_days": regime_days,
     "knn_embeddings": knn_embeddings,
+    "vendor_rows": vendor_rows,
+    "edge_at_price": edge_at_price,
+    "bars_range": lambda s, d: service.bars(_stored(s, d), PRIMARY, "4h", FROM, TO),
+    "bars_range_5m": lambda s, d: service.bars(_stored(s, d), PRIMARY, "5m", FROM, TO),
+    "cached_range": cached_range,
+    "cache_cleared": cache_cleared,
+    "missing_of_many": missing_of_many,
+    "structure_swings": structure_part("swings", kind="high"),
+    "structure_gaps": structure_part("gaps"),
+    "structure_divergences": structure_part("divergences"),
+    "structure_open_gaps": structure_part("gaps", include_filled=False),
+    "structure_warnings": structure_warnings,
+    "run_matches": run_matches,
+    "run_trades": run_trades,
+    "run_summary": run_summary,
+    "run_notes": run_notes,
+    "runs_listed": runs_listed,
+    "interval_table": interval_table,
+    "instruments": lambda s, d: catalog.instruments(s),
+    "instruments_upsert": instruments_upsert,
+    "parse_times": parse_times,
+    "trust_flags": trust,
+    "chart_series": lambda s, d: present.chart(hourly(s, d)),
+    "display_texts": texts,
 }
 
 

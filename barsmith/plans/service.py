@@ -1,4 +1,4 @@
-"""The three analyses: bars, structure, backtest. Each is one lazy plan over a table of bars."""
+"""The three analyses: bars, structure, backtest. Each is one plan over a table of bars."""
 
 from __future__ import annotations
 
@@ -7,42 +7,78 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.functions.intervals import interval
+from barsmith.functions.intervals import LENGTH, align_range, checked_request, interval, storage_interval
 from barsmith.operators import divergence, gaps, metrics, similarity, simulate, structure
 from barsmith.operators.bars import resample, tail
-from barsmith.operators.blocks import indexed, reuse
+from barsmith.operators.blocks import indexed
+from barsmith.operators.tables import kept
+from barsmith.plans.present import of_kind, rounded
 
+#: Most symbols, matches, and rows of each kind that an answer holds; windows of a search; bars of a pattern.
 MOST_SYMBOLS, MOST_MATCHES, SWINGS, GAPS, DIVERGENCES = 3, 25, 600, 400, 200
+MOST_WINDOWS, LEAST_BARS = 250_000, 5
 
 
 def bars(stored: DataFrame, symbol: str, name: str, start: int, end: int) -> DataFrame:
-    """Bars of one symbol in a closed range, built from finer stored ones."""
-    name = interval(name)
-    if start > end:
-        raise ValueError("the range ends before it starts")
-    rows = stored.where(F.col("symbol") == symbol)
-    return resample(rows, name).where(F.col("time").between(start, end))
+    """Bars of one symbol in a closed range.
+
+    Only stored rows of the interval that ``name`` is kept as or built from are read, in the range and one bar on
+    each side of it, so that bars at its ends are whole. Tables of one interval need no column ``interval``.
+    """
+    name = checked_request(name, start, end)
+    source, step = storage_interval(name), LENGTH[name]
+    low, high = align_range(start - step, end + step, LENGTH[source])
+    rows = stored.where((F.col("symbol") == symbol) & F.col("time").between(low, high))
+    if "interval" in stored.columns:
+        rows = rows.where(F.col("interval") == source)
+    rows = rows.select("symbol", "time", "open", "high", "low", "close", "volume")
+    return (rows if name == source and "interval" in stored.columns else resample(rows, name)).where(F.col("time").between(start, end))
 
 
-def structure_of(series: DataFrame, primary: str, references: list[str], *, strength: int = 2, min_gap_percent: float = 0.0, include_filled: bool = True) -> dict[str, DataFrame]:
-    """``swings``, ``gaps`` and ``divergences`` of a primary symbol against up to two others, the most recent ones.
+def warnings(series: DataFrame, primary: str, references: list[str], strength: int) -> DataFrame:
+    """(reference_symbol, code, warning): references that cannot be compared, or only with care.
 
-    Leaving out filled gaps also takes them from the primary gaps that divergences are placed in.
+    Codes: ``too_few_bars``, ``no_shared_bars``, ``mixed_source`` (if the table tells providers).
+    """
+    spark = series.sparkSession
+    wanted = spark.createDataFrame([(r,) for r in references], "reference_symbol string")  # at most two
+    counts = wanted.join(divergence.shared_bars(series, primary, references), "reference_symbol", "left")
+    provider = F.max_by("provider", "time") if "provider" in series.columns else F.lit(None).cast("string")
+    of = series.groupBy("symbol").agg(provider.alias("provider") if "provider" in series.columns else F.first(provider).alias("provider"))
+    mine = of.where(F.col("symbol") == primary).select(F.col("provider").alias("_mine"), F.lit(1).alias("_one"))
+    counts = counts.join(of.withColumnRenamed("symbol", "reference_symbol"), "reference_symbol", "left").withColumn("_one", F.lit(1)).join(mine, "_one", "left")
+    few = F.coalesce("bars", F.lit(0)) < 2 * strength + 1
+    code = F.when(few, "too_few_bars").when(F.col("shared") == 0, "no_shared_bars").when(F.col("provider") != F.col("_mine"), "mixed_source")
+    text = (
+        F.when(few, F.concat("reference_symbol", F.lit(f" has too few bars here to be compared with {primary}")))
+        .when(F.col("shared") == 0, F.concat("reference_symbol", F.lit(f" and {primary} have no bar time in common")))
+        .otherwise(F.concat(F.lit("mixed-source: "), "reference_symbol", F.lit(" is from "), "provider", F.lit(f", {primary} from "), "_mine", F.lit("; do not rely on their divergences")))
+    )
+    return counts.withColumn("code", code).where("code is not null").select("reference_symbol", "code", text.alias("warning"))
+
+
+def structure_of(series: DataFrame, primary: str, references: list[str], *, strength: int = 2, min_gap_percent: float = 0.0, include_filled: bool = True, kind: str | None = None) -> dict[str, DataFrame]:
+    """``swings``, ``gaps``, ``divergences`` and ``warnings`` of a primary symbol against up to two others, the most recent ones.
+
+    Leaving out filled gaps also takes them from the primary gaps that divergences are placed in. References with
+    too few bars are not compared. ``kind`` keeps highs or lows among the swings shown.
     """
     if not 1 <= strength <= 20 or not 0 <= min_gap_percent <= 10:
         raise ValueError("strength is 1 to 20, min_gap_percent 0 to 10")
     references = [r for r in dict.fromkeys(references) if r != primary][: MOST_SYMBOLS - 1]
-    rows = reuse(indexed(series.where(F.col("symbol").isin(primary, *references))))
-    swings = reuse(structure.swing_points(rows, strength))
-    every = reuse(gaps.fair_value_gaps(rows, min_gap_percent))
+    rows = kept(indexed(series.where(F.col("symbol").isin(primary, *references))), "structure")
+    swings = structure.swing_points(rows, strength)
+    every = kept(gaps.fair_value_gaps(rows, min_gap_percent), "gaps")
     shown = every if include_filled else every.where("not filled")
-    of = lambda df, s: df.where(F.col("symbol") == s)
-    found = [divergence.divergences(of(rows, primary), of(swings, primary), of(rows, r), of(swings, r), primary_symbol=primary, reference_symbol=r, primary_gaps=of(shown, primary), reference_gaps=of(every, r)).withColumn("_r", F.lit(k)) for k, r in enumerate(references)]
-    out = {"swings": tail(of(swings, primary), SWINGS, ["symbol"], [F.desc("time"), F.desc("kind")]), "gaps": tail(of(shown, primary), GAPS, ["symbol"], [F.desc("time")])}
-    if found:
-        from barsmith.operators.store import union_all
-
-        out["divergences"] = tail(union_all(found), DIVERGENCES, ["primary_symbol"], [F.desc("end_time"), F.desc("_r"), F.desc("kind")]).drop("_r")
+    mine = lambda df: df.where(F.col("symbol") == primary)
+    points = mine(swings) if kind is None else of_kind(mine(swings), kind)
+    out = {"swings": tail(points, SWINGS, ["symbol"], [F.desc("time"), F.desc("kind")]), "gaps": rounded(tail(mine(shown), GAPS, ["symbol"], [F.desc("time")]))}
+    if references:
+        enough = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * strength + 1).select("symbol")
+        found = divergence.between(rows, swings, every, primary, references, shown=mine(shown)).join(enough.withColumnRenamed("symbol", "reference_symbol"), "reference_symbol", "left_semi")
+        place = F.array_position(F.array(*map(F.lit, references)), F.col("reference_symbol"))
+        out["divergences"] = rounded(tail(found.withColumn("_r", place), DIVERGENCES, ["primary_symbol"], [F.desc("end_time"), F.desc("_r"), F.desc("kind")]).drop("_r"))
+        out["warnings"] = warnings(rows, primary, references, strength)
     return out
 
 
@@ -52,6 +88,7 @@ class Request:
     symbols: tuple[str, ...]
     selection: tuple[int, int]
     lookback: tuple[int, int]
+    interval: str = "1h"
     length: int | None = None
     threshold: float = 0.75
     matches: int = 10
@@ -64,6 +101,12 @@ class Request:
             raise ValueError("matches is 1 to 25, threshold 0 to 1")
         if self.selection[0] >= self.selection[1] or self.lookback[0] >= self.lookback[1]:
             raise ValueError("a range ends before it starts")
+        if self.selection[1] - self.selection[0] < LEAST_BARS * LENGTH[interval(self.interval)]:
+            raise ValueError(f"a selection spans {LEAST_BARS} bars at least")
+        if self.length is not None and not 5 <= self.length <= 400:
+            raise ValueError("a pattern has 5 to 400 bars")
+        if self.separation is not None and self.separation < 1:
+            raise ValueError("separation is at least one bar")
 
     @property
     def searched(self) -> tuple[str, ...]:
@@ -71,20 +114,37 @@ class Request:
         return tuple(dict.fromkeys((self.primary, *self.symbols)))[:MOST_SYMBOLS]
 
 
+def notes(rows: DataFrame, request: Request, resampled: int | None) -> DataFrame:
+    """(place, note): what the data was, and what was assumed."""
+    provider = F.array_join(F.array_sort(F.collect_set("provider")), ", ") if "provider" in rows.columns else F.lit(None).cast("string")
+    each = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).select(F.lit(2).alias("place"), F.concat("symbol", F.lit(": searched "), F.col("n").cast("string"), F.lit(f" bars of {request.interval}")).alias("note"))
+    from_ = rows.agg(provider.alias("p") if "provider" in rows.columns else F.first(provider).alias("p")).where("p is not null")
+    sources = from_.select(F.lit(0).alias("place"), F.concat(F.lit("source: "), "p").alias("note"))
+    synthetic = from_.where(F.array_contains(F.split("p", ", "), "demo")).select(F.lit(1).alias("place"), F.lit("demo bars are made up from a seed; they are no market data").alias("note"))
+    fixed = ["contracts are strung together without adjustment, so prices may jump where they change", "trades may overlap" if request.rules.overlap else "a match that begins before the last trade ends is left out"]
+    if resampled:
+        fixed.append(f"the selection was resampled to {resampled} bars")
+    return each.unionByName(sources).unionByName(synthetic).unionByName(rows.sparkSession.createDataFrame([(3 + k, n) for k, n in enumerate(fixed)], "place int, note string"))
+
+
 def backtest(series: DataFrame, request: Request) -> dict[str, DataFrame]:
-    """``matches`` with outcomes, numbered ``trades``, ``skipped``, ``summary`` and ``equity`` of one pattern."""
+    """``matches`` with outcomes and their normalised closes, numbered ``trades``, ``skipped``, ``summary``, ``equity`` and ``notes`` of one pattern."""
     inside = lambda r: F.col("time").between(*r)
     query = similarity.pattern(series.where((F.col("symbol") == request.primary) & inside(request.selection)), request.length)
     hold = request.rules.hold
     rows = indexed(series.where(F.col("symbol").isin(*request.searched) & inside(request.lookback)))
     usable = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= query.length + hold + 2).select("symbol")
-    rows = reuse(rows.join(usable, "symbol", "left_semi"))
-    found = similarity.eligible(similarity.scores(rows, query), rows, threshold=request.threshold, future=hold + 2)
-    if request.exclude_selection:
-        start, end = request.selection
-        found = found.where(~((F.col("symbol") == request.primary) & (F.col("start_time") <= end) & (F.col("end_time") >= start)))
-    best = similarity.spaced(found, request.matches, request.separation or max(1, query.length // 2))
-    best = similarity.overall(reuse(best.drop("rank")), request.matches).withColumn("id", similarity.match_id(length=query.length))
-    trades = simulate.simulate(rows, best, request.rules)
+    rows = kept(rows.join(usable, "symbol", "left_semi"), "searched")
+    similarity.guarded(rows, query.length, MOST_WINDOWS)
+    excluded = [(request.primary, *request.selection)] if request.exclude_selection else []
+    found = similarity.eligible(similarity.scores(rows, query), rows, threshold=request.threshold, future=hold + 2, exclude_of=excluded)
+    best = kept(similarity.spaced(found, request.matches, request.separation or max(1, query.length // 2)).drop("rank"), "spaced")
+    best = similarity.overall(best, request.matches).withColumn("id", similarity.match_id(length=query.length))
+    best = kept(similarity.with_series(rows, best), "matches")
+    trades = kept(simulate.simulate(rows, best, request.rules), "trades")
     done = simulate.numbered(trades)
-    return {"matches": simulate.outcomes(best, trades), "trades": done, "skipped": trades.where("skip_reason is not null").select("id", "skip_reason"), "summary": metrics.summary(done), "equity": metrics.equity_curve(done)}
+    total, skipped = best.count(), trades.where("skip_reason is not null").count()  # at most MOST_MATCHES
+    return {
+        "matches": simulate.outcomes(best, trades), "trades": done, "skipped": trades.where("skip_reason is not null").select("id", "skip_reason"),
+        "summary": metrics.summary(done, total, skipped), "equity": metrics.equity_curve(done), "notes": notes(rows, request, query.length if query.length != query.selected else None),
+    }

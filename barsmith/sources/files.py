@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from barsmith.operators.ingest import from_maps, unwrap
+from barsmith.operators.ingest import from_payloads
 
 COLUMN_LIST = "columns array<string>, bars array<array<double>>"
 
@@ -29,7 +29,7 @@ def write_column_list(bars: DataFrame, path: str) -> None:
 def read_vendor(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """Raw rows of vendor JSON files in any of the known envelopes, one document a file."""
     text = spark.read.text(path, wholetext=True).select(F.lit(symbol).alias("symbol"), F.col("value").alias("payload"))
-    return from_maps(unwrap(text))
+    return from_payloads(text)
 
 
 def in_range(bars: DataFrame, start: int, end: int) -> DataFrame:

@@ -107,7 +107,7 @@ def test_exits(spark, direction, after, want):
 def test_no_future_bar_is_skipped(spark):
     m = spark.createDataFrame([("m", "NQ", 0, 0, 0.9)], "id string, symbol string, start_index bigint, end_index bigint, similarity double")
     t = simulate.simulate(bars_of(spark, (100, 100, 100, 100)), m, simulate.Rules(stop="percentage", target="percentage")).first()
-    assert t["skip_reason"] == "No future candles available to simulate the trade" and t["exit_price"] is None
+    assert t["skip_reason"] == "no_later_bar" and t["exit_price"] is None
 
 
 def trade_table(spark, nets, grosses=None):
