@@ -6,6 +6,7 @@ from barsmith.llm import chat, fingerprints, lattice, licenses, mixing, packing,
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_licenses": licenses.op2_licenses,
+    "licenses_planted": licenses.licenses_planted,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
@@ -19,6 +20,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.ORACLE,
+    "licenses_planted": licenses.PLANTED_ORACLE,
     "op6_url_filter": urls.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
