@@ -1,22 +1,25 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A text is read clause by clause (up to a sentence mark, a comma, or the end of a line). Each word becomes
-a symbol: INSULT, THREAT, TARGET (the person spoken to), NEGATION, REPORT (speech of others), or none.
-Five small transducers read the same symbols: insults, threats, targets, negation and reported speech.
-Their composition (:func:`compose`) has a state for each combination that a clause can be in, and its
-final state names the pattern that the clause matched: a plain insult, an aimed one, a negated or reported
-one, a threat, an aimed threat. The weight of a match is the sum of the weights of the words on its path.
-
-Function words are fixed lists for four languages. Insults are learned: word stems (3 to 8 letters) and
-whole words that are far more frequent in toxic than in other labelled texts; the weight is the log ratio
-and a word takes the longest stem that is known. A logistic model over the matched patterns (how many,
-how heavy, how dense) gives the score. It is learned from at most ``max_rows`` labelled rows, those with
-the smallest hashes of their id; scoring reads every whole text, and nothing but the text.
-
-Nulls: a null text is the empty text, which matches nothing and has the lowest score; a null id is never
-learned from nor held out; null labels are not learned from. If an id has several labels their mean
-counts. Without labels of both kinds every score is the share of toxic labels, or 0. Extra columns are
-kept beside the score by :func:`score_rows`.
+A text is read clause by clause (up to a sentence mark, a comma, or the end of a line). The lexicon turns each
+word into a symbol and a weight: INSULT, MODAL (will, going to), VERB (of harm), TARGET or CLITIC (the person
+spoken to), OTHER (a third person), NEGATION, REPORT (speech of others), or none. Small transducers read the same
+symbols: insults; an intention; a verb of harm beside the one it is aimed at (within two words, so that a recipe is
+no threat); a target anywhere; negation and reported speech before what they govern. Arcs carry weights,
+:func:`compose` adds them up, and a clause's weight is that of its path times the factor of the pattern in
+which it ends: a plain insult, several, an aimed one, a negated or reported one, a threat, an aimed threat.
+
+Function words are fixed lists for four languages. Insults are learned: word stems (3 to 8 letters) and whole words
+in far more toxic than other labelled texts; the weight is the log ratio of the shares of texts, and a word takes
+the longest stem that is known. The score is a logistic model of the matched clauses alone (their weights, the
+heaviest one, their share of all clauses, how many of each pattern), whose coefficients are not below zero: a clause
+that is negated, or dropped, never raises a score. Only the number of clauses, which puts them in proportion, may
+lower it. It is learned from at most ``max_rows`` labelled rows, those with the smallest hashes of their id, which
+bounds the lexicon too; scoring reads every whole text, and nothing but the text.
+
+Nulls: a null text is the empty text, which matches nothing and has the lowest score of its length; a null id is
+never learned from nor held out; null labels are not learned from. If an id has several labels their mean counts.
+Rows that repeat are scored alike. Without labels of both kinds every score is 0 or 1. An empty table gives an empty
+result. Extra columns are kept beside the score by :func:`score_rows`, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,58 +36,91 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import crc32_mod, table, written
+from barsmith.llm.common import crc32_mod, partitions, table, written
 from barsmith.llm.quality import labelled
 from barsmith.llm.rows import with_vector
 
-NONE, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-SYMBOLS = 6
+NONE, INSULT, MODAL, VERB, TARGET, CLITIC, OTHER, NEGATION, REPORT = range(9)
+SYMBOLS = 9
+#: Function words, and verbs of harm, in English, German, French and Spanish.
 WORDS = {
-    THREAT: "kill hurt destroy crush stab shoot burn beat smash strangle töten umbringen schlagen vernichten zerstören erschießen tuer tuerai frapper détruire écraser brûler matar mataré golpear destruir quemar aplastar",
-    TARGET: "you your yours yourself ya u du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos tú ti tuyo vosotros usted ustedes",
-    NEGATION: "not no never neither nor isn't aren't don't nicht kein keine keiner niemals nie ne pas jamais aucun aucune nunca jamás ningún ninguna tampoco",
+    MODAL: "will would shall gonna going must should i'll we'll werde werden wird sollte vais va allons vas doit voy vamos va debe",
+    VERB: "kill hurt destroy crush stab shoot burn beat smash strangle töten umbringen schlagen vernichten zerstören erschießen tuer frapper détruire écraser brûler matar golpear destruir quemar aplastar",
+    TARGET: "you your yours yourself ya u du dein deine ihr tu ton ta tes votre vos tú tuyo vosotros usted ustedes",
+    CLITIC: "dich dir euch te toi vous ti",
+    OTHER: "him her them they it's ihn sie ihm ihnen le les lui leur lo los las",
+    NEGATION: "not no never neither nor isn't aren't don't won't nicht kein keine keiner niemals nie ne pas jamais aucun aucune nunca jamás ningún ninguna tampoco",
     REPORT: "said says say told called calls wrote reported quoted claimed sagte sagt nannte schrieb behauptete dit disait déclaré appelé écrit affirmé dijo dice llamó escribió afirmó",
 }
 FIXED = {w: s for s, ws in WORDS.items() for w in ws.split()}
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.,;:!?\n]")
 BREAK = frozenset(".,;:!?\n")
 STEMS = range(3, 9)
-OFTEN = 8
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """arcs[state, symbol] = next state; a symbol without an arc keeps the state. ``out[state]`` at the end of a clause."""
+    """arcs[state, symbol] = (next state, weight); a symbol without an arc keeps the state at no weight. ``out[state]`` at the end of a clause."""
 
-    arcs: dict[tuple[int, int], int]
+    arcs: dict[tuple[int, int], tuple[int, float]]
     out: tuple
 
-    def step(self, state: int, symbol: int) -> int:
-        return self.arcs.get((state, symbol), state)
+    def step(self, state: int, symbol: int) -> tuple[int, float]:
+        return self.arcs.get((state, symbol), (state, 0.0))
 
 
 #: none, one, several
-INSULTS = Transducer({(0, INSULT): 1, (1, INSULT): 2}, (0, 1, 2))
-THREATS = Transducer({(0, THREAT): 1}, (False, True))
-TARGETS = Transducer({(0, TARGET): 1}, (False, True))
-#: negation counts if it stands before the first insult or threat
-NEGATIONS = Transducer({(0, NEGATION): 1, (0, INSULT): 2, (0, THREAT): 2}, (False, True, False))
-REPORTS = Transducer({(0, REPORT): 1, (0, INSULT): 2, (0, THREAT): 2}, (False, True, False))
+INSULTS = Transducer({(0, INSULT): (1, 0.0), (1, INSULT): (2, 0.5)}, (0, 1, 2))
+MODALS = Transducer({(0, MODAL): (1, 0.0)}, (False, True))
+TARGETS = Transducer({(0, TARGET): (1, 0.5), (0, CLITIC): (1, 0.5)}, (False, True))
+#: negation and report count if they stand before the first insult or verb of harm
+NEGATIONS = Transducer({(0, NEGATION): (1, 0.0), (0, INSULT): (2, 0.0), (0, VERB): (2, 0.0)}, (False, True, False))
+REPORTS = Transducer({(0, REPORT): (1, 0.0), (0, INSULT): (2, 0.0), (0, VERB): (2, 0.0)}, (False, True, False))
+
+
+def _aimed(after: tuple[int, ...], before: tuple[int, ...], weight: float) -> Transducer:
+    """A verb with its object: one of ``after`` up to two words after it, or one of ``before`` up to two words before it."""
+    arcs = {}
+    for state in (0, 1, 2, 3, 4):  # nothing near, object one or two words ago, verb one or two words ago
+        for symbol in range(SYMBOLS):
+            if symbol == VERB:
+                arcs[state, symbol] = (5, weight) if state in (1, 2) else (3, 0.0)
+            elif symbol in after and state in (3, 4):
+                arcs[state, symbol] = (5, weight)
+            elif symbol in before:
+                arcs[state, symbol] = (1, 0.0)
+            elif symbol != MODAL:
+                arcs[state, symbol] = ({0: 0, 1: 2, 2: 0, 3: 4, 4: 0}[state], 0.0)
+    return Transducer(arcs, (False,) * 5 + (True,))
+
+
+#: what a threat weighs, as much as an insult that is e**3 times as frequent in toxic texts
+HARM_YOU = _aimed((TARGET, CLITIC), (CLITIC,), 3.0)
+HARM_OTHERS = _aimed((OTHER,), (), 2.0)
 
 
 def compose(parts: list[Transducer], final: Callable) -> Transducer:
-    """The transducer that runs all ``parts`` on the same symbols; ``final`` makes its output of theirs. State 0 is the start."""
+    """The transducer that runs all ``parts`` on the same symbols and adds their weights; ``final`` makes its output of theirs. State 0 is the start."""
     states = list(product(*(range(len(p.out)) for p in parts)))
     number = {s: i for i, s in enumerate(states)}
-    arcs = {(number[s], x): number[tuple(p.step(q, x) for p, q in zip(parts, s))] for s in states for x in range(SYMBOLS)}
+    arcs = {}
+    for s in states:
+        for x in range(SYMBOLS):
+            steps = [p.step(q, x) for p, q in zip(parts, s)]
+            arcs[number[s], x] = (number[tuple(q for q, _ in steps)], sum(w for _, w in steps))
     return Transducer(arcs, tuple(final(*(p.out[q] for p, q in zip(parts, s))) for s in states))
 
 
-PATTERNS = ("plain", "several", "aimed", "negated", "reported", "threat", "aimed threat")
+#: Each pattern, and the factor of its clauses' weight.
+FACTORS = {"plain": 1.0, "several": 1.2, "aimed": 1.5, "negated": 0.02, "reported": 0.05, "threat": 1.0, "aimed threat": 1.5}
+#: Clauses added to those of a text where matches are put in proportion, so that one clause is not everything.
+MORE = 8
+PATTERNS = tuple(FACTORS)
 
 
-def _pattern(insults: int, threat: bool, target: bool, negated: bool, reported: bool) -> int:
-    """The index of the clause's pattern, or -1."""
+def _pattern(insults: int, modal: bool, you: bool, others: bool, target: bool, negated: bool, reported: bool) -> int:
+    """The index of the clause's pattern, or -1. A threat needs an intention and a verb with its object."""
+    threat = modal and (you or others)
     if not insults and not threat:
         return -1
     if reported:
@@ -93,12 +129,16 @@ def _pattern(insults: int, threat: bool, target: bool, negated: bool, reported:
         return 3
     if insults:
         return 2 if target else 1 if insults > 1 else 0
-    return 6 if target else 5
+    return 6 if you else 5
 
 
-GRAMMAR = compose([INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS], _pattern)
-NEXT = [[GRAMMAR.step(s, x) for x in range(SYMBOLS)] for s in range(len(GRAMMAR.out))]
-FEATURES = ("words", "hits", "heavy hits", "weight", "heaviest clause", "clauses", "share of clauses", "hits a word", "distinct hits", *PATTERNS)
+GRAMMAR = compose([INSULTS, MODALS, HARM_YOU, HARM_OTHERS, TARGETS, NEGATIONS, REPORTS], _pattern)
+NEXT = [[GRAMMAR.arcs[s, x][0] for x in range(SYMBOLS)] for s in range(len(GRAMMAR.out))]
+ADDS = [[GRAMMAR.arcs[s, x][1] for x in range(SYMBOLS)] for s in range(len(GRAMMAR.out))]
+FACTOR_OF = list(FACTORS.values())
+FEATURES = ("clauses", "weight", "heaviest clause", "share of clauses", "weight a clause", *PATTERNS)
+#: Features whose coefficient may have any sign, and those that have none.
+FREE, UNUSED = ("clauses",), ("negated", "reported")
 
 
 @dataclass
@@ -128,69 +168,65 @@ class Reader:
         for w in set(tokens).difference(memo):
             memo[w] = (-1, 0.0) if w in BREAK else self.symbol(w)
         patterns = [0] * len(PATTERNS)
-        hits = heavy = matched = clauses = 0
+        matched = clauses = words = 0
         weight = heaviest = clause = 0.0
-        state, at, seen = 0, 0, set()
-        for i, (symbol, w) in enumerate(map(memo.__getitem__, tokens)):
-            if symbol > 0:
-                state = NEXT[state][symbol]
-                if symbol == INSULT:
-                    hits, heavy, clause = hits + 1, heavy + (w > 3), clause + w
-                    seen.add(tokens[i])
-            elif symbol < 0:
-                if i > at:
+        state = 0
+        tokens.append(".")
+        memo["."] = (-1, 0.0)
+        for symbol, w in map(memo.__getitem__, tokens):
+            if symbol < 0:
+                if words:
                     clauses += 1
                     if state and (p := out[state]) >= 0:
+                        clause *= FACTOR_OF[p]
                         patterns[p] += 1
                         matched, weight, heaviest = matched + 1, weight + clause, max(heaviest, clause)
-                state, clause, at = 0, 0.0, i + 1
-        if len(tokens) > at:
-            clauses += 1
-            if state and (p := out[state]) >= 0:
-                patterns[p] += 1
-                matched, weight, heaviest = matched + 1, weight + clause, max(heaviest, clause)
-        n, log = len(tokens), math.log1p
-        return [log(n), log(hits), log(heavy), log(weight), log(heaviest), log(matched), matched / max(1, clauses), math.sqrt(hits / max(1, n)), log(len(seen)), *map(log, patterns)]
+                state, clause, words = 0, 0.0, 0
+                continue
+            words += 1
+            if symbol or state:
+                clause += ADDS[state][symbol] + w
+                state = NEXT[state][symbol]
+        log, n = math.log1p, clauses + MORE
+        return [log(clauses), log(weight), log(heaviest), matched / n, math.sqrt(weight / n), *map(log, patterns)]
 
 
 def stems_of(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in STEMS if n <= len(word))]
 
 
-def learn_stems(train: DataFrame, text: str = "text", *, least_docs: int = 4, least_g2: float = 30.0, most: int = 5000) -> dict[str, float]:
-    """Stems that mark toxic texts, with the log ratio of their uses (at most OFTEN of a text count).
+def learn_stems(train: DataFrame, text: str = "text", *, least_docs: int = 4, least_share: float = 0.02, least_g2: float = 30.0) -> dict[str, float]:
+    """Stems that mark toxic texts, with the log ratio of the shares of texts that hold them.
 
-    Whether a stem is a mark is tested on numbers of texts (likelihood ratio). ``most`` bounds what comes
-    to the driver: the grammar's lexicon.
+    Whether a stem is a mark is tested on numbers of texts (likelihood ratio). What comes to the driver is the
+    grammar's lexicon: stems of at least ``least_docs`` and a share of ``least_share`` of the toxic texts of a training
+    table of bounded size. The share keeps out words that only a few texts and their copies have.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, uses = (Counter(), Counter()), (Counter(), Counter())
+            texts = (Counter(), Counter())
             for t, y in zip(b["t"], b["y"]):
-                mine = Counter()
-                for w, n in Counter(TOKEN.findall((t or "").lower())).items():
-                    if w not in BREAK:
-                        for s in stems_of(w):
-                            mine[s] += n
-                texts[y >= 0.5].update(mine.keys())
-                uses[y >= 0.5].update({s: min(n, OFTEN) for s, n in mine.items()})
+                texts[y >= 0.5].update({s for w in set(TOKEN.findall((t or "").lower())) - BREAK for s in stems_of(w)})
             stems = list(texts[0].keys() | texts[1].keys())
-            yield pd.DataFrame({"stem": stems} | {c: [k[s] for s in stems] for c, k in zip("caxy", (*texts, *uses))})
+            yield pd.DataFrame({"stem": stems} | {c: [k[s] for s in stems] for c, k in zip("ca", texts)})
 
     n = train.agg(F.coalesce(F.sum((F.col("y") >= 0.5).cast("bigint")), F.lit(0)), F.coalesce(F.sum((F.col("y") < 0.5).cast("bigint")), F.lit(0))).first()
     if not n[0] or not n[1]:
         return {}
-    each = train.select(F.col(text).alias("t"), "y").mapInPandas(count, "stem string, c bigint, a bigint, x bigint, y bigint")
-    counts = each.groupBy("stem").agg(*(F.sum(k).alias(k) for k in "caxy")).where(F.col("a") >= least_docs)
+    each = train.select(F.col(text).alias("t"), "y").mapInPandas(count, "stem string, c bigint, a bigint")
     nt, nc = float(n[0]), float(n[1])
+    counts = each.groupBy("stem").agg(*(F.sum(k).alias(k) for k in "ca")).where(F.col("a") >= max(least_docs, least_share * nt))
     rate = (F.col("a") + F.col("c")) / (nt + nc)
     part = lambda k, m: F.when(k > 0, k * F.log(k / m)).otherwise(0.0)
     a, c = F.col("a").cast("double"), F.col("c").cast("double")
     g2 = 2 * (part(a, nt * rate) + part(c, nc * rate) + part(nt - a, nt * (1 - rate)) + part(nc - c, nc * (1 - rate)))
-    ratio = F.log((F.col("y") + 0.5) / (nt + 1)) - F.log((F.col("x") + 0.5) / (nc + 1))
+    ratio = F.log((a + 0.5) / (nt + 1)) - F.log((c + 0.5) / (nc + 1))
     found = counts.withColumn("g2", g2).withColumn("w", ratio).where((F.col("g2") >= least_g2) & (F.col("w") > 0.7))
-    return {r["stem"]: float(r["w"]) for r in found.orderBy(F.desc("g2"), "stem").limit(most).collect()}
+    kept = {r["stem"]: (r["a"], r["c"], float(r["w"])) for r in found.collect()}
+    # a shorter stem that no further text has says nothing more than the longer one, and could only match other words
+    extended = {s[:-1] for s in kept if s[:-1] in kept and kept[s[:-1]][:2] == kept[s][:2]}
+    return {s: w for s, (_, _, w) in kept.items() if s not in extended}
 
 
 @dataclass
@@ -216,7 +252,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> np.ndarray:
     w = np.zeros(x.shape[1])
     w[-1] = math.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9))
     penalty = ridge * np.eye(len(w))
@@ -230,20 +266,41 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
     return w
 
 
+def logistic(x: np.ndarray, y: np.ndarray, free: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Ridge logistic weights (the last is the constant's) that are not below zero but where ``free``: the lowest one is left out until none is below."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        w[used] = _newton(x[:, used], y, ridge, rounds)
+        low = np.where(free, 0.0, w)
+        if low.min() >= 0:
+            return w
+        used[int(low.argmin())] = False
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 5, held: int = 0, max_rows: int = 20_000) -> Model:
     k = len(FEATURES)
-    train = written(labelled(docs.select(id_col, text), labels, label, modulus, held, max_rows, id_col).select(text, "y").repartition(16), "toxicity-train")
+    train = labelled(docs.select(id_col, text), labels, label, modulus, held, max_rows, id_col).select(text, "y")
+    train = written(train.repartition(partitions(docs.sparkSession)), "toxicity-train")
     stems = learn_stems(train, text)
     model = Model(stems, np.zeros(k), np.ones(k), np.zeros(k + 1))
-    reader = lambda: lambda texts: [r.read(t) for r in [Reader(stems)] for t in texts]
-    rows = with_vector(train, text, reader).select("vector", F.col("row.y").alias("y")).toPandas()  # at most max_rows of a few numbers
+
+    def features() -> Callable[[list[str]], list[list[float]]]:
+        reader = Reader(stems)
+        return lambda texts: [reader.read(t) for t in texts]
+
+    rows = with_vector(train, text, features).select("vector", F.col("row.y").alias("y")).toPandas()  # at most max_rows of a few numbers
     y = (rows["y"].to_numpy(np.float64) >= 0.5).astype(float) if len(rows) else np.zeros(0)
     if not 0 < y.sum() < len(y):
         model.weights[-1] = 30.0 if y.sum() else -30.0
         return model
     x = np.stack(rows["vector"].to_numpy())
+    x[:, [FEATURES.index(n) for n in UNUSED]] = 0.0
     model.mean, model.scale = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
-    model.weights = _logistic(np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))]), y)
+    free = np.array([n in FREE for n in FEATURES] + [True])
+    model.weights = logistic(np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))]), y, free)
+    for n in UNUSED:
+        model.weights[FEATURES.index(n)] = 0.0
     return model
 
 
