@@ -4,16 +4,18 @@ A list changes over time: dated entries add a pattern to it or take it off. The
 order of date, become validity intervals [added, taken off), and every capture of a page is judged by the
 intervals that hold at the time of its fetch, not by the list of today.
 
-A pattern is a host (it covers the host and all hosts below it), or a host and the start of a path. The
-join is by host: the distinct hosts of the captures are expanded to the hosts above them and joined with
-the intervals, which gives each listed host the array of its intervals; captures then join that table,
-and the as-of test and the path test are made on the array. Captures of one host are dealt out in ``salt``
-parts, and the table of listed hosts is repeated for each, so a host with a third of all captures is no
-hot key. Only DataFrame functions.
-
-Nulls: a null or unparsable URL has no host and matches nothing; a null fetch date matches nothing; list
-entries with a null pattern, date or action are left out. Entries of one pattern and day count in the
-order remove, add (so the add wins). Rows that repeat are judged each. Only the named columns are read.
+A pattern is a host (it covers the host and all hosts below it), or a host and the start of a path. Hosts are compared
+in lower case, paths as they are. The join is by host and start of path: the distinct hosts of the captures are expanded
+to the hosts above them and joined with the list, which gives each listed host the lengths of the paths listed under
+it; a capture asks for its path cut to each of those lengths, so the join is by equality however many paths a
+host has on the list. The as-of test is made on what meets. Captures of one host are dealt out in ``salt`` parts, and
+what they are joined with is repeated for each, so a host with a third of all captures is no hot key.
+Only DataFrame functions.
+
+Nulls: a null or unparsable URL has no host and matches nothing; a null fetch date matches nothing; list entries with a
+null pattern, date or action are left out. Entries of one pattern and day count in the order remove, add (so the
+add wins). Rows that repeat are judged each. Empty tables give an empty result, an empty list blocks nothing. Only
+the named columns are read.
 """
 
 from __future__ import annotations
@@ -47,10 +49,15 @@ def entries(spark) -> DataFrame:
     return spark.createDataFrame(list(ENTRIES), "pattern string, category string, day string, action string").withColumn("day", F.to_date("day"))
 
 
+def _pattern() -> Column:
+    """The host of a pattern in lower case, its path as it is."""
+    return F.concat(F.lower(F.regexp_extract("pattern", "^([^/]*)", 1)), F.regexp_extract("pattern", "^[^/]*(/.*)$", 1))
+
+
 def intervals(listed: DataFrame) -> DataFrame:
     """host, path, category, valid_from, valid_to: when each pattern is on the list; valid_to is null while it stays."""
     w = Window.partitionBy("pattern").orderBy("day", F.desc("action"))
-    events = listed.where("pattern is not null and day is not null and action in ('add', 'remove')").select(F.lower("pattern").alias("pattern"), "category", "day", "action")
+    events = listed.where("pattern is not null and day is not null and action in ('add', 'remove')").select(_pattern().alias("pattern"), "category", "day", "action")
     spans = events.withColumn("until", F.lead("day").over(w)).where("action = 'add' and (until is null or until > day)")
     path = F.regexp_extract("pattern", "^[^/]*(/.*)$", 1)
     return spans.select(F.regexp_extract("pattern", "^([^/]*)", 1).alias("host"), path.alias("path"), "category", F.col("day").alias("valid_from"), F.col("until").alias("valid_to"))
@@ -74,16 +81,24 @@ def above(host: Column) -> Column:
 
 def judge(captures: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url: str = "url", fetched: str = "fetched") -> DataFrame:
     """(page_id, host, fetched, blocked, categories, n_entries): the entries that cover the URL and hold on the day of its fetch."""
-    rows = captures.select(F.col(id_col).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(fetched).alias("fetched"))
-    spans = intervals(listed).withColumnRenamed("host", "on")
+    url_ = F.col(url)
+    rows = captures.select(F.col(id_col).alias("page_id"), host_of(url_).alias("host"), path_of(url_).alias("path"), F.col(fetched).alias("fetched"))
+    rows = rows.withColumn("_k", F.xxhash64(F.col("page_id").isNull(), "page_id", "host", "path", "fetched"))
+    spans = intervals(listed).withColumnRenamed("host", "on").withColumnRenamed("path", "start")
     hosts = rows.where("host is not null").select("host").distinct().select("host", F.explode(above(F.col("host"))).alias("on"))
-    spans_of = hosts.join(spans, "on").groupBy("host").agg(F.collect_list(F.struct("path", "category", "valid_from", "valid_to")).alias("spans"))
-    salted = spans_of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
-    met = dealt.join(salted, ["host", "salt"], "left")
-    holds = lambda s: (s.valid_from <= F.col("fetched")) & (s.valid_to.isNull() | (s.valid_to > F.col("fetched"))) & F.startswith(F.col("path"), s.path)
-    now = F.coalesce(F.filter("spans", lambda s: F.coalesce(holds(s), F.lit(False))), F.array().cast("array<struct<path:string,category:string,valid_from:date,valid_to:date>>"))
-    return met.withColumn("now", now).select("page_id", "host", "fetched", (F.size("now") > 0).alias("blocked"), F.array_join(F.array_sort(F.array_distinct(F.transform("now", lambda s: s.category))), ",").alias("categories"), F.size("now").cast("bigint").alias("n_entries"))
+    # a host's paths may be many, their lengths are bounded by that of a URL
+    lengths = spans.groupBy("on").agg(F.collect_set(F.length("start")).alias("lengths"))
+    asked = hosts.join(lengths, "on").groupBy("host").agg(F.collect_list(F.struct("on", "lengths")).alias("asks"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    dealt = rows.where("fetched is not null").withColumn("salt", F.pmod(F.col("_k"), F.lit(SALT)).cast("int"))
+    met = dealt.join(asked.withColumn("salt", salts), ["host", "salt"]).withColumn("ask", F.explode("asks"))
+    met = met.select("_k", "path", "fetched", "salt", "ask.on", F.explode("ask.lengths").alias("n")).where(F.col("n") <= F.length("path"))
+    met = met.withColumn("start", F.substring("path", F.lit(1), F.col("n"))).join(spans.withColumn("salt", salts), ["on", "start", "salt"])
+    now = met.where((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("fetched"))))
+    # rows that repeat meet the same spans, so a span counts once for all of them
+    found = now.groupBy("_k").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.count_distinct("on", "start", "valid_from", F.coalesce("category", F.lit(""))).alias("n_entries"))
+    judged = rows.join(found, "_k", "left")
+    return judged.select("page_id", "host", "fetched", F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("categories", F.lit("")).alias("categories"), F.coalesce("n_entries", F.lit(0)).cast("bigint").alias("n_entries"))
 
 
 def op6_url_filter(spark, sf_dir):
