@@ -58,12 +58,19 @@ class Chain:
     """Sources in order of preference. A failed one rests for a while; the first reason for a fallback is kept."""
 
     sources: list[Source]
+    #: Seconds of rest after an error, and after one that will not pass by itself.
     rest: float = 120.0
     long_rest: float = 900.0
     clock: Callable[[], float] = time.monotonic
     resting: dict[str, float] = field(default_factory=dict)
     history: list[dict] = field(default_factory=list)
 
+    def status(self) -> list[dict]:
+        """Each source in order: whether it may be asked, whether it is about to be tried again, and how long it rests."""
+        now = self.clock()
+        rest = {s.name: self.resting.get(s.name) for s in self.sources}
+        return [{"source": n, "usable": until is None or until <= now, "probing": until is not None and until <= now, "seconds": max(0.0, until - now) if until is not None else 0.0} for n, until in rest.items()]
+
     def fetch(self, symbol: str, interval: str, start: int, end: int) -> tuple[DataFrame, Source, str | None]:
         reason = None
         for source in self.sources:

@@ -36,41 +36,88 @@ def in_range(bars: DataFrame, start: int, end: int) -> DataFrame:
     return bars.where(F.col("time").between(start, end))
 
 
+#: Tries of a page, first and longest pause in seconds, and the bounds of a pause that the vendor asks for.
+TRIES, PAUSE, LONGEST, ASKED = 3, 0.5, 8.0, (0.5, 30.0)
+
+
+class Refused(PermissionError):
+    """The vendor knows the caller and says no (401, 403); asking again is of no use."""
+
+
+class TooMany(ConnectionError):
+    """The vendor wants fewer requests (429), perhaps after ``seconds``."""
+
+    def __init__(self, message: str = "", seconds: float | None = None):
+        super().__init__(message)
+        self.seconds = seconds
+
+
+class BadData(ValueError):
+    """An answer that cannot be used: another client error, or a shape that is not known."""
+
+
+def by_status(status: int, message: str = "", retry_after: str | None = None) -> Exception | None:
+    """The error that stands for an HTTP status; None for success."""
+    if status < 400:
+        return None
+    if status in (401, 403):
+        return Refused(message)
+    if status == 429:
+        try:
+            return TooMany(message, float(retry_after) if retry_after else None)
+        except ValueError:
+            return TooMany(message)
+    return ConnectionError(message) if status >= 500 else BadData(message)
+
+
+def pause(error: Exception, attempt: int) -> float:
+    """Seconds to wait after a failed try: what the vendor asks for, within bounds, or twice as long each time."""
+    asked = getattr(error, "seconds", None)
+    return min(max(asked, ASKED[0]), ASKED[1]) if asked is not None else min(LONGEST, PAUSE * 2**attempt)
+
+
 class Page(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end
 
 
 class PagedReader(DataSourceReader):
-    """One task a page of time; ``fetch(symbol, interval, start, end)`` is imported on the executor by its dotted name."""
+    """One task a page of time; ``fetch(symbol, interval, start, end)`` is imported on the executor by its dotted name.
+
+    It raises the errors above, or :class:`ConnectionError` and :class:`TimeoutError`; the latter two and too many
+    requests are tried again. With ``oldest``, a range that begins earlier is cut; nothing left gives no pages.
+    """
 
     def __init__(self, options: dict):
         self.options = options
         self.start, self.end, self.step = (int(options[k]) for k in ("start", "end", "page"))
+        self.start = max(self.start, int(options.get("oldest", self.start)))
 
     def partitions(self) -> list[Page]:
-        return [Page(a, min(a + self.step, self.end)) for a in range(self.start, max(self.end, self.start + 1), self.step)]
+        return [Page(a, min(a + self.step, self.end)) for a in range(self.start, self.end, self.step)] or [Page(self.start, self.start)]
 
     def read(self, page: Page) -> Iterator[tuple]:
         import importlib
         import time
 
+        if page.start >= page.end:
+            return
         module, name = self.options["fetch"].rsplit(".", 1)
         fetch = getattr(importlib.import_module(module), name)
-        for attempt in range(3):
+        for attempt in range(TRIES):
             try:
                 rows = fetch(self.options["symbol"], self.options["interval"], page.start, page.end)
                 break
-            except (ConnectionError, TimeoutError):
-                if attempt == 2:
+            except (ConnectionError, TimeoutError) as e:
+                if attempt == TRIES - 1:
                     raise
-                time.sleep(min(8.0, 0.5 * 2**attempt))
+                time.sleep(pause(e, attempt))
         for k, r in enumerate(rows):
             yield (self.options["symbol"], page.start * 1000 + k, *(None if x is None else str(x) for x in r))
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged_bars")`` with options symbol, interval, start, end, page (ms) and fetch."""
+    """``spark.read.format("paged_bars")`` with options symbol, interval, start, end, page (ms), fetch, and perhaps oldest."""
 
     @classmethod
     def name(cls) -> str:
