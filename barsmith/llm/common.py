@@ -2,43 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barsmith.operators.tables import kept as written
+
 #: ASCII white space: the separators between words wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session may lack it (tests); there a temporary folder is as good. Elsewhere the
-    warehouse stands in, as it is shared by definition.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return _OWN.setdefault("tmp", tempfile.mkdtemp(prefix="spark-shared-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    Cuts the lineage: a lost executor costs a re-read of files, and no branch computes it twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,3 +21,6 @@ def crc32_mod(column: Column, modulus: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+__all__ = ["WORD", "crc32_mod", "partitions", "table", "written"]

@@ -1,6 +1,5 @@
 """The queries of the corpus operators and, where SQL can express one, its SQL."""
 
-import corpus_pipeline
 from barsmith.llm import chat, fingerprints, lattice, licenses, mixing, packing, quality, simhash, toxicity, urls
 
 QUERIES = {
@@ -15,7 +14,6 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_chat": chat.op10_chat,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
