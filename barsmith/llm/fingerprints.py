@@ -12,13 +12,12 @@ The sum does not depend on the order of paragraphs; inserting or deleting one ad
 vector (:func:`insert`, :func:`delete`), so a fingerprint is kept up to date without the text.
 
 Only DataFrame functions are used. Nulls: a null text counts as the empty text, which has one empty
-paragraph. Extra columns are left alone; names starting with ``_fp_`` are reserved.
+paragraph. Rows that repeat are rows of their own. An empty table gives an empty result. Extra columns are left
+alone; names starting with ``_fp_`` are reserved.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,24 +107,35 @@ def fingerprint(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, rn, id, text, next_text): each row with the text after it in descending id order.
 
-    Nulls come last, ties are in order of text, and after the last row comes the first. No task sees
-    all rows: ids are cut into ranges at quantiles, a window runs in each range, and the first row of
-    the following range closes the gap.
+    Nulls come last, ties are in order of a hash of the text, and after the last row comes the first. No task sees
+    all rows: ids are cut into ranges at quantiles, a window runs in each range, and the first row of the following
+    range closes the gap. An id with more rows than a range should have is a range of its own, cut by that hash, and
+    so are the rows without an id.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     ranges = 2 * partitions(spark)
-    cut = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()["q"] or []
-    cut = sorted(set(cut))
-    bounds = F.array(*map(F.lit, cut)) if cut else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("id"))))
-    rows = rows.select(bucket.alias("bucket"), "id", "text")
-    first = rows.groupBy("bucket").agg(F.max("id").alias("id"))  # one row for each range
-    heads = rows.alias("r").join(F.broadcast(first.alias("f")), F.col("r.id").eqNullSafe(F.col("f.id"))).groupBy(F.col("r.bucket").alias("bucket")).agg(F.min("r.text").alias("head"))
+    known = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("id").isNull()).alias("none")).first()
+    cuts = known["q"] or []
+    heavy = {v: cuts.count(v) for v in set(cuts) if cuts.count(v) > 1}  # an id at several quantiles
+    starts = sorted(set(cuts) | {min(v + 1, (1 << 63) - 1) for v in heavy})
+    parts = [1, *(heavy.get(v, 1) for v in starts)]
+    first_of = [sum(parts[:i]) for i in range(len(parts))]
+    array = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    at = F.size(F.filter(array(starts), lambda b: b <= F.col("id")))
+    place = F.col("th").cast("double") / float(1 << 64) + 0.5
+    part = lambda k: F.least(k - 1, F.floor(place * k))
+    k = F.element_at(array(parts), at + 1)
+    none = F.lit(max(1, -(-known["none"] * ranges // max(1, known["n"])))).cast("bigint")
+    bucket = F.when(F.col("id").isNull(), -1 - part(none)).otherwise(F.element_at(array(first_of), at + 1) + k - 1 - part(k)).cast("bigint")
+    rows = rows.select(bucket.alias("bucket"), "id", "th", "text")
+    first = rows.groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("id").alias("o"), "th")).alias("x")).select("bucket", F.bitwise_not("x.o").alias("id"), "x.th")  # one row for each range
+    same = (F.col("r.bucket") == F.col("f.bucket")) & (F.col("r.th") == F.col("f.th")) & F.col("r.id").eqNullSafe(F.col("f.id"))
+    heads = rows.alias("r").join(F.broadcast(first.alias("f")), same).groupBy(F.col("r.bucket").alias("bucket")).agg(F.min("r.text").alias("head"))
     order = Window.orderBy(F.desc("bucket"))
     following = first.select("bucket", F.lead("bucket").over(order).alias("to"), F.max("bucket").over(Window.partitionBy()).alias("top")).select("bucket", F.coalesce("to", "top").alias("to"))
     heads = following.join(heads.withColumnRenamed("bucket", "to"), "to").select("bucket", "head")
-    w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), "text")
+    w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), "th", "text")
     led = rows.select("bucket", "id", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
     joined = led.join(heads.withColumnRenamed("bucket", "_b"), (F.col("bucket") == F.col("_b")) & F.col("next").isNull(), "left")
     return joined.select("bucket", "rn", "id", "text", F.coalesce("next", "head").alias("next_text"), F.col("next").isNull().alias("last"))
@@ -152,11 +162,6 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     )
 
 
-def combine(lanes: list[list[int]]) -> list[int]:
-    """Plain-Python sum of lane vectors, for driver-side bookkeeping of a few texts."""
-    return reduce(lambda a, b: [(x + y) % MODULUS for x, y in zip(a, b, strict=True)], lanes)
-
-
 def op1_fingerprints(spark, sf_dir):
     """See :func:`fingerprint_edits`, over all of ``documents``."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))
