@@ -10,8 +10,8 @@ import numpy as np
 
 #: ASCII marks that a tokenizer cuts off a word; an apostrophe may start a contraction, so it is not one.
 MARKS = string.punctuation.replace("'", "")
-#: Words in a worker's memo before it starts afresh; about 200 bytes each.
-MEMO = 400_000
+#: Words in a worker's memo before it starts afresh, and letters of the longest word that stays in it: 200 to 400 bytes each.
+MEMO, LONGEST = 400_000, 64
 #: Code points tokenized together.
 TOGETHER = 1 << 21
 
@@ -90,9 +90,15 @@ class Words:
         if len(self.memo) > MEMO:
             self.memo.clear()
             self.memo[""] = b""
-        self._learn(set().union(*words).difference(self.memo), None not in low)
+        new = set().union(*words).difference(self.memo)
+        self._learn(new, None not in low)
         find = self.memo.__getitem__
-        return [b"".join(map(find, w)) for w in words]
+        found = [b"".join(map(find, w)) for w in words]
+        for w in new:
+            if len(w) > LONGEST:  # blobs are not seen twice
+                self.memo.pop(w, None)
+                self.memo.pop(w.rstrip(MARKS), None)
+        return found
 
 
 def _lower(text: str) -> str | None:
