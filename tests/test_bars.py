@@ -1,4 +1,4 @@
-"""Literal series whose answers can be read off."""
+"""Literal series whose answers can be read off. The expected values are fixed: they follow from the definitions."""
 
 import math
 
