@@ -279,4 +279,9 @@ union all select 3, 'contracts are strung together without adjustment, so prices
     "trust_flags": f"with {TICKS}, h as ({bars('1h')}), q as (select *, case when volume > 5 then 'partial' when volume <= 2 then 'cached' when symbol = 'view' then 'demo' else 'delayed' end as quality from h) select symbol, time, quality, quality not in ('demo', 'partial') as trusted, volume > 5 or symbol <> '{PRIMARY}' as fallback from q",
     "chart_series": f"with {TICKS}, h as ({bars('1h')}) select symbol, time // 1000 as time, open, high, low, close, volume, close >= open as up from h",
     "display_texts": f"with {TICKS}, h as ({bars('1h')}) select symbol, time, format('{{:,.2f}}', close * 1000) as price, coalesce(case when volume > 1 then case when round((close - open) / open * 100, 1) > 0 then '+' else '' end || format('{{:.2f}}', round((close - open) / open * 100, 1)) || '%' end, '-') as change from h",
+    "column_list_json": f"with {TICKS}, h as ({bars('1h')}) select * from h where symbol = '{PRIMARY}'",
+    "paged_scan": f"select 'NQ' as symbol, t as time, 100.0::double + t // {H} % 24 as open, 103.0::double + t // {H} % 24 as high, 99.0::double + t // {H} % 24 as low, 101.5::double + t // {H} % 24 as close, cast(t // {H} % 10 as double) as volume from (select unnest(range({FROM} + 5 * {H} + (-({FROM} + 5 * {H}) % {H} + {H}) % {H}, {TO}, {H})) as t)",
+    "chain_fallback": f"with {TICKS}, h as ({bars('1h')}) select symbol, time, close, 'third' as provider, 'live' as quality, 'first: down' as reason from h where symbol = '{PRIMARY}' and time between {FROM} and {TO}",
+    "demo_checked": f"with r as (select unnest(range({FROM} - {FROM} % 300000, {FROM} + 14 * 86400000 + 1, 300000)) as time), n as (select count(*) as n from r where {IN_SESSION}) select unnest(['ES', 'NQ']) as symbol, n as bars, n as times, true as sound from n",
+    "stream_closed_bars": f"with {TICKS}, h as ({bars('1h')}) select * from h where time + {H} <= (select max(time) from t) - 2 * {H}",
 }

@@ -14,7 +14,8 @@ from barsmith.operators.blocks import indexed
 from barsmith.operators.tables import kept
 from barsmith.operators.tables import shared_folder
 from barsmith.plans import present, service
-from barsmith.sources import catalog, demo
+from barsmith.sources import catalog, demo, files
+from barsmith.streaming.bars import stream_bars
 
 HOUR = intervals.HOUR
 PRIMARY = "click"
@@ -409,6 +410,53 @@ def texts(spark, sf_dir):
     return hourly(spark, sf_dir).select("symbol", "time", present.price_text(F.col("close") * 1000, 2).alias("price"), present.percent_text(F.round(F.when(F.col("volume") > 1, numbers.percent_change(F.col("open"), F.col("close"))), 1)).alias("change"))
 
 
+def _folder(spark, name):
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def column_list_json(spark, sf_dir):
+    """Hourly bars of one symbol written as a JSON file of columns and rows, and read again."""
+    path = _folder(spark, "json")
+    files.write_column_list(hourly(spark, sf_dir).where(F.col("symbol") == PRIMARY), path)
+    return files.read_column_list(spark, f"{path}/symbol={PRIMARY}", PRIMARY)
+
+
+def paged_scan(spark, sf_dir):
+    """A vendor read in pages, one task each, and cleaned."""
+    spark.dataSource.register(files.PagedSource)
+    options = {"symbol": "NQ", "interval": "1h", "start": FROM, "end": TO, "page": 20 * HOUR, "fetch": "barsmith.sources.demo.paged", "oldest": FROM + 5 * HOUR}
+    return ingest.normalize(spark.read.format("paged_bars").options(**options).load())
+
+
+def chain_fallback(spark, sf_dir):
+    """A source that is down, one that has another interval, and one that answers."""
+
+    def down(*_):
+        raise ConnectionError("down")
+
+    answer = lambda symbol, *_: hourly(spark, sf_dir).where(F.col("symbol") == symbol)
+    chain = catalog.Chain([catalog.Source("first", down, frozenset({"1h"})), catalog.Source("daily", answer, frozenset({"1d"})), catalog.Source("third", answer, frozenset({"1h"}), quality="live")])
+    rows, source, reason = chain.fetch(PRIMARY, "1h", FROM, TO)
+    return files.in_range(rows, FROM, TO).select("symbol", "time", "close", F.lit(source.name).alias("provider"), F.lit(source.quality).alias("quality"), F.lit(reason).alias("reason"))
+
+
+def demo_checked(spark, sf_dir):
+    """Synthetic bars of two weeks: how many there are, and whether each is sound and in the session."""
+    made = demo.demo_bars(spark, {"ES": (5000.0, 1.0, 0.25, 2), "NQ": (17000.0, 1.2, 0.25, 2)}, FROM, FROM + 14 * intervals.DAY)
+    sound = F.col("low").between(0.25, F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & (F.col("volume") > 0) & time.in_session(F.col("time"))
+    return made.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.count_distinct("time").alias("times"), F.min(sound).alias("sound"))
+
+
+def stream_closed_bars(spark, sf_dir):
+    """Bars that a stream of the ticks has closed: those that end two hours before the last tick."""
+    source, sink, state = (_folder(spark, n) for n in ("ticks", "closed", "state"))
+    rows = ticks(spark, sf_dir).withColumn("ts", F.timestamp_millis("time")).select("symbol", "ts", "seq", "price")
+    rows.write.parquet(source)
+    stream = stream_bars(spark.readStream.schema(rows.schema).parquet(source))
+    stream.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink)
+
+
 QUERIES = {
     **{f"ohlcv_{n}": ohlcv(n) for n in intervals.LENGTH},
     "resample_4h": resampled("4h"),
@@ -485,6 +533,11 @@ QUERIES = {
     "trust_flags": trust,
     "chart_series": lambda s, d: present.chart(hourly(s, d)),
     "display_texts": texts,
+    "column_list_json": column_list_json,
+    "paged_scan": paged_scan,
+    "chain_fallback": chain_fallback,
+    "demo_checked": demo_checked,
+    "stream_closed_bars": stream_closed_bars,
 }
 
 

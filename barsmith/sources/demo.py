@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barsmith.functions.intervals import MINUTE
+from barsmith.functions.intervals import HOUR, LENGTH, MINUTE
 from barsmith.functions.numbers import round_tick
 from barsmith.functions.time import in_session, session_day
 
@@ -60,4 +60,11 @@ def demo_bars(spark: SparkSession, symbols: dict[str, tuple[float, float, float,
     return out.withColumns({"high": F.greatest("open", "high", "close"), "low": F.least("open", "low", "close")})
 
 
-__all__ = ["demo_bars", "regime_of", "regimes", "round_tick"]
+def paged(symbol: str, interval: str, start: int, end: int) -> list[tuple]:
+    """A vendor for tests of paging: a bar for each step of a half-open range, its prices by the hour of the day."""
+    step = LENGTH[interval]
+    first = start + -start % step
+    return [(t, 100.0 + t // HOUR % 24, 103.0 + t // HOUR % 24, 99.0 + t // HOUR % 24, 101.5 + t // HOUR % 24, float(t // step % 10)) for t in range(first, end, step)]
+
+
+__all__ = ["demo_bars", "paged", "regime_of", "regimes", "round_tick"]

@@ -185,3 +185,14 @@ def test_nearest_vectors_with_ties_nulls_and_many_queries(spark, monkeypatch):
         of.setdefault(r["query_id"], []).append(r["vec_id"])
     assert of[0] == [1, 2, 3, 4] and of[5] == [0, 1, 2, 3] and of[30] == [31, 32, 33, 34] and 50 not in of and len(of) == 13
     assert similarity.nearest_vectors(df.limit(0), df, 4).count() == 0
+
+
+def test_pattern_of_another_length(spark):
+    import numpy as np
+
+    b = wave(spark, "NQ")
+    p = similarity.pattern(b, 12)
+    closes = np.array([h - 0.5 for h in SHAPE])
+    assert (p.length, p.selected) == (12, 20) and np.allclose(p.bars[3], np.interp(np.linspace(0, 1, 12), np.linspace(0, 1, 20), closes)) and len(p.normalized) == 20
+    with pytest.raises(ValueError):
+        similarity.pattern(b.limit(4))
