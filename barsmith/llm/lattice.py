@@ -105,10 +105,43 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
-def cells(vectors: np.ndarray, turn: np.ndarray, scale: float, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
+def tables_of(blocks: int, joint: int) -> list[tuple[int, ...]]:
+    """The blocks of each hash table: every choice of ``joint`` of them."""
+    return list(combinations(range(blocks), min(joint, blocks)))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key for two."""
+    with np.errstate(over="ignore"):
+        key = (a.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ (key >> np.uint64(32))) + b.view(np.uint64)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+        return (key ^ (key >> np.uint64(31))).view(np.int64)
+
+
+def cells(vectors: np.ndarray, turn: np.ndarray, scale: float, reach: float, joint: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
     """Own cell of each vector in each table, and the cells it probes (its own among them)."""
+    own, probes = block_cells(vectors, turn, scale, reach)
+    if joint == 1:
+        return np.stack(own, axis=1), [np.concatenate([p[i] for p in probes]) for i in range(len(vectors))]
+    keys, asked = [], [[] for _ in range(len(vectors))]
+    for chosen in tables_of(len(own), joint):
+        key = own[chosen[0]]
+        for t in chosen[1:]:
+            key = _mixed(key, own[t])
+        keys.append(key)
+        for i, mine in enumerate(asked):
+            some = probes[chosen[0]][i]
+            for t in chosen[1:]:
+                some = _mixed(np.repeat(some, len(probes[t][i])), np.tile(probes[t][i], len(some)))
+            mine.append(some)
+    return np.stack(keys, axis=1), [np.concatenate(p) for p in asked]
+
+
+def block_cells(vectors: np.ndarray, turn: np.ndarray, scale: float, reach: float) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+    """For each block, the cell of each vector and the cells within reach of it."""
     x = _unit(vectors) @ turn / scale
-    own, probes = [], [[] for _ in range(len(x))]
+    own, probes = [], []
     squares = (SHELLS**2).sum(axis=1)
     for t in range(x.shape[1] // 8):
         block = x[:, 8 * t : 8 * t + 8]
@@ -117,10 +150,8 @@ def cells(vectors: np.ndarray, turn: np.ndarray, scale: float, reach: float) ->
         far = (rest**2).sum(axis=1)[:, None] - 2 * rest @ SHELLS.T + squares
         i, k = np.nonzero(far <= reach**2 + 1e-9)
         own.append(_keys(near, t, vectors.shape[1]))
-        found = np.split(_keys(near[i] + SHELLS[k], t, vectors.shape[1]), np.searchsorted(i, np.arange(1, len(x))))
-        for mine, more in zip(probes, found):
-            mine.append(more)
-    return np.stack(own, axis=1), [np.concatenate(p) for p in probes]
+        probes.append(np.split(_keys(near[i] + SHELLS[k], t, vectors.shape[1]), np.searchsorted(i, np.arange(1, len(x)))))
+    return own, probes
 
 
 def _stacked(vectors: pd.Series) -> np.ndarray:
@@ -156,7 +187,7 @@ def side(rows: pd.DataFrame, turn: np.ndarray, scale: float) -> Side:
     return Side(unit, at, points, rows["rep"].to_numpy(), rows["copies"].to_numpy())
 
 
-def _met_before(q: Side, s: Side, table_: int, low: np.ndarray, reach: float, cross: bool) -> np.ndarray:
+def _met_before(q: Side, s: Side, table_: int, low: np.ndarray, reach: float, cross: bool, joint: int) -> np.ndarray:
     """Whether a pair, of which q probes s's cell in ``table_``, has met before that.
 
     Meetings are in order of tables; within one, first the vector with the smaller id probes. ``cross``:
@@ -164,20 +195,24 @@ def _met_before(q: Side, s: Side, table_: int, low: np.ndarray, reach: float, cr
     """
     limit = reach**2 + 1e-9
 
-    def far(a: np.ndarray, p: np.ndarray, t: int) -> np.ndarray:
+    def near(a: np.ndarray, p: np.ndarray, t: int) -> np.ndarray:
         x, y = a[:, 8 * t : 8 * t + 8], p[:, 8 * t : 8 * t + 8]
         if cross:
-            return (x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1)
-        return ((x - y) ** 2).sum(axis=1)
+            return (x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1) <= limit
+        return ((x - y) ** 2).sum(axis=1) <= limit
+
+    def probed(a: Side, b: Side, chosen: tuple[int, ...]) -> np.ndarray:
+        return np.logical_and.reduce([near(a.at, b.points, t) for t in chosen])
 
     turned = (lambda m: m.T) if cross else (lambda m: m)
+    tables = tables_of(q.at.shape[1] // 8, joint)
     met = np.zeros(low.shape, bool)
-    for t in range(table_):
-        met |= (far(q.at, s.points, t) <= limit) | (turned(far(s.at, q.points, t)) <= limit)
-    return met | (~low & (turned(far(s.at, q.points, table_)) <= limit))
+    for chosen in tables[:table_]:
+        met |= probed(q, s, chosen) | turned(probed(s, q, chosen))
+    return met | (~low & turned(probed(s, q, tables[table_])))
 
 
-def pair_links(q: Side, s: Side, table_: int, cosine: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+def pair_links(q: Side, s: Side, table_: int, cosine: float, reach: float, joint: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the linked pairs of two sides that meet first here. Blocks keep the matrices small."""
     found = []
     for i in range(0, len(q.rep), 1024):
@@ -187,11 +222,11 @@ def pair_links(q: Side, s: Side, table_: int, cosine: float, reach: float) -> tu
             if not near.any():
                 continue
             if near.mean() > 0.05:
-                near &= ~_met_before(x, y, table_, x.rep[:, None] < y.rep[None], reach, True)
+                near &= ~_met_before(x, y, table_, x.rep[:, None] < y.rep[None], reach, True, joint)
                 a, b = np.nonzero(near)
             else:
                 a, b = np.nonzero(near)
-                first = ~_met_before(x.take(a), y.take(b), table_, x.rep[a] < y.rep[b], reach, False)
+                first = ~_met_before(x.take(a), y.take(b), table_, x.rep[a] < y.rep[b], reach, False, joint)
                 a, b = a[first], b[first]
             keep = np.concatenate([np.einsum("ij,ij->i", x.unit[a[k : k + 65536]], y.unit[b[k : k + 65536]]) >= cosine for k in range(0, len(a), 65536)] or [np.zeros(0, bool)])
             found.append((a[keep] + i, b[keep] + j))
@@ -206,8 +241,13 @@ def valid(column: str, dim: int | None) -> F.Column:
     return F.coalesce(x.isNotNull() & (F.lit(True) if dim is None else F.size(x) == dim) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", dim: int | None = None, cosine: float = 0.95, scale: float | None = None, reach: float = REACH, seed: int = 5) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): one row for each row of ``vectors``."""
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", dim: int | None = None, cosine: float = 0.95, scale: float | None = None, reach: float = REACH, joint: int = 1, seed: int = 5) -> DataFrame:
+    """(vec_id, n_links, component_id, kept): one row for each row of ``vectors``.
+
+    ``joint``: blocks whose cells make one key. Pairs that meet by chance grow with the square of the table, at
+    a rate that each further block divides by some 10,000; with two there are more tables and probes, and recall
+    at the threshold itself is lower. One suits some millions of vectors, two a thousand times as many.
+    """
     spark = vectors.sparkSession
     every = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector).alias("v"))
     every = every.withColumn("ok", valid("v", dim) & F.col("vec_id").isNotNull())
@@ -219,7 +259,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str =
         for b in batches:
             for i in range(0, len(b), 512):
                 for n, part in by_length(b.iloc[i : i + 512]):
-                    own, probes = cells(_stacked(part["v"]), rotation(n, seed), scale or scale_of(n, cosine), reach)
+                    own, probes = cells(_stacked(part["v"]), rotation(n, seed), scale or scale_of(n, cosine), reach, joint)
                     yield pd.DataFrame({"rep": part["rep"].to_numpy(), "own": list(own), "probes": probes})
 
     hashes = written(distinct.repartition(partitions(spark)).select("rep", "v").mapInPandas(hashed, "rep bigint, own array<bigint>, probes array<bigint>"), "lattice-cells")
@@ -252,7 +292,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str =
             a, b = [], []
             for g in np.flatnonzero((n_stored > 0) & (n_asking > 0) & (n_stored * n_asking > 256)):
                 lo, mid, hi = starts[g], starts[g] + n_stored[g], ends[g]
-                x, y = pair_links(every.take(slice(mid, hi)), every.take(slice(lo, mid)), int(tables[lo]), cosine, reach)
+                x, y = pair_links(every.take(slice(mid, hi)), every.take(slice(lo, mid)), int(tables[lo]), cosine, reach, joint)
                 a.append(x + mid)
                 b.append(y + lo)
             small = np.flatnonzero((n_stored > 0) & (n_asking > 0) & (n_stored * n_asking <= 256))
@@ -266,7 +306,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector: str =
                 x, y, t = x[near], y[near], tables[starts[which[near]]]
                 for one in np.unique(t):
                     p, o = x[t == one], y[t == one]
-                    first = ~_met_before(every.take(p), every.take(o), int(one), every.rep[p] < every.rep[o], reach, False)
+                    first = ~_met_before(every.take(p), every.take(o), int(one), every.rep[p] < every.rep[o], reach, False, joint)
                     a.append(p[first])
                     b.append(o[first])
             a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])

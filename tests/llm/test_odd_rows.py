@@ -89,3 +89,16 @@ def test_smallest_id_of_a_class(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q r s"), (None, None), (2, "")]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == [(1, 1), (2, 2), (3, 1), (None, 1), (None, 2), (None, None)]
+
+
+@pytest.mark.parametrize("joint", [1, 2])
+def test_recall_by_blocks_in_a_key(spark, joint):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(150, 64))
+    rows = np.repeat(base, 4, axis=0) + rng.normal(size=(600, 64)) * rng.uniform(0.02, 0.2, (600, 1))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    u = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(600, dtype=bool)
+    got = lattice.near_duplicates(df, joint=joint).collect()
+    found = sum(r["n_links"] for r in got)
+    assert 0.9 * near.sum() <= found <= near.sum() and (joint == 2 or found >= 0.99 * near.sum())
