@@ -11,8 +11,8 @@ are found by minima, and the SimHash of each text is given beside its class.
    likeness of J a pair is one with probability 1 - (1 - J**ROWS)**BANDS, 0.99994 at 0.8.
 3. Candidates are gathered to components. In one of at most CHUNK sets every pair that shares a key is compared
    shingle by shingle, unless both are of one class already. In a larger one each set is first compared
-   with the smallest of each of its keys, which joins most of a dense group; then the sets of a key that are of
-   several classes meet, in chunks that leave out pairs of one class.
+   with the smallest of each of its keys, which joins most of a dense group; then its sets meet in chunks that
+   leave out pairs of one class, so what is sent grows with the sets times the chunks of those still apart.
 
 So no link is made below ``least``, and one at 0.8 is missed with probability 0.00006. Links, not pairs of
 documents, leave the tasks. Nothing is capped.
@@ -181,8 +181,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         some = written(texts.where(F.col("n") > CHUNK).select("node", "t"), "likeness-texts")
         found = written(stars(near.join(large.select(F.col("node").alias("u")), "u", "left_semi"), some, width, least), "likeness-stars")
         class_of = components(found).withColumnRenamed("root", "class")
-        open_ = large.select("node").join(bands, "node").join(class_of, "node", "left").select("k", "key", "node", F.coalesce("class", "node").alias("class"))
-        rest = meetings(open_, ["k", "key"], "node", CHUNK).join(some, "node")
-        found = small.unionByName(found).unionByName(compared(rest, ["k", "key", "meet"], width, least))
+        open_ = written(large.select("root", "node").join(class_of, "node", "left").select("root", "node", F.coalesce("class", "node").alias("class")), "likeness-open")
+        rest = meetings(open_, ["root"], "node", CHUNK).join(some, "node")
+        found = small.unionByName(found).unionByName(compared(rest, ["root", "meet"], width, least))
     classes = components(found).withColumnRenamed("root", "class")
     return each.select("doc_id", "h", "fp", "node").join(classes, "node", "left").select("doc_id", "h", "fp", F.coalesce("class", "node").alias("class"))
