@@ -11,8 +11,8 @@ Labels are learned from at most ``max_rows`` labelled rows, those with the small
 
 Nulls: a null text is the empty text and is scored like any other; a null id is never labelled nor held
 out; null labels are not learned from. If an id has several labels, their mean is learned. Without labels
-of both kinds every score is the share of good labels, or 0.5. Rows that repeat are scored alike. Extra
-columns are kept beside the score by :func:`score_rows`.
+of both kinds every score is the share of good labels, or 0.5. Rows that repeat are scored alike. An empty table
+gives an empty result. Extra columns are kept beside the score by :func:`score_rows`.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import crc32_mod, table, written
+from barsmith.llm.common import crc32_mod, partitions, table, written
 from barsmith.llm.rows import with_vector
 
 STATISTICS = (
@@ -36,6 +36,8 @@ STATISTICS = (
     "letters", "digits", "capitals", "white space", "sentence marks", "symbols", "bytes beyond ASCII",
     "lines per word", "repeated lines", "distinct words", "commonest word", "doubled words", "distinct pairs", "words in capitals", "words ending in marks", "byte entropy",
 )
+#: Most labelled rows that are learned from.
+MAX_ROWS = 50_000
 _MARKS = b".,;:!?'\"-()"
 
 
@@ -110,11 +112,11 @@ def isotonic(score: np.ndarray, weight: np.ndarray, good: np.ndarray) -> tuple[n
     return np.array([b[0] / b[1] for b in blocks]), np.array([b[2] / b[1] for b in blocks])
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label: str = "quality", modulus: int = 3, held: int = 1, max_rows: int = 50_000, size: int = 256, ridge: float = 1e-3, folds: int = 4, bins: int = 400, seed: int = 7) -> Model:
+def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label: str = "quality", modulus: int = 3, held: int = 1, max_rows: int = MAX_ROWS, size: int = 256, ridge: float = 1e-3, folds: int = 4, bins: int = 400, seed: int = 7) -> Model:
     """``stats``: (id, vector)."""
     k = len(STATISTICS)
     train = labelled(stats.select(id_col, "vector"), labels, label, modulus, held, max_rows, id_col).select("vector", "y", F.pmod(F.xxhash64(id_col), F.lit(folds)).cast("int").alias("fold"))
-    train = written(train.repartition(16), "quality-train")
+    train = written(train.repartition(partitions(stats.sparkSession)), "quality-train")
     moments = train.agg(F.count("y"), F.sum("y"), *(f(F.col("vector")[i]) for i in range(k) for f in (F.avg, F.stddev_pop))).first()
     n, good = moments[0], moments[1] or 0.0
     rng = np.random.default_rng(seed)
@@ -197,7 +199,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 def score_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(row, score): every column of ``docs`` in a struct beside its score."""
-    stats = written(measured(docs.select(id_col, text), text).select(F.col(f"row.{id_col}").alias(id_col), "vector"), "quality-statistics")
+    chosen = {k: v for k, v in options.items() if k in ("label", "modulus", "held", "max_rows")}
+    rows = labelled(docs.select(id_col, text), labels, id_col=id_col, **{"label": "quality", "modulus": 3, "held": 1, "max_rows": MAX_ROWS} | chosen)
+    # only rows to learn from are measured twice
+    stats = written(measured(rows.select(id_col, text), text).select(F.col(f"row.{id_col}").alias(id_col), "vector"), "quality-statistics")
     model = fit(stats, labels, id_col=id_col, **options)
     score = lambda: lambda texts: [[float(min(1.0, max(0.0, s)))] for s in model.score(np.array([statistics(t) for t in texts]))] if texts else []
     return with_vector(docs, text, score).select("row", F.col("vector")[0].alias("score"))
