@@ -97,7 +97,8 @@ def smt(include_invalid):
     def query(spark, sf_dir):
         rows = placed(spark, sf_dir)
         found = kept(gaps.fair_value_gaps(rows), "gaps")
-        return divergence.between(rows, structure.swing_points(rows, 1), found, PRIMARY, REFERENCES, include_invalid=include_invalid)
+        swings_ = kept(structure.swing_points(rows, 1), "swings")
+        return divergence.between(rows, swings_, found, PRIMARY, REFERENCES, include_invalid=include_invalid)
 
     return query
 
