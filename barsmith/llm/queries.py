@@ -1,6 +1,6 @@
 """The queries of the corpus operators and, where SQL can express one, its SQL."""
 
-from barsmith.llm import chat, fingerprints, lattice, licenses, middle, mixing, packing, quality, simhash, toxicity, urls
+from barsmith.llm import chat, fingerprints, lattice, licenses, middle, mixing, packing, quality, repeats, simhash, toxicity, urls, variants
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -14,6 +14,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_chat": chat.op10_chat,
+    "op11_repeats": repeats.op11_repeats,
+    "op12_variants": variants.op12_variants,
     "op13_middle": middle.op13_middle,
 }
 
@@ -22,5 +24,6 @@ ORACLES: dict[str, str] = {
     "licenses_planted": licenses.PLANTED_ORACLE,
     "op6_url_filter": urls.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op12_variants": variants.ORACLE,
     "op13_middle": middle.ORACLE,
 }
