@@ -24,6 +24,7 @@ ORACLES: dict[str, str] = {
     "licenses_planted": licenses.PLANTED_ORACLE,
     "op6_url_filter": urls.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_repeats": repeats.ORACLE,
     "op12_variants": variants.ORACLE,
     "op13_middle": middle.ORACLE,
 }

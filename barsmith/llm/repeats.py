@@ -60,7 +60,7 @@ def _words(data: np.ndarray, kind: str) -> np.ndarray:
 def hashed(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
     """64 bits for each stretch of 8 bytes or more."""
     words = _words(data, "<u8")
-    h = mixed(length.astype(np.uint64) + np.uint64(seed) * _ODD[0])
+    h = mixed(length.astype(np.uint64) + np.uint64(seed << 40))
     for j in range(0, int(length.max(initial=0)), 8):
         on = np.nonzero(length > j)[0]
         at = start[on] + np.minimum(j, length[on] - 8)
@@ -353,3 +353,23 @@ def op11_repeats(spark, sf_dir):
     rows = without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.start)
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same with every window as a row, in hexadecimal digits.
+ORACLE = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+c as (select doc_id, x, unnest(range(0, greatest(length(x) // 2 - 49, 0), 256)) as q from d),
+y as (select doc_id, q, substr(x, 2 * q + 1, 2 * 305) as y from c),
+w as (select doc_id, q, y, unnest(range(0, length(y) // 2 - 49)) as p from y),
+s as (select doc_id, q + p as p, substr(y, 2 * p + 1, 100) as s from w),
+m as (select s, min(doc_id) as first from s group by s having count(*) > 1),
+hit as (select distinct doc_id, p from s join m using (s) where first < doc_id),
+edge as (select *, p > coalesce(lag(p) over (partition by doc_id order by p) + 50, -1) as new from hit),
+part as (select *, sum(cast(new as int)) over (partition by doc_id order by p) as k from edge),
+span as (select doc_id, min(p) as a, max(p) + 50 as b from part group by doc_id, k),
+gap as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as upto from span),
+kept as (select g.doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(x, 2 * upto + 1, 2 * (a - upto)), '' order by a) || substr(any_value(x), 2 * max(b) + 1) as rest
+  from gap g join d on g.doc_id = d.doc_id group by g.doc_id)
+select d.doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(rest, x))) as kept_sha256
+from d left join kept on d.doc_id = kept.doc_id
+"""
