@@ -8,13 +8,16 @@ have equal anchors at equal places, and some twenty suffixes in a row share one.
 
 1. by anchor: a run of suffixes with one anchor is one row; anchors that only one document has leave the sort;
    in the same pass, a run whose whole stretch of bytes an earlier document has is settled at once;
-2. by all ``depth`` bytes, for suffixes in runs that are not settled.
+2. by half: those suffixes of a run that begin well before the anchor share the bytes before it, the others those behind
+   it, which makes two thirds of ``depth``; halves that only one document has leave the sort;
+3. by all ``depth`` bytes, for the suffixes that are left.
 
-Documents are first put together in blocks of about a megabyte, in a table bucketed by block, so that later passes
-read texts where they lie; only digits and answers are shuffled. In a block, equal digits are one row with the
+Documents are first put together in blocks of some megabytes, in a table bucketed by block (one file a block), so that
+later passes read texts where they lie; only digits and answers are shuffled. In a block, equal digits are one row with the
 smallest document, and an anchor with more than ``MANY`` different stretches in a block is one row that sends them to
 pass 2. So a key, however hot, has at most ``MANY`` rows a block, and none are dropped. Digits are hashed: 128 bits
-for a stretch with its anchor, 96 bits for a window; what collides would be a false match.
+for a stretch with its anchor, 96 bits for a window; what collides would be a false match. ``BLOCK`` should grow with the
+executors (about twenty bytes of memory for each of a block), as there are fewer rows the larger blocks are.
 
 Nulls: a null text is empty, a document with a null id comes after all others. Documents of one id, rows that repeat
 among them, are not earlier than each other. Very long texts are worked on in pieces. Overlaps count and nothing is judged by what is
@@ -38,7 +41,7 @@ from barsmith.operators.tables import shared_folder
 
 DEPTH, GRAM = 50, 16
 #: Bytes and documents of a block, suffixes worked on at a time, and stretches of one anchor that a block tells apart.
-BLOCK, MOST, PIECE, MANY = 1 << 20, 50_000, 1 << 20, 8
+BLOCK, MOST, PIECE, MANY = 1 << 22, 50_000, 1 << 20, 8
 LAST = np.iinfo(np.int64).max
 CLEAN, REMOVED, OPEN = 0, 1, 2
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -109,9 +112,9 @@ class Block:
         self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
         self.depth, self.buckets = depth, buckets
         found = [self._piece(a) for a in range(0, len(self.data), PIECE)]
-        self.first, self.last, at = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+        self.first, self.last, self.at = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
         self.doc = self.ids[np.searchsorted(self.offsets, self.first, "right") - 1]
-        self.anchor = hashed(self.data, at, np.full(len(at), GRAM), 1)
+        self.anchor = hashed(self.data, self.at, np.full(len(self.at), GRAM), 1)
         self.stretch = hashed(self.data, self.first, self.last - self.first + depth, 2)
         self.stretch[self.stretch == 0] = 1
 
@@ -158,14 +161,37 @@ class Block:
         """States of the rows of pass 1; sets the state of each run."""
         self.state = np.where(self.mine, state[self.row] if len(state) else CLEAN, REMOVED)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(digit, more of it, document) of the rows of pass 2, one for each different window of open runs; sets where they start."""
+    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(digit, nothing, document) of the rows of pass 2, one for each different half of open runs; sets which windows each half has."""
         runs = np.nonzero(self.state == OPEN)[0]
-        n = self.last[runs] - self.first[runs] + 1
-        self.start = np.repeat(self.first[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at, near = self.at[runs], (self.depth - GRAM) // 2
+        low = np.concatenate((self.first[runs], np.maximum(self.first[runs], at - near + 1)))
+        high = np.concatenate((np.minimum(self.last[runs], at - near), self.last[runs]))
+        start = np.concatenate((at - near, at))
+        length = np.repeat([near + GRAM, self.depth - near + 1], len(runs))
+        on = low <= high
+        self.low, self.high, doc = low[on], high[on], np.concatenate((self.doc[runs], self.doc[runs]))[on]
+        digit = hashed(self.data, start[on], length[on], 5)
+        _, first, self.half = np.unique(digit, return_index=True, return_inverse=True)
+        least, most = np.full(len(first), LAST), np.full(len(first), np.iinfo(np.int64).min)
+        np.minimum.at(least, self.half, doc)
+        np.maximum.at(most, self.half, doc)
+        self.shared = least != most
+        return digit[first], np.zeros(len(first), np.uint64), least
+
+    def answer_halves(self, state: np.ndarray) -> None:
+        """Whether other documents have the rows of pass 2."""
+        keep = (self.shared | state.astype(bool))[self.half]
+        self.low, self.high = self.low[keep], self.high[keep]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(digit, more of it, document) of the rows of pass 3, one for each different window of open halves; sets where they start."""
+        n = self.high - self.low + 1
+        self.start = np.repeat(self.low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        self.start.sort()
         size = np.full(len(self.start), self.depth)
         digit, more = hashed(self.data, self.start, size, 3), hashed(self.data, self.start, size, 4) >> np.uint64(32)
-        doc = np.repeat(self.doc[runs], n)
+        doc = self.ids[np.searchsorted(self.offsets, self.start, "right") - 1]
         _, first, to = np.unique(mixed(digit + _ODD[0] * more), return_index=True, return_inverse=True)
         place = np.argsort(first)
         rank = np.empty_like(place)
@@ -175,7 +201,7 @@ class Block:
         return digit[first], more[first], doc[first]
 
     def spans(self, known: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """(document, removed spans) by ``known``: whether an earlier document has the window of each row of pass 2."""
+        """(document, removed spans) by ``known``: whether an earlier document has the window of each row of pass 3."""
         gone = np.zeros(len(self.data) + 1, np.int64)
         whole = self.state == REMOVED
         np.add.at(gone, self.first[whole], 1)
@@ -218,7 +244,7 @@ def in_blocks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     parts = partitions(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "block bigint, ids array<bigint>, sizes array<bigint>, data binary")
     name = f"repeats_blocks_{uuid.uuid4().hex}"
-    rows.repartition(parts, "block").write.bucketBy(parts, "block").option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
+    rows.write.bucketBy(parts, "block").option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -250,16 +276,29 @@ def _lists(arrays: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array([a.view(np.int64)], pa.list_(pa.int64())) for a in arrays]
 
 
-def _ask(blocks: DataFrame, depth: int, buckets: int, last: bool) -> DataFrame:
-    """(bucket, block, a, b, doc): the rows of pass 1, or of pass 2 for blocks joined with the answers of pass 1."""
+#: The passes, and the columns in which blocks find what was said to the rows of each.
+PASSES = ("anchors", "halves", "windows")
+
+
+def _asked(block: Block, row: dict, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of pass ``upto``, from 0, of a block that has the answers of all passes before it."""
+    rows = block.asked()
+    if upto > 0:
+        block.answer(_joined(row[PASSES[0]], block._dealt(rows[0]), len(rows[0])))
+        rows = block.halves()
+    if upto > 1:
+        block.answer_halves(_joined(row[PASSES[1]], block._dealt(rows[0]), len(rows[0])))
+        rows = block.windows()
+    return rows
+
+
+def _ask(blocks: DataFrame, depth: int, buckets: int, upto: int) -> DataFrame:
+    """(bucket, block, a, b, doc): the rows of a pass for blocks joined with the answers of those before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             block = _opened(row, depth, buckets)
-            a, b, doc = block.asked()
-            if last:
-                block.answer(_joined(row["first"], block._dealt(a), len(a)))
-                a, b, doc = block.windows()
+            a, b, doc = _asked(block, row, upto)
             for bucket, rows in block._dealt(a):
                 yield pa.record_batch([pa.array([bucket], pa.int64()), pa.array([row["block"]], pa.int64()), *_lists([a[rows], b[rows], doc[rows]])], names=["bucket", "block", "a", "b", "doc"])
 
@@ -290,8 +329,19 @@ def states(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def shared(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Pass 2 in a bucket: whether more than one document has the half."""
+    order = np.lexsort((doc, a))
+    a, doc = a[order], doc[order]
+    out = np.zeros(len(a), np.uint8)
+    if len(a):
+        heads = np.nonzero(np.concatenate(([True], a[1:] != a[:-1])))[0]
+        out[order] = np.repeat(np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads), np.diff(heads, append=len(a)))
+    return out
+
+
 def earlier(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Pass 2 in a bucket: whether an earlier document has the window."""
+    """Pass 3 in a bucket: whether an earlier document has the window."""
     order = np.lexsort((doc, b, a))
     a, b, sorted_doc = a[order], b[order], doc[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
@@ -326,17 +376,15 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         raise ValueError(f"depth is at least {2 * GRAM}")
     buckets = buckets or 4 * partitions(docs.sparkSession)
     blocks = in_blocks(docs, id_col, text)
-    first = _answered(_ask(blocks, depth, buckets, False), states, "first")
-    told = blocks.join(first, "block", "left")
-    second = _answered(_ask(told, depth, buckets, True), earlier, "second")
+    told = blocks
+    for k, judge in enumerate((states, shared, earlier)):
+        told = told.join(_answered(_ask(told, depth, buckets, k), judge, PASSES[k]), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             block = _opened(row, depth, buckets)
-            a, _, _ = block.asked()
-            block.answer(_joined(row["first"], block._dealt(a), len(a)))
-            w, _, _ = block.windows()
-            known = _joined(row["second"], block._dealt(w), len(w)).astype(bool)
+            digits = _asked(block, row, 2)[0]
+            known = _joined(row[PASSES[2]], block._dealt(digits), len(digits)).astype(bool)
             out = []
             for k, spans in block.spans(known):
                 t = block.data[block.offsets[k] : block.offsets[k + 1]].tobytes()
@@ -345,7 +393,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
                 out.append({"doc_id": row["ids"][k], "n_bytes": len(t), "spans": [{"start": i, "end": j} for i, j in spans], "kept": kept})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]))
 
-    return told.join(second, "block", "left").mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return told.mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
 
 
 def op11_repeats(spark, sf_dir):

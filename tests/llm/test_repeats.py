@@ -48,6 +48,8 @@ def by_blocks(rows, depth, size, buckets=3):
 
     for b, s in zip(blocks, asked([b.asked() for b in blocks], repeats.states)):
         b.answer(s)
+    for b, s in zip(blocks, asked([b.halves() for b in blocks], repeats.shared)):
+        b.answer_halves(s)
     out = []
     for b, s in zip(blocks, asked([b.windows() for b in blocks], repeats.earlier)):
         for k, spans in b.spans(s.astype(bool)):
