@@ -49,11 +49,21 @@ def listed(runs: DataFrame, n: int = 50) -> DataFrame:
     return runs.orderBy(F.desc("created_at"), "run").limit(n).select("run", "created_at", "primary_symbol", "interval", "status", figure("trades_executed", "bigint"), figure("win_rate", "double"), figure("net_return", "double"))
 
 
+#: What belongs to a run besides its header.
+CHILDREN = ("matches", "trades")
+
+
+def escaped(value: str) -> str:
+    """A partition's value as Spark writes it in the name of a folder."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or ord(c) < 32 else c for c in value)
+
+
 class Store:
     """Parquet tables under one folder. A write replaces the folders of the partitions that it touches, and no others.
 
-    Parquet folders know no transactions: one process writes at a time, and a reader of a partition that is being
-    replaced may have to read again.
+    Rows are dealt out by folder before they are written, so a write makes one file in each, in order of time. What is
+    forgotten is taken away folder by folder; nothing else is written again. Parquet folders know no transactions: one
+    process writes at a time, and a reader of a partition that is being replaced may have to read again.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -67,8 +77,14 @@ class Store:
                 return self.spark.createDataFrame([], schema)
             raise
 
-    def _write(self, name: str, rows: DataFrame, by: list[str], dynamic: bool = True) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy(*by).parquet(f"{self.folder}/{name}")
+    def _write(self, name: str, rows: DataFrame, by: list[str]) -> None:
+        order = [c for c in ("time", "start") if c in rows.columns]
+        rows.repartition(*by).sortWithinPartitions(*by, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.folder}/{name}")
+
+    def _forget(self, path: str) -> bool:
+        """Takes a folder away, whatever file system it is in; whether there was one."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def candles(self) -> DataFrame:
         return self._read("candles", CANDLES)
@@ -96,39 +112,58 @@ class Store:
         return ranges.missing(self.coverage(), requested)
 
     def clear(self, symbol: str | None = None) -> None:
-        """Forgets all bars and coverage, or those of one symbol."""
-        for name, rows, by in (("candles", self.candles(), ["interval", "part"]), ("coverage", self.coverage(), ["interval"])):
-            if symbol is None:
-                self._write(name, rows.limit(0), ["symbol", *by], dynamic=False)
-            else:
-                self._write(f"{name}/symbol={symbol}", rows.limit(0).drop("symbol"), by, dynamic=False)
+        """Forgets all bars and coverage, or those of one symbol; coverage first, so bars without it are at worst fetched again."""
+        for name in ("coverage", "candles"):
+            self._forget(name if symbol is None else f"{name}/symbol={escaped(symbol)}")
 
     def save_run(self, header: DataFrame, matches: DataFrame, trades: DataFrame) -> None:
         """Tables with a column ``run``. Children first, the header last: a run without a header does not exist."""
-        for name, rows in (("matches", matches), ("trades", trades), ("runs", header)):
+        for name, rows in ((*zip(CHILDREN, (matches, trades)), ("runs", header))):
             self._write(name, rows, ["run"])
 
     def runs(self) -> DataFrame:
         return self._read("runs", RUNS)
 
+    def _children(self, name: str) -> DataFrame:
+        """The rows of a table that has the columns of what was first saved; without any, none with a column ``run``."""
+        try:
+            return self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{name}").withColumn("run", F.col("run").cast("string"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+                return self.spark.createDataFrame([], "run string")
+            raise
+
     def load_run(self, run: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return tuple(self.spark.read.parquet(f"{self.folder}/{name}").where(F.col("run") == run) for name in ("runs", "matches", "trades"))
+        """Header, matches and trades of a run; all empty for one that does not exist."""
+        mine = F.col("run") == run
+        header = self.runs().where(mine)
+        return header, *(self._children(name).where(mine).join(header.select("run"), "run", "left_semi") for name in CHILDREN)
 
     def list_runs(self, n: int = 50) -> DataFrame:
         return listed(self.runs(), n)
 
+    def counted_runs(self) -> DataFrame:
+        """(run, created_at, matches, trades): each run with the number of its matches and trades."""
+        out = self.runs().select("run", "created_at")
+        for name in CHILDREN:
+            out = out.join(self._children(name).groupBy("run").agg(F.count(F.lit(1)).alias(name)), "run", "left").fillna(0, [name])
+        return out
+
+    def _forget_runs(self, name: str, ids: DataFrame) -> None:
+        for row in ids.select("run").toLocalIterator():
+            self._forget(f"{name}/run={escaped(row['run'])}")
+
     def delete_runs(self, before: int, dry_run: bool = True) -> DataFrame:
-        """Runs created before a time with the number of their matches and trades; they are forgotten unless ``dry_run``."""
-        old = self.runs().where(F.col("created_at") < before).select("run", "created_at")
-        children = {name: self.spark.read.parquet(f"{self.folder}/{name}") for name in ("matches", "trades")}
-        for name, rows in children.items():
-            counts = rows.join(old, "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias(name))
-            old = old.join(counts, "run", "left").fillna(0, [name])
-        old = kept(old, "old-runs")
+        """Runs created before a time with the number of their matches and trades; they are forgotten unless ``dry_run``.
+
+        A run's header goes first, so a run half taken away does not exist; what such runs have left goes with the
+        next deletion. Only ids reach the driver, one at a time.
+        """
+        old = kept(self.counted_runs().where(F.col("created_at") < before), "old-runs")
         if not dry_run:
-            rest = {"runs": self.runs(), **children}
-            for name, rows in ((n, kept(r.join(old, "run", "left_anti"), n)) for n, r in rest.items()):
-                self._write(name, rows, ["run"], dynamic=False)
+            self._forget_runs("runs", old)
+            for name in CHILDREN:  # the headers are read anew, without those that have just gone
+                self._forget_runs(name, self._children(name).select("run").distinct().join(self.runs(), "run", "left_anti"))
         return old
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from barsmith.functions.intervals import LENGTH
 from barsmith.operators.similarity import WEIGHTS
 from barsmith.operators.simulate import Rules
-from barsmith.plans.queries import FROM, FUTURE, MATCHES, PATTERN_AT, PATTERN_LENGTH, PRIMARY, RUN_RULES, SEPARATION, THRESHOLD, TO, TRADES
+from barsmith.plans.queries import FROM, FUTURE, LOST, MATCHES, PAGE, PATTERN_AT, PATTERN_LENGTH, PRIMARY, RUN_RULES, SEPARATION, THRESHOLD, TO, TRADES
 from barsmith.sources.demo import REGIMES
 
 H = 3_600_000
@@ -27,6 +27,24 @@ DIRTY = """d as (select symbol, seq, time - time % 60000 as time, price - 5 as o
 m as (select *, not coalesce(o > 0 and h > 0 and l > 0 and c > 0, false) as bad from d)"""
 
 
+KNOWN = "(values ('ES', 'E-mini S&P 500', 0.25::double, 2, 'America/Chicago'), ('NQ', 'E-mini Nasdaq 100', 0.25, 2, 'America/Chicago'), ('YM', 'E-mini Dow', 1.0, 0, 'America/Chicago'))"
+#: Requests for all there is, and their pages: as they are, or widened by a bar of four hours on both sides.
+WHOLE = f'select symbol, min(time) - min(time) % {H} as start, max(time) as "end" from t group by symbol'
+_PAGES = f"""p0 as (select symbol, unnest(range(a, z + 1, {PAGE})) as start, z from w),
+p as (select symbol, start, least(start + {PAGE} - 1, z) as "end", strpos('{LOST}', cast(start // {PAGE} % 10 as varchar)) > 0 as lost from p0)"""
+FETCH = f"""{TICKS}, w as (select symbol, start as a, "end" as z from ({WHOLE})), {_PAGES}"""
+PADDED = f"""{TICKS}, w as (select symbol, start - 4 * {H} as a, "end" + 4 * {H} + (-("end" + 4 * {H}) % {H} + {H}) % {H} as z from ({WHOLE})), {_PAGES}"""
+
+
+def resampled_from_h(name: str) -> str:
+    return f"select symbol, {bucket(name)} as time, arg_min(open, time) as open, max(high) as high, min(low) as low, arg_max(close, time) as close, sum(volume) as volume from h group by symbol, {bucket(name)}"
+
+
+INTERVALS = f"with {TICKS}, i as (" + " union all ".join(f"select '{n}' as n, sum(c) as bars, sum(e) as estimate from (select count(distinct {bucket(n)}) as c, (max(time) - min(time)) // {LENGTH[n]} as e from t group by symbol)" for n in LENGTH) + """),
+v as (select * from (values ('5m', 300000, '5m', true, '5m', '5m'), ('15m', 900000, '15m', true, '5m', '5m'), ('1h', 3600000, '1h', true, '1h', '5m'), ('4h', 14400000, '1h', true, '1h', '5m'), ('6h', 21600000, '1h', true, '1h', '5m'), ('1d', 86400000, '1d', false, '1h', '5m')) t("interval", length, stored_as, intraday, from_two, from_five))
+select v.*, cast(i.bars as bigint) as bars, cast(i.estimate as bigint) as estimate from v join i on v."interval" = i.n"""
+
+
 def resampled(name: str, extra: str = "") -> str:
     return f"""{BARS}, r as (select symbol, {bucket(name)} as k, arg_min(open, time) as open, max(high) as high, min(low) as low, arg_max(close, time) as close, sum(volume) as volume, count(*) as n from h group by all)
 select symbol, k as time, open, high, low, close, volume from r {extra}"""
@@ -188,6 +206,8 @@ IN_SESSION = f"case isodow({AT}) when 6 then false when 7 then hour({AT}) >= 17
 CYCLE = sum(d for d, _ in REGIMES)
 STARTS = [sum(d for d, _ in REGIMES[:k]) for k in range(len(REGIMES))]
 
+RUNS_COUNTED = " union all ".join(f"""select * from ({trades(TRADES[name])} select '{name}' as run, cast({1000 * (k + 1)} as bigint) as created_at, count(*) as matches, count(*) filter (skip_reason is null) as trades, unnest({['[true]', '[true, false]', '[false]'][k]}) as gone from tf)""" for k, name in enumerate(("trades_long_pct", "trades_short_pct", "trades_long_fixed")))
+
 ORACLES = {
     **{f"ohlcv_{n}": f"with {TICKS} {bars(n)}" for n in LENGTH},
     "resample_4h": resampled("4h"),
@@ -272,16 +292,22 @@ select ok.symbol, ok."interval", ok.s as start, least(ok.l, coalesce((select min
     "run_notes": f"""{BARS} select 0 as place, 'source: demo, vendor' as note union all select 1, 'demo bars are made up from a seed; they are no market data' union all select 2, symbol || ': searched ' || count(*) || ' bars of 1h' from h where symbol in ('{PRIMARY}', 'view', 'signup') group by symbol
 union all select 3, 'contracts are strung together without adjustment, so prices may jump where they change' union all select 4, 'a match that begins before the last trade ends is left out'""",
     "runs_listed": " union all ".join(f"""select * from ({trades(TRADES[name])} select '{name}' as run, cast({1000 * (k + 1)} as bigint) as created_at, '{PRIMARY}' as primary_symbol, '1h' as "interval", 'done' as status, count(*) as trades_executed, round(count(*) filter (net_return > 0) * 100.0 / count(*), 4) as win_rate, round(avg(net_return), 4) as net_return from tf where skip_reason is null)""" for k, name in enumerate(("trades_long_pct", "trades_short_pct", "trades_long_fixed")) if k),
-    "interval_table": """select * from (values ('5m', 300000, '5m', true, '5m', '5m'), ('15m', 900000, '15m', true, '5m', '5m'), ('1h', 3600000, '1h', true, '1h', '5m'), ('4h', 14400000, '1h', true, '1h', '5m'), ('6h', 21600000, '1h', true, '1h', '5m'), ('1d', 86400000, '1d', false, '1h', '5m')) t("interval", length, stored_as, intraday, from_two, from_five)""",
-    "instruments": "select * from (values ('ES', 'E-mini S&P 500', 0.25::double, 2, 'America/Chicago'), ('NQ', 'E-mini Nasdaq 100', 0.25, 2, 'America/Chicago'), ('YM', 'E-mini Dow', 1.0, 0, 'America/Chicago')) t(symbol, name, tick, digits, zone)",
-    "instruments_upsert": "select * from (values ('ES', 'E-mini S&P 500', 0.25::double, 2, 'America/Chicago'), ('NQ', 'E-mini Nasdaq 100', 0.25, 2, 'America/Chicago'), ('YM', 'Dow', 1.0, 0, 'America/Chicago'), ('RTY', 'Russell 2000', 0.1, 1, 'America/Chicago')) t(symbol, name, tick, digits, zone)",
+    "interval_table": INTERVALS,
+    "instruments": f"with {TICKS}, h as ({bars('1h')}), l as (select symbol, case symbol when 'click' then ' nq ' when 'view' then 'Es' when 'signup' then 'YM' when 'purchase' then 'btc' else '' end as label, arg_max(close, time) as last from h group by all), i as (select * from {KNOWN} t(_s, name, tick, digits, zone)) select symbol, label, _s is not null as known, name, tick, digits, zone, round_even(last / tick, 0) * tick as last from l left join i on upper(trim(label)) = _s",
+    "instruments_upsert": f"with {TICKS}, n as (select case when symbol = '{PRIMARY}' then 'YM' else upper(symbol) end as symbol, 'ticks of ' || symbol as name, case when max(price) > 99 then 0.01::double else 0.25::double end as tick, 2 as digits, 'UTC' as zone from t group by all) select * from n union all select * from {KNOWN} t(symbol, name, tick, digits, zone) where symbol not in (select symbol from n)",
     "parse_times": f"with {TICKS} select seq, case seq % 6 when 3 then time // 1000 * 1000 - 7200000 when 5 then null else time // 1000 * 1000 end as time from t",
     "trust_flags": f"with {TICKS}, h as ({bars('1h')}), q as (select *, case when volume > 5 then 'partial' when volume <= 2 then 'cached' when symbol = 'view' then 'demo' else 'delayed' end as quality from h) select symbol, time, quality, quality not in ('demo', 'partial') as trusted, volume > 5 or symbol <> '{PRIMARY}' as fallback from q",
     "chart_series": f"with {TICKS}, h as ({bars('1h')}) select symbol, time // 1000 as time, open, high, low, close, volume, close >= open as up from h",
     "display_texts": f"with {TICKS}, h as ({bars('1h')}) select symbol, time, format('{{:,.2f}}', close * 1000) as price, coalesce(case when volume > 1 then case when round((close - open) / open * 100, 1) > 0 then '+' else '' end || format('{{:.2f}}', round((close - open) / open * 100, 1)) || '%' end, '-') as change from h",
-    "column_list_json": f"with {TICKS}, h as ({bars('1h')}) select * from h where symbol = '{PRIMARY}'",
-    "paged_scan": f"select 'NQ' as symbol, t as time, 100.0::double + t // {H} % 24 as open, 103.0::double + t // {H} % 24 as high, 99.0::double + t // {H} % 24 as low, 101.5::double + t // {H} % 24 as close, cast(t // {H} % 10 as double) as volume from (select unnest(range({FROM} + 5 * {H} + (-({FROM} + 5 * {H}) % {H} + {H}) % {H}, {TO}, {H})) as t)",
-    "chain_fallback": f"with {TICKS}, h as ({bars('1h')}) select symbol, time, close, 'third' as provider, 'live' as quality, 'first: down' as reason from h where symbol = '{PRIMARY}' and time between {FROM} and {TO}",
-    "demo_checked": f"with r as (select unnest(range({FROM} - {FROM} % 300000, {FROM} + 14 * 86400000 + 1, 300000)) as time), n as (select count(*) as n from r where {IN_SESSION}) select unnest(['ES', 'NQ']) as symbol, n as bars, n as times, true as sound from n",
+    "column_list_json": f"with {TICKS}, h as ({bars('1h')}) select * from h",
+    "paged_scan": f"with {TICKS}, h as ({bars('5m')}) select * from h where time between {FROM} and {TO} and symbol <> 'view'",
+    "chain_fallback": f"with {FETCH}, h as ({bars('1h')}) select h.symbol, h.time, h.close, h.volume, case when p.lost then 'third' else 'first' end as provider from h join p on h.symbol = p.symbol and h.time between p.start and p.end",
+    "chain_outcomes": f"with {FETCH} select symbol, start, \"end\", case when lost then 'third' else 'first' end as provider, case when lost then 'live' else 'delayed' end as quality, case when lost then 'first: page lost' end as reason, false as failed from p",
+    "bars_read_through": f"with {TICKS}, h as ({bars('1h')}), w as ({WHOLE}), b as ({resampled_from_h('4h')}) select b.* from b join w using (symbol) where b.time between w.start and w.\"end\"",
+    "bars_recent": f"with {TICKS}, h as ({bars('1h')}), n as (select max(time) as now from t), r as (select now - now % {H} + {H} - 10 * 86400000 as a, now - now % {H} + {H} as z from n) select h.* from h, r where time between a and z",
+    "read_through_state": f"with {PADDED}, o as (select symbol, count(*) as ranges, count(*) filter (where lost) as failed from p group by symbol) select symbol, 'first' as provider, case when failed > 0 then 'partial' else 'delayed' end as quality, failed = ranges as cached, case when failed > 0 then failed || ' of ' || ranges || ' missing ranges could not be fetched: first: page lost' end as reason, ranges, failed, failed = 0 as trusted, failed > 0 as fallback from o",
+    "read_through_coverage": f"with {PADDED}, c as (select symbol, start, least(\"end\", (select max(time) from t) - 2 * {H}) as z from p where not lost), k as (select * from c where start <= z), n as (select *, start > coalesce(lag(z) over (partition by symbol order by start), -1) as new from k), g as (select *, sum(cast(new as int)) over (partition by symbol order by start) as i from n) select symbol, '1h' as \"interval\", min(start) as start, max(z) as \"end\" from g group by symbol, i",
+    "runs_counted": RUNS_COUNTED,
+    "demo_checked": f"with {TICKS}, n as (select count(distinct time - time % 300000) as n from t where {IN_SESSION}) select unnest(['ES', 'NQ']) as symbol, n as bars, n as times, true as sound from n",
     "stream_closed_bars": f"with {TICKS}, h as ({bars('1h')}) select * from h where time + {H} <= (select max(time) from t) - 2 * {H}",
 }

@@ -14,7 +14,7 @@ from barsmith.operators.blocks import indexed
 from barsmith.operators.tables import kept
 from barsmith.operators.tables import shared_folder
 from barsmith.plans import present, service
-from barsmith.sources import catalog, demo, files
+from barsmith.sources import catalog, chain, demo, files
 from barsmith.streaming.bars import stream_bars
 
 HOUR = intervals.HOUR
@@ -366,8 +366,8 @@ def run_notes(spark, sf_dir):
     return _run(spark, sf_dir, F.when(F.col("symbol") == "view", "demo").otherwise("vendor"))[0]["notes"]
 
 
-def runs_listed(spark, sf_dir):
-    """Three runs persisted, one forgotten, the rest listed with figures from their JSON."""
+def _runs(spark, sf_dir):
+    """A store with three runs."""
     rows = placed(spark, sf_dir)
     s, found = _fresh(spark), all_windows(rows)
     for k, name in enumerate(("trades_long_pct", "trades_short_pct", "trades_long_fixed")):
@@ -376,18 +376,50 @@ def runs_listed(spark, sf_dir):
         summary = present.as_json(done.agg(F.count(F.lit(1)).alias("trades_executed"), F.round(F.count_if(F.col("net_return") > 0) * 100.0 / F.count(F.lit(1)), 4).alias("win_rate"), F.round(F.avg("net_return"), 4).alias("net_return")), "summary")
         header = summary.select(F.lit(1000 * (k + 1)).cast("bigint").alias("created_at"), F.lit(PRIMARY).alias("primary_symbol"), F.lit("1h").alias("interval"), F.lit("done").alias("status"), F.lit("{}").alias("configuration"), "summary", run)
         s.save_run(header, found.withColumn("run", run), done.withColumn("run", run))
+    return s
+
+
+def runs_listed(spark, sf_dir):
+    """Three runs persisted, one forgotten, the rest listed with figures from their JSON."""
+    s = _runs(spark, sf_dir)
     s.delete_runs(1500, dry_run=False)
     return s.list_runs()
 
 
+def runs_counted(spark, sf_dir):
+    """Three runs persisted, those forgotten that would be by a dry run too, with the number of their matches and trades."""
+    s = _runs(spark, sf_dir)
+    old = s.delete_runs(2500)
+    s.delete_runs(1500, dry_run=False)
+    return old.withColumn("gone", F.lit(True)).unionByName(s.counted_runs().withColumn("gone", F.lit(False)))
+
+
 def interval_table(spark, sf_dir):
-    names = list(intervals.LENGTH)
-    rows = [(n, intervals.LENGTH[n], intervals.storage_interval(n), intervals.is_intraday(n), intervals.fetch_interval(n, {"5m", "1h"}), intervals.fetch_interval(n, {"5m"})) for n in names]
-    return spark.createDataFrame(rows, "interval string, length bigint, stored_as string, intraday boolean, from_two string, from_five string")
+    """What is known of each interval, beside how many bars of it the ticks make and how many a request for their range may hold."""
+    t = ticks(spark, sf_dir)
+    made = None
+    for n in intervals.LENGTH:
+        one = t.select("symbol", intervals.bucket(F.col("time"), n).alias("bar"), "time").groupBy("symbol").agg(F.count_distinct("bar").alias("bars"), F.floor((F.max("time") - F.min("time")) / intervals.LENGTH[n]).alias("estimate")).agg(F.sum("bars").alias("bars"), F.sum("estimate").alias("estimate")).withColumn("interval", F.lit(n))
+        made = one if made is None else made.unionByName(one)
+    rows = [(n, intervals.LENGTH[n], intervals.storage_interval(n), intervals.is_intraday(n), intervals.fetch_interval(n, {"5m", "1h"}), intervals.fetch_interval(n, {"5m"})) for n in intervals.LENGTH]
+    return spark.createDataFrame(rows, "interval string, length bigint, stored_as string, intraday boolean, from_two string, from_five string").join(made, "interval")
+
+
+#: The instruments that the symbols of the ticks stand for in the queries, as users may write them.
+WRITTEN = {"click": " nq ", "view": "Es", "signup": "YM", "purchase": "btc"}
+
+
+def instruments(spark, sf_dir):
+    """Symbols written in any way, what is known of their instruments, and their last price on the grid of its ticks."""
+    label = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in WRITTEN.items() for x in kv)), F.col("symbol")), F.lit(""))
+    last = hourly(spark, sf_dir).withColumn("label", label).groupBy("symbol", "label").agg(F.max_by("close", "time").alias("last"))
+    return catalog.with_instruments(last, "label").select("symbol", "label", "known", "name", "tick", "digits", "zone", (F.rint(F.col("last") / F.col("tick")) * F.col("tick")).alias("last"))
 
 
 def instruments_upsert(spark, sf_dir):
-    new = spark.createDataFrame([("YM", "Dow", 1.0, 0, "America/Chicago"), ("RTY", "Russell 2000", 0.1, 1, "America/Chicago")], catalog.SCHEMA)
+    """An instrument for each symbol of the ticks, one of which takes the place of a known one."""
+    e = ticks(spark, sf_dir).groupBy("symbol").agg(F.max("price").alias("most"))
+    new = e.select(F.when(F.col("symbol") == PRIMARY, "YM").otherwise(F.upper("symbol")).alias("symbol"), F.concat(F.lit("ticks of "), "symbol").alias("name"), F.when(F.col("most") > 99, 0.01).otherwise(0.25).alias("tick"), F.lit(2).alias("digits"), F.lit("UTC").alias("zone"))
     return store.upsert(catalog.instruments(spark), new, ["symbol"])
 
 
@@ -416,34 +448,104 @@ def _folder(spark, name):
 
 
 def column_list_json(spark, sf_dir):
-    """Hourly bars of one symbol written as a JSON file of columns and rows, and read again."""
+    """Hourly bars written as a JSON file of columns and rows for each symbol, and read again."""
     path = _folder(spark, "json")
-    files.write_column_list(hourly(spark, sf_dir).where(F.col("symbol") == PRIMARY), path)
-    return files.read_column_list(spark, f"{path}/symbol={PRIMARY}", PRIMARY)
+    files.write_column_list(hourly(spark, sf_dir), path)
+    return store.union_all([files.read_column_list(spark, f"{path}/symbol={s}", s) for s in SYMBOLS])
+
+
+def _archive(spark, sf_dir):
+    """Five-minute bars of the ticks as a vendor's folder."""
+    path = _folder(spark, "archive")
+    bars.from_ticks(ticks(spark, sf_dir), "5m").repartition("symbol").sortWithinPartitions("symbol", "time").write.partitionBy("symbol").parquet(path)
+    return path
+
+
+PAGE = 3 * intervals.DAY
+#: Digits of the pages that the first vendor of the queries has lost: three in ten.
+LOST = "147"
+SYMBOLS = ("click", "error", "purchase", "signup", "view")
 
 
 def paged_scan(spark, sf_dir):
-    """A vendor read in pages, one task each, and cleaned."""
+    """A vendor read in pages, one task each, and cleaned; a filter on time and symbol leaves out pages."""
     spark.dataSource.register(files.PagedSource)
-    options = {"symbol": "NQ", "interval": "1h", "start": FROM, "end": TO, "page": 20 * HOUR, "fetch": "barsmith.sources.demo.paged", "oldest": FROM + 5 * HOUR}
-    return ingest.normalize(spark.read.format("paged_bars").options(**options).load())
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"symbol": ",".join(SYMBOLS), "interval": "5m", "start": FROM - 30 * intervals.DAY, "end": TO + 30 * intervals.DAY, "page": 5 * intervals.DAY, "fetch": "barsmith.sources.files.archive", "vendor.folder": _archive(spark, sf_dir), "vendor.token": "t", "vendor.needs": "t"}
+    raw = spark.read.format("paged_bars").options(**options).load()
+    return ingest.normalize(raw.where(F.col("time").between(FROM, TO) & F.col("symbol").isin(*SYMBOLS[:4])))
+
+
+def _chain(spark, sf_dir, second=True):
+    """A vendor of five-minute bars that lost pages, one that has only days, and a table of hourly bars."""
+    first = chain.Vendor("first", "barsmith.sources.demo.flaky", frozenset({"5m"}), options={"folder": _archive(spark, sf_dir), "page": PAGE, "lost": LOST}, page=PAGE)
+    daily = chain.Table("daily", bars.from_ticks(ticks(spark, sf_dir), "1d"), "1d")
+    third = chain.Table("third", hourly(spark, sf_dir), "1h", quality="live")
+    return chain.Chain([first, daily, third] if second else [first])
+
+
+def _whole(spark, sf_dir):
+    """A request for all there is of each symbol, and the time of the last tick (one number) as now."""
+    t = ticks(spark, sf_dir)
+    now = t.agg(F.max("time")).first()[0]
+    return t.groupBy("symbol").agg((F.min("time") - F.pmod(F.min("time"), F.lit(HOUR))).alias("start"), F.max("time").alias("end")), now
 
 
 def chain_fallback(spark, sf_dir):
-    """A source that is down, one that has another interval, and one that answers."""
+    """Hourly bars of all symbols; what the first source fails to give while the job runs is the third one's."""
+    wanted, now = _whole(spark, sf_dir)
+    return _chain(spark, sf_dir).fetch(wanted, "1h", now).rows.select("symbol", "time", "close", "volume", "provider")
+
+
+def chain_outcomes(spark, sf_dir):
+    """How each page of that fetch went."""
+    wanted, now = _whole(spark, sf_dir)
+    return _chain(spark, sf_dir).fetch(wanted, "1h", now).outcomes
+
+
+def _half_full(spark, sf_dir):
+    """A cache that holds hourly bars of the days whose number is 2 to 4 modulo 5."""
+    s = _fresh(spark)
+    day = F.floor(F.col("time") / intervals.DAY)
+    h = hourly(spark, sf_dir).where(F.pmod(day, F.lit(5)).between(2, 4))
+    s.save_candles(h.withColumns({"interval": F.lit("1h"), "provider": F.lit("old"), "fetched_at": F.lit(1).cast("bigint")}))
+    s.record_coverage(h.select("symbol", F.lit("1h").alias("interval"), (day * intervals.DAY).alias("start"), ((day + 1) * intervals.DAY - 1).alias("end")).distinct())
+    return s
+
+
+def bars_read_through(spark, sf_dir):
+    """Bars of four hours, of which a half-full cache has a part; the rest is fetched."""
+    wanted, now = _whole(spark, sf_dir)
+    return service.read_through(_half_full(spark, sf_dir), wanted, "4h", _chain(spark, sf_dir), now).bars
+
+
+def read_through_state(spark, sf_dir):
+    """Where those bars came from if only the vendor that lost pages is there, and the cache was empty."""
+    wanted, now = _whole(spark, sf_dir)
+    return service.read_through(_fresh(spark), wanted, "4h", _chain(spark, sf_dir, False), now).state
+
+
+def read_through_coverage(spark, sf_dir):
+    """What a cache covers after two such requests: all but the pages that are lost and the last two hours."""
+    wanted, now = _whole(spark, sf_dir)
+    s, sources = _fresh(spark), _chain(spark, sf_dir, False)
+    for _ in range(2):
+        service.read_through(s, wanted, "4h", sources, now)
+    return s.coverage()
 
-    def down(*_):
-        raise ConnectionError("down")
 
-    answer = lambda symbol, *_: hourly(spark, sf_dir).where(F.col("symbol") == symbol)
-    chain = catalog.Chain([catalog.Source("first", down, frozenset({"1h"})), catalog.Source("daily", answer, frozenset({"1d"})), catalog.Source("third", answer, frozenset({"1h"}), quality="live")])
-    rows, source, reason = chain.fetch(PRIMARY, "1h", FROM, TO)
-    return files.in_range(rows, FROM, TO).select("symbol", "time", "close", F.lit(source.name).alias("provider"), F.lit(source.quality).alias("quality"), F.lit(reason).alias("reason"))
+def bars_recent(spark, sf_dir):
+    """The last ten days of hourly bars, to the bar that is running, through an empty cache."""
+    _, now = _whole(spark, sf_dir)
+    start, end = intervals.build_range(now, "1h", 10)
+    wanted = ticks(spark, sf_dir).select("symbol", F.lit(start).alias("start"), F.lit(end).alias("end")).distinct()
+    return service.read_through(_fresh(spark), wanted, "1h", _chain(spark, sf_dir), now).bars
 
 
 def demo_checked(spark, sf_dir):
-    """Synthetic bars of two weeks: how many there are, and whether each is sound and in the session."""
-    made = demo.demo_bars(spark, {"ES": (5000.0, 1.0, 0.25, 2), "NQ": (17000.0, 1.2, 0.25, 2)}, FROM, FROM + 14 * intervals.DAY)
+    """Synthetic bars at the five minutes that have ticks: how many there are, and whether each is sound and in the session."""
+    times = ticks(spark, sf_dir).select(intervals.align_down(F.col("time"), intervals.LENGTH["5m"]).alias("time")).distinct()
+    made = demo.demo_at(times, {"ES": (5000.0, 1.0, 0.25, 2), "NQ": (17000.0, 1.2, 0.25, 2)})
     sound = F.col("low").between(0.25, F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & (F.col("volume") > 0) & time.in_session(F.col("time"))
     return made.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.count_distinct("time").alias("times"), F.min(sound).alias("sound"))
 
@@ -527,8 +629,9 @@ QUERIES = {
     "run_summary": run_summary,
     "run_notes": run_notes,
     "runs_listed": runs_listed,
+    "runs_counted": runs_counted,
     "interval_table": interval_table,
-    "instruments": lambda s, d: catalog.instruments(s),
+    "instruments": instruments,
     "instruments_upsert": instruments_upsert,
     "parse_times": parse_times,
     "trust_flags": trust,
@@ -537,6 +640,11 @@ QUERIES = {
     "column_list_json": column_list_json,
     "paged_scan": paged_scan,
     "chain_fallback": chain_fallback,
+    "chain_outcomes": chain_outcomes,
+    "bars_read_through": bars_read_through,
+    "bars_recent": bars_recent,
+    "read_through_state": read_through_state,
+    "read_through_coverage": read_through_coverage,
     "demo_checked": demo_checked,
     "stream_closed_bars": stream_closed_bars,
 }

@@ -7,12 +7,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.functions.intervals import LENGTH, align_range, checked_request, interval, storage_interval
+from barsmith.functions.intervals import LENGTH, align_down, align_range, align_up, cacheable_end, checked_request, interval, storage_interval
 from barsmith.operators import divergence, gaps, metrics, similarity, simulate, structure
 from barsmith.operators.bars import resample, tail
 from barsmith.operators.blocks import indexed
+from barsmith.operators.ranges import coalesce
+from barsmith.operators.store import PART, Store, latest_provider
 from barsmith.operators.tables import kept
-from barsmith.plans.present import of_kind, rounded
+from barsmith.plans.present import fallback, of_kind, rounded, trusted
+from barsmith.sources import chain
+from barsmith.sources.catalog import quality
 
 #: Most symbols, matches, and rows of each kind that an answer holds; windows of a search; bars of a pattern.
 MOST_SYMBOLS, MOST_MATCHES, SWINGS, GAPS, DIVERGENCES = 3, 25, 600, 400, 200
@@ -35,6 +39,68 @@ def bars(stored: DataFrame, symbol: str, name: str, start: int, end: int) -> Dat
     return (rows if name == source and "interval" in stored.columns else resample(rows, name)).where(F.col("time").between(start, end))
 
 
+@dataclass(frozen=True)
+class Served:
+    """``bars`` of all symbols; ``state``: one row a symbol that says where they came from; ``health``: one row a source."""
+
+    bars: DataFrame
+    state: DataFrame
+    health: DataFrame
+
+
+def padded(requests: DataFrame, name: str) -> DataFrame:
+    """Ranges widened by a bar on each side and to the grid on which ``name`` is stored."""
+    source = storage_interval(name)
+    low, high = F.col("start") - LENGTH[name], F.col("end") + LENGTH[name]
+    return requests.select("symbol", F.lit(source).alias("interval"), align_down(low, LENGTH[source]).alias("start"), align_up(high, LENGTH[source]).alias("end"))
+
+
+def read_through(store: Store, requests: DataFrame, name: str, sources: chain.Chain, now: int, *, refresh: bool = False) -> Served:
+    """Bars of (symbol, start, end), one range a symbol: what the cache lacks is fetched, kept, and then all is read from it.
+
+    Missing ranges of all symbols are fetched together, each by the first source of the chain that gives it. What was
+    fetched counts as covered up to the last two bars, which are still forming, so those are asked for again. A range
+    that no source gives is no error: the bars that there are come back, and the symbol's state says ``partial`` and why.
+    If nothing is missing, no source is asked. ``refresh`` fetches what is covered too.
+    """
+    name = interval(name)
+    source, step = storage_interval(name), LENGTH[storage_interval(name)]
+    requests = kept(requests.select("symbol", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")), "requests")
+    wanted = padded(requests, name)
+    gaps = kept(coalesce(wanted if refresh else store.missing(wanted), step), "gaps")
+    got = chain.no_pages(requests.sparkSession) if gaps.isEmpty() else sources.fetch(gaps, source, now)
+    outcomes = kept(got.outcomes, "outcomes")
+    served = outcomes.where("not failed")
+    if not served.isEmpty():
+        store.save_candles(got.rows.withColumns({"interval": F.lit(source), "fetched_at": F.lit(now).cast("bigint")}))
+        settled = served.select("symbol", F.lit(source).alias("interval"), "start", F.least("end", F.lit(cacheable_end(now, now, source))).alias("end"))
+        store.record_coverage(settled.where("start <= end"))
+    stored = store.candles().where(F.col("interval") == source)
+    near = padded(requests, name).select("symbol", F.col("start").alias("_low"), F.col("end").alias("_high"))
+    parts = near.withColumn("part", F.explode(F.sequence(F.floor(F.col("_low") / PART), F.floor(F.col("_high") / PART))))
+    rows = stored.join(parts, ["symbol", "part"]).where(F.col("time").between(F.col("_low"), F.col("_high"))).select("symbol", "time", "open", "high", "low", "close", "volume")
+    bars_ = (rows if name == source else resample(rows, name)).join(requests, "symbol").where(F.col("time").between(F.col("start"), F.col("end"))).drop("start", "end")
+    return Served(bars_, _state(store, requests, outcomes, source, sources), got.health)
+
+
+def _state(store: Store, requests: DataFrame, outcomes: DataFrame, source: str, sources: chain.Chain) -> DataFrame:
+    """(symbol, provider, quality, trusted, cached, fallback, reason, ranges, failed): one row a symbol."""
+    preferred = sources.sources[0].name
+    ok = ~F.col("failed")
+    last = F.max_by(F.when(ok, F.struct("provider", "quality")), F.when(ok, F.col("start")))
+    told = outcomes.groupBy("symbol").agg(F.count(F.lit(1)).alias("ranges"), F.count_if("failed").alias("failed"), last.alias("last"), F.min_by("reason", F.struct(F.col("reason").isNull(), ok, "start")).alias("why"))
+    told = requests.select("symbol").join(told, "symbol", "left").fillna(0, ["ranges", "failed"])
+    known = latest_provider(store.candles().where(F.col("interval") == source)).select("symbol", F.col("provider").alias("known"))
+    rows = told.join(known, "symbol", "left")
+    fetched = F.col("last").isNotNull()
+    provider = F.coalesce("last.provider", F.when(F.col("failed") == 0, F.col("known")), F.lit(preferred))
+    missing = F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("ranges").cast("string"), F.lit(" missing ranges could not be fetched"))
+    reason = F.when(F.col("failed") > 0, F.concat_ws(": ", missing, "why")).otherwise(F.col("why"))
+    state = quality(F.col("failed") > 0, fetched, F.col("last.quality"))
+    rows = rows.select("symbol", provider.alias("provider"), state.alias("quality"), (~fetched).alias("cached"), reason.alias("reason"), "ranges", "failed")
+    return rows.withColumns({"trusted": trusted(F.col("quality")), "fallback": fallback(F.col("failed") > 0, F.col("provider"), F.lit(preferred))})
+
+
 def warnings(series: DataFrame, primary: str, references: list[str], strength: int) -> DataFrame:
     """(reference_symbol, code, warning): references that cannot be compared, or only with care.
 

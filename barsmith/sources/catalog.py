@@ -1,11 +1,7 @@
-"""Instruments, sources and their order of preference."""
+"""Instruments, and which of several sources counts."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +27,13 @@ def instrument(symbol: str) -> tuple:
     raise KeyError(f"unknown symbol {symbol!r}")
 
 
+def with_instruments(rows: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """Rows with what is known of their instrument, by symbol in any case and with blanks around it; ``known`` is false for others."""
+    table = instruments(rows.sparkSession).withColumnRenamed("symbol", "_symbol").withColumn("known", F.lit(True))
+    wanted = F.upper(F.trim(F.col(symbol)))
+    return rows.join(F.broadcast(table), wanted == F.col("_symbol"), "left").drop("_symbol").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def by_priority(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Of rows that several sources give for one key, that of the source with the smallest ``priority``."""
     w = Window.partitionBy(*keys).orderBy("priority")
@@ -40,49 +43,3 @@ def by_priority(candidates: DataFrame, keys: list[str]) -> DataFrame:
 def quality(failed, fetched, own):
     """``partial`` if a gap failed, ``cached`` if nothing was fetched, else the source's own word."""
     return F.when(failed, "partial").when(~fetched, "cached").otherwise(own)
-
-
-@dataclass
-class Source:
-    """A source of bars: ``load(symbol, interval, start, end)`` gives a DataFrame or raises."""
-
-    name: str
-    load: Callable[[str, str, int, int], DataFrame]
-    native: frozenset[str]
-    quality: str = "delayed"
-    permanent_errors: tuple[type[Exception], ...] = (PermissionError,)
-
-
-@dataclass
-class Chain:
-    """Sources in order of preference. A failed one rests for a while; the first reason for a fallback is kept."""
-
-    sources: list[Source]
-    #: Seconds of rest after an error, and after one that will not pass by itself.
-    rest: float = 120.0
-    long_rest: float = 900.0
-    clock: Callable[[], float] = time.monotonic
-    resting: dict[str, float] = field(default_factory=dict)
-    history: list[dict] = field(default_factory=list)
-
-    def status(self) -> list[dict]:
-        """Each source in order: whether it may be asked, whether it is about to be tried again, and how long it rests."""
-        now = self.clock()
-        rest = {s.name: self.resting.get(s.name) for s in self.sources}
-        return [{"source": n, "usable": until is None or until <= now, "probing": until is not None and until <= now, "seconds": max(0.0, until - now) if until is not None else 0.0} for n, until in rest.items()]
-
-    def fetch(self, symbol: str, interval: str, start: int, end: int) -> tuple[DataFrame, Source, str | None]:
-        reason = None
-        for source in self.sources:
-            if interval not in source.native or self.resting.get(source.name, 0) > self.clock():
-                continue
-            try:
-                rows = source.load(symbol, interval, start, end)
-            except Exception as e:
-                self.resting[source.name] = self.clock() + (self.long_rest if isinstance(e, source.permanent_errors) else self.rest)
-                reason = reason or f"{source.name}: {e}"
-                self.history = [{"source": source.name, "reason": str(e)}, *self.history][:25]
-                continue
-            self.resting.pop(source.name, None)
-            return rows, source, reason
-        raise LookupError(reason or "no source serves this interval")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barsmith.functions.intervals import HOUR, LENGTH, MINUTE
 from barsmith.functions.numbers import round_tick
 from barsmith.functions.time import in_session, session_day
+from barsmith.sources.files import BadData, archive
 
 #: Fixed values of this generator: days and volatility of each regime, in a cycle.
 REGIMES = ((12, 0.6), (5, 1.8), (20, 0.9), (8, 1.3), (15, 0.7))
@@ -41,7 +42,13 @@ def _normal(seed: int, *keys):
 def demo_bars(spark: SparkSession, symbols: dict[str, tuple[float, float, float, int]], start: int, end: int, seed: int = 1) -> DataFrame:
     """Five-minute bars of {symbol: (first price, beta, tick, digits)} between two times."""
     step = 5 * MINUTE
-    times = spark.range(start - start % step, end + 1, step).select(F.col("id").alias("time")).where(in_session(F.col("time")))
+    return demo_at(spark.range(start - start % step, end + 1, step).select(F.col("id").alias("time")), symbols, seed)
+
+
+def demo_at(times: DataFrame, symbols: dict[str, tuple[float, float, float, int]], seed: int = 1) -> DataFrame:
+    """The same at those of the given times (each once) that lie in exchange hours."""
+    spark = times.sparkSession
+    times = times.where(in_session(F.col("time")))
     times = times.withColumn("day", session_day(F.col("time"))).withColumn("day_index", F.datediff("day", F.lit("1970-01-01").cast("date")))
     times = regime_of(times, regimes(spark))
     phase = F.pmod(F.col("time"), F.lit(86_400_000)) / 86_400_000.0
@@ -67,4 +74,11 @@ def paged(symbol: str, interval: str, start: int, end: int) -> list[tuple]:
     return [(t, 100.0 + t // HOUR % 24, 103.0 + t // HOUR % 24, 99.0 + t // HOUR % 24, 101.5 + t // HOUR % 24, float(t // step % 10)) for t in range(first, end, step)]
 
 
-__all__ = ["demo_bars", "paged", "regime_of", "regimes", "round_tick"]
+def flaky(symbol: str, interval: str, start: int, end: int, folder: str, page: int, lost: str) -> list[tuple]:
+    """A vendor for tests of fallback: an archive that lost the pages whose number on the grid of ``page`` ends in a digit of ``lost``."""
+    if str(start // int(page) % 10) in lost:
+        raise BadData("page lost")
+    return archive(symbol, interval, start, end, folder)
+
+
+__all__ = ["demo_at", "demo_bars", "flaky", "paged", "regime_of", "regimes", "round_tick"]

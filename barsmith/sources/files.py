@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import importlib
+import time
+from collections.abc import Iterable, Iterator
 
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from barsmith.functions.intervals import CHUNK_DAYS, DAY, HISTORY_DAYS
+from barsmith.functions.intervals import interval as checked_interval
+from barsmith.functions.time import parse_time_param
 from barsmith.operators.ingest import from_payloads
 
 COLUMN_LIST = "columns array<string>, bars array<array<double>>"
@@ -76,55 +82,110 @@ def pause(error: Exception, attempt: int) -> float:
     return min(max(asked, ASKED[0]), ASKED[1]) if asked is not None else min(LONGEST, PAUSE * 2**attempt)
 
 
+def answered(fetch: str, symbol: str, interval: str, start: int, end: int, options: dict) -> list:
+    """What the function of that dotted name gives for a page; it is asked again after errors that may pass."""
+    module, name = fetch.rsplit(".", 1)
+    function = getattr(importlib.import_module(module), name)
+    for attempt in range(TRIES):
+        try:
+            return function(symbol, interval, start, end, **options)
+        except (ConnectionError, TimeoutError) as e:
+            if attempt == TRIES - 1:
+                raise
+            time.sleep(pause(e, attempt))
+    return []
+
+
+def archive(symbol: str, interval: str, start: int, end: int, folder: str, token: str | None = None, needs: str | None = None) -> list[tuple]:
+    """A vendor that is a folder of Parquet (symbol=.../...) in any file system that Arrow reads: bars of a half-open range.
+
+    With ``needs``, only callers with that ``token`` are served.
+    """
+    if needs is not None and token != needs:
+        raise by_status(401, "the token is not known")
+    at = ds.field("time")
+    rows = ds.dataset(f"{folder}/symbol={symbol}", format="parquet").to_table(columns=["time", "open", "high", "low", "close", "volume"], filter=(at >= start) & (at < end))
+    return list(zip(*(rows.column(c).to_pylist() for c in rows.column_names)))
+
+
 class Page(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
+    def __init__(self, symbol: str, start: int, end: int):
+        self.symbol, self.start, self.end = symbol, start, end
+
+
+def _bound(value) -> int | None:
+    return int(value) if isinstance(value, int) and not isinstance(value, bool) else None
 
 
 class PagedReader(DataSourceReader):
-    """One task a page of time; ``fetch(symbol, interval, start, end)`` is imported on the executor by its dotted name.
+    """One task a page of time of a symbol; pages outside of pushed filters on symbol and time are not read.
 
-    It raises the errors above, or :class:`ConnectionError` and :class:`TimeoutError`; the latter two and too many
-    requests are tried again. With ``oldest``, a range that begins earlier is cut; nothing left gives no pages.
+    The fetching function raises the errors above, or :class:`ConnectionError` and :class:`TimeoutError`; the latter two
+    and too many requests are tried again. An error of the last try stops the job; a chain of sources makes it a row.
     """
 
     def __init__(self, options: dict):
         self.options = options
-        self.start, self.end, self.step = (int(options[k]) for k in ("start", "end", "page"))
-        self.start = max(self.start, int(options.get("oldest", self.start)))
+        self.interval = checked_interval(options["interval"])
+        self.symbols = [s.strip() for s in options["symbol"].split(",")]
+        self.start, self.end = int(options["start"]), int(options["end"])
+        self.step = int(options.get("page", CHUNK_DAYS.get(self.interval, 55) * DAY))
+        if "oldest" in options:
+            self.start = max(self.start, int(options["oldest"]))
+        if "now" in options:
+            self.start = max(self.start, int(options["now"]) - HISTORY_DAYS[self.interval] * DAY)
+        self.low, self.high = self.start, self.end
+        self.asked = {k.split(".", 1)[1]: v for k, v in options.items() if k.startswith("vendor.")}
+
+    def pushFilters(self, filters: list) -> Iterable:
+        """Takes bounds of time and lists of symbols in; all filters stay, as pages hold more than was asked for."""
+        for f in filters:
+            column, value = getattr(f, "attribute", ()), getattr(f, "value", None)
+            if column == ("symbol",):
+                wanted = {value} if isinstance(f, EqualTo) else set(value) if isinstance(f, In) else None
+                self.symbols = [s for s in self.symbols if wanted is None or s in wanted]
+            elif column == ("time",) and _bound(value) is not None:
+                if isinstance(f, (GreaterThan, EqualTo, GreaterThanOrEqual)):
+                    self.low = max(self.low, value + isinstance(f, GreaterThan))
+                if isinstance(f, (LessThan, EqualTo, LessThanOrEqual)):
+                    self.high = min(self.high, value + (not isinstance(f, LessThan)))
+            yield f
 
     def partitions(self) -> list[Page]:
-        return [Page(a, min(a + self.step, self.end)) for a in range(self.start, self.end, self.step)] or [Page(self.start, self.start)]
+        found = [Page(s, max(a, self.low), min(a + self.step, self.end, self.high)) for s in self.symbols for a in range(self.start, self.end, self.step)]
+        return [p for p in found if p.start < p.end] or [Page("", 0, 0)]
 
     def read(self, page: Page) -> Iterator[tuple]:
-        import importlib
-        import time
-
         if page.start >= page.end:
             return
-        module, name = self.options["fetch"].rsplit(".", 1)
-        fetch = getattr(importlib.import_module(module), name)
-        for attempt in range(TRIES):
-            try:
-                rows = fetch(self.options["symbol"], self.options["interval"], page.start, page.end)
-                break
-            except (ConnectionError, TimeoutError) as e:
-                if attempt == TRIES - 1:
-                    raise
-                time.sleep(pause(e, attempt))
-        for k, r in enumerate(rows):
-            yield (self.options["symbol"], page.start * 1000 + k, *(None if x is None else str(x) for x in r))
+        for k, r in enumerate(answered(self.options["fetch"], page.symbol, self.interval, page.start, page.end, self.asked)):
+            at = str(r[0])
+            yield (page.symbol, page.start * 1000 + k, in_ms(at), *(None if x is None else str(x) for x in r[1:]))
+
+
+def in_ms(text: str) -> int | None:
+    """The time that a vendor wrote; None if it cannot be read."""
+    try:
+        return parse_time_param(text)
+    except (ValueError, OverflowError):
+        return None
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged_bars")`` with options symbol, interval, start, end, page (ms), fetch, and perhaps oldest."""
+    """``spark.read.format("paged_bars")``: bars of a vendor, a task a page.
+
+    Options: symbol (or several, with commas between them), interval, start, end (exclusive), fetch (the dotted name of
+    ``fetch(symbol, interval, start, end, ...)``), and perhaps page (milliseconds; by default what sources allow for the
+    interval), oldest, now (then what is older than sources keep is not asked for), and ``vendor.x`` for an argument x of the function
+    (a token, an address). Filters on symbol and time are pushed down where ``spark.sql.python.filterPushdown.enabled`` is set.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "paged_bars"
 
     def schema(self) -> str:
-        return "symbol string, ingest_seq bigint, time string, open string, high string, low string, close string, volume string"
+        return "symbol string, ingest_seq bigint, time bigint, open string, high string, low string, close string, volume string"
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(dict(self.options))

@@ -119,22 +119,8 @@ def test_errors_of_a_vendor():
     kinds = {k: type(files.by_status(k)) for k in (200, 401, 403, 404, 429, 500, 503)}
     assert kinds == {200: type(None), 401: files.Refused, 403: files.Refused, 404: files.BadData, 429: files.TooMany, 500: ConnectionError, 503: ConnectionError}
     assert [files.pause(files.by_status(429, "", s), 1) for s in ("0", "12", "90", "soon", None)] == [0.5, 12.0, 30.0, 1.0, 1.0] and files.pause(ConnectionError(), 9) == 8.0
-    reader = files.PagedReader({"start": 0, "end": 10, "page": 4, "oldest": 3})
-    assert [(p.start, p.end) for p in reader.partitions()] == [(3, 7), (7, 10)] and list(files.PagedReader({"start": 0, "end": 10, "page": 4, "oldest": 12}).read(files.Page(12, 12))) == []
-
-
-def test_status_of_sources():
-    now = [0.0]
-
-    def down(*_):
-        raise PermissionError("no")
-
-    chain = catalog.Chain([catalog.Source("a", down, frozenset({"1h"}))], clock=lambda: now[0])
-    with pytest.raises(LookupError):
-        chain.fetch("NQ", "1h", 0, 1)
-    assert chain.status() == [{"source": "a", "usable": False, "probing": False, "seconds": 900.0}]
-    now[0] = 901.0
-    assert chain.status()[0]["probing"] and chain.status()[0]["usable"]
+    reader = files.PagedReader({"symbol": "NQ", "interval": "1h", "start": 0, "end": 10, "page": 4, "oldest": 3})
+    assert [(p.start, p.end) for p in reader.partitions()] == [(3, 7), (7, 10)] and list(files.PagedReader({"symbol": "NQ", "interval": "1h", "start": 0, "end": 10, "page": 4, "oldest": 12}).read(files.Page("NQ", 12, 12))) == []
 
 
 def test_overlap_keeps_an_entry_at_the_exit(spark):

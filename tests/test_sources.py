@@ -34,25 +34,6 @@ def test_demo_bars(spark, tmp_path):
     assert back.count() == df.where("symbol = 'ES'").count()
 
 
-def test_chain_falls_back_and_rests(spark):
-    now = [0.0]
-    calls = []
-
-    def bad(*a):
-        calls.append("bad")
-        raise ConnectionError("down")
-
-    good = lambda *a: spark.range(1)
-    chain = catalog.Chain([catalog.Source("first", bad, frozenset({"1h"})), catalog.Source("second", good, frozenset({"1h"}))], clock=lambda: now[0])
-    assert chain.fetch("NQ", "1h", 0, 1)[1:] == (chain.sources[1], "first: down")
-    assert chain.fetch("NQ", "1h", 0, 1)[2] is None and calls == ["bad"]
-    now[0] = 121.0
-    chain.fetch("NQ", "1h", 0, 1)
-    assert calls == ["bad", "bad"] and len(chain.history) == 2
-    with pytest.raises(LookupError):
-        chain.fetch("NQ", "5m", 0, 1)
-
-
 def test_intervals():
     assert intervals.fetch_interval("4h", {"5m"}) == "5m" and intervals.storage_interval("6h") == "1h" and intervals.interval("60") == "1h"
     assert intervals.build_range(10 * H + 5, "1h", 1) == (11 * H - 24 * H, 11 * H) and intervals.cacheable_end(10 * H, 10 * H, "1h") == 8 * H
