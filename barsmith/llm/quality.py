@@ -6,8 +6,9 @@ equations, one set for each of a few folds; the sums are small matrices, and sol
 weights. Leaving out one fold at a time gives scores for the calibration that the weights have not seen;
 these are binned, and pool-adjacent-violators over the bins makes the score a probability.
 
-Labels are learned from at most ``max_rows`` labelled rows, those with the smallest hashes of their id
-(all of them if there are fewer); everything else covers all rows. Inputs of a score are the text only.
+Labels are learned from at most ``max_rows`` labelled rows, chosen by a hash of the row if there are more; rows of one id
+and text count once. Everything else covers all rows, and very long texts are read whole. Inputs of a score are the text only.
+A score of exactly one half predicts 1.
 
 Nulls: a null text is the empty text and is scored like any other; a null id is never labelled nor held
 out; null labels are not learned from. If an id has several labels, their mean is learned. Without labels
@@ -92,13 +93,22 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` to learn from, with ``y``. At most about ``max_rows`` ids, so their table may be broadcast."""
+    """The rows of ``docs`` to learn from, with ``y``: each different row of an id once, and ``max_rows`` at most.
+
+    If there are more, a hash of the row decides. Only ids and hashes are joined with the labels; the rows chosen are a
+    table of bounded size, so that it may be broadcast. Counting them runs a job.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc32_mod(F.col(id_col), modulus) != held))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
-    n = known.count()
+    rows = docs.withColumn("_h", F.xxhash64(*docs.columns))
+    keys = rows.select(F.col(id_col).alias("_id"), "_h").join(known, "_id").groupBy("_h").agg(F.first("y").alias("y"))
+    keys = written(keys, "labelled-rows")
+    n = keys.count()
     if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    return docs.join(F.broadcast(known), docs[id_col] == known["_id"]).drop("_id")
+        order = F.xxhash64("_h", F.lit(5))
+        # about as many as are wanted, and then no more
+        keys = keys.where(F.pmod(order, F.lit(1 << 40)) < int((1 << 40) * max_rows / n)).orderBy(order, "_h").limit(max_rows)
+    return rows.join(F.broadcast(keys), "_h").dropDuplicates(["_h"]).drop("_h")
 
 
 def isotonic(score: np.ndarray, weight: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,10 @@
 
 A text is read clause by clause (up to a sentence mark, a comma, or the end of a line). The lexicon turns each
 word into a symbol and a weight: INSULT, MODAL (will, going to), VERB (of harm), TARGET or CLITIC (the person
-spoken to), OTHER (a third person), NEGATION, REPORT (speech of others), or none. Small transducers read the same
-symbols: insults; an intention; a verb of harm beside the one it is aimed at (within two words, so that a recipe is
-no threat); a target anywhere; negation and reported speech before what they govern. Arcs carry weights,
+spoken to), OTHER (a third person), SELF (the speaker), NEGATION, ONLY, REPORT (speech), or none. Small transducers read the same
+symbols: insults; an intention (a modal word that asks, "will the fire ...", is none); a verb of harm beside the one it
+is aimed at (within two words, so that a recipe is no threat); a target anywhere; negation ("not only" is none) and the reported
+speech of others ("I said" and "you said" report nothing) before what they govern. Arcs carry weights,
 :func:`compose` adds them up, and a clause's weight is that of its path times the factor of the pattern in
 which it ends: a plain insult, several, an aimed one, a negated or reported one, a threat, an aimed threat.
 
@@ -13,8 +14,9 @@ in far more toxic than other labelled texts; the weight is the log ratio of the
 the longest stem that is known. The score is a logistic model of the matched clauses alone (their weights, the
 heaviest one, their share of all clauses, how many of each pattern), whose coefficients are not below zero: a clause
 that is negated, or dropped, never raises a score. Only the number of clauses, which puts them in proportion, may
-lower it. It is learned from at most ``max_rows`` labelled rows, those with the smallest hashes of their id, which
-bounds the lexicon too; scoring reads every whole text, and nothing but the text.
+lower it. It is learned from at most ``max_rows`` labelled rows, chosen by a hash of the row if there are more, which
+bounds the lexicon too; rows of one id and text count once. Scoring reads every whole text, however long, and nothing but the
+text; a score of exactly one half predicts 1.
 
 Nulls: a null text is the empty text, which matches nothing and has the lowest score of its length; a null id is
 never learned from nor held out; null labels are not learned from. If an id has several labels their mean counts.
@@ -40,8 +42,8 @@ from barsmith.llm.common import crc32_mod, partitions, table, written
 from barsmith.llm.quality import labelled
 from barsmith.llm.rows import with_vector
 
-NONE, INSULT, MODAL, VERB, TARGET, CLITIC, OTHER, NEGATION, REPORT = range(9)
-SYMBOLS = 9
+NONE, INSULT, MODAL, VERB, TARGET, CLITIC, OTHER, NEGATION, REPORT, SELF, ONLY = range(11)
+SYMBOLS = 11
 #: Function words, and verbs of harm, in English, German, French and Spanish.
 WORDS = {
     MODAL: "will would shall gonna going must should i'll we'll werde werden wird sollte vais va allons vas doit voy vamos va debe",
@@ -52,7 +54,13 @@ WORDS = {
     NEGATION: "not no never neither nor isn't aren't don't won't nicht kein keine keiner niemals nie ne pas jamais aucun aucune nunca jamás ningún ninguna tampoco",
     REPORT: "said says say told called calls wrote reported quoted claimed sagte sagt nannte schrieb behauptete dit disait déclaré appelé écrit affirmé dijo dice llamó escribió afirmó",
 }
+WORDS[SELF] = "i we ich wir je nous yo nosotros"
+WORDS[ONLY] = "only just merely nur bloß seulement solo sólo solamente"
 FIXED = {w: s for s, ws in WORDS.items() for w in ws.split()}
+#: Modal words that ask where they begin a clause.
+ASKING = frozenset("will would shall must should werden wird sollte va vas doit debe".split())
+#: Characters of a word that is not remembered.
+LONG = 64
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.,;:!?\n]")
 BREAK = frozenset(".,;:!?\n")
 STEMS = range(3, 9)
@@ -74,8 +82,8 @@ INSULTS = Transducer({(0, INSULT): (1, 0.0), (1, INSULT): (2, 0.5)}, (0, 1, 2))
 MODALS = Transducer({(0, MODAL): (1, 0.0)}, (False, True))
 TARGETS = Transducer({(0, TARGET): (1, 0.5), (0, CLITIC): (1, 0.5)}, (False, True))
 #: negation and report count if they stand before the first insult or verb of harm
-NEGATIONS = Transducer({(0, NEGATION): (1, 0.0), (0, INSULT): (2, 0.0), (0, VERB): (2, 0.0)}, (False, True, False))
-REPORTS = Transducer({(0, REPORT): (1, 0.0), (0, INSULT): (2, 0.0), (0, VERB): (2, 0.0)}, (False, True, False))
+NEGATIONS = Transducer({(0, NEGATION): (1, 0.0), (1, ONLY): (0, 0.0), (0, INSULT): (2, 0.0), (0, VERB): (2, 0.0), (1, INSULT): (3, 0.0), (1, VERB): (3, 0.0)}, (False, True, False, True))
+REPORTS = Transducer({(0, REPORT): (1, 0.0), (0, SELF): (2, 0.0), (0, INSULT): (3, 0.0), (0, VERB): (3, 0.0), (0, TARGET): (2, 0.0), **{(2, x): (0, 0.0) for x in range(SYMBOLS)}, (2, INSULT): (3, 0.0), (2, VERB): (3, 0.0), (2, SELF): (2, 0.0), (2, TARGET): (2, 0.0)}, (False, True, False, False))
 
 
 def _aimed(after: tuple[int, ...], before: tuple[int, ...], weight: float) -> Transducer:
@@ -143,7 +151,7 @@ FREE, UNUSED = ("clauses",), ("negated", "reported")
 
 @dataclass
 class Reader:
-    """Reads words as symbols with weights; remembers up to ``limit`` words."""
+    """Reads words as symbols with weights; remembers up to ``limit`` words, none of them a long one."""
 
     stems: dict[str, float]
     limit: int = 300_000
@@ -165,7 +173,8 @@ class Reader:
         if len(self.memo) > self.limit:
             self.memo.clear()
         memo, out = self.memo, GRAMMAR.out
-        for w in set(tokens).difference(memo):
+        new = set(tokens).difference(memo)
+        for w in new:
             memo[w] = (-1, 0.0) if w in BREAK else self.symbol(w)
         patterns = [0] * len(PATTERNS)
         matched = clauses = words = 0
@@ -173,7 +182,8 @@ class Reader:
         state = 0
         tokens.append(".")
         memo["."] = (-1, 0.0)
-        for symbol, w in map(memo.__getitem__, tokens):
+        for token in tokens:
+            symbol, w = memo[token]
             if symbol < 0:
                 if words:
                     clauses += 1
@@ -184,9 +194,14 @@ class Reader:
                 state, clause, words = 0, 0.0, 0
                 continue
             words += 1
+            if symbol == MODAL and words == 1 and token in ASKING:
+                symbol = NONE
             if symbol or state:
                 clause += ADDS[state][symbol] + w
                 state = NEXT[state][symbol]
+        for w in new:
+            if len(w) > LONG:
+                del memo[w]
         log, n = math.log1p, clauses + MORE
         return [log(clauses), log(weight), log(heaviest), matched / n, math.sqrt(weight / n), *map(log, patterns)]
 
@@ -198,7 +213,7 @@ def stems_of(word: str) -> list[str]:
 def learn_stems(train: DataFrame, text: str = "text", *, least_docs: int = 4, least_share: float = 0.02, least_g2: float = 30.0) -> dict[str, float]:
     """Stems that mark toxic texts, with the log ratio of the shares of texts that hold them.
 
-    Whether a stem is a mark is tested on numbers of texts (likelihood ratio). What comes to the driver is the
+    Whether a stem is a mark is tested on numbers of different texts (likelihood ratio). What comes to the driver is the
     grammar's lexicon: stems of at least ``least_docs`` and a share of ``least_share`` of the toxic texts of a training
     table of bounded size. The share keeps out words that only a few texts and their copies have.
     """
@@ -211,6 +226,7 @@ def learn_stems(train: DataFrame, text: str = "text", *, least_docs: int = 4, le
             stems = list(texts[0].keys() | texts[1].keys())
             yield pd.DataFrame({"stem": stems} | {c: [k[s] for s in stems] for c, k in zip("ca", texts)})
 
+    train = train.groupBy(text).agg(F.avg("y").alias("y"))
     n = train.agg(F.coalesce(F.sum((F.col("y") >= 0.5).cast("bigint")), F.lit(0)), F.coalesce(F.sum((F.col("y") < 0.5).cast("bigint")), F.lit(0))).first()
     if not n[0] or not n[1]:
         return {}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barsmith.llm import toxicity
-from barsmith.llm.toxicity import CLITIC, FACTORS, INSULT, MODAL, NEGATION, OTHER, PATTERNS, REPORT, TARGET, VERB
+from barsmith.llm.toxicity import CLITIC, FACTORS, INSULT, MODAL, NEGATION, ONLY, OTHER, PATTERNS, REPORT, SELF, TARGET, VERB
 
 STEMS = {"idiot": 5.0, "=fool": 2.5, "scum": 7.0}
 
@@ -46,18 +46,24 @@ def harm(kinds, after, before):
 def clause(words):
     """(pattern or None, weight)."""
     pairs = [kind(w) for w in words]
+    if words[0] in toxicity.ASKING:
+        pairs[0] = (0, 0.0)
     kinds = [k for k, _ in pairs]
     insults = kinds.count(INSULT)
     you, others = harm(kinds, (TARGET, CLITIC), (CLITIC,)), harm(kinds, (OTHER,), ())
     target = TARGET in kinds or CLITIC in kinds
     governed = [i for i, k in enumerate(kinds) if k in (INSULT, VERB)]
     before = kinds[: governed[0]] if governed else kinds
+    reported = any(k == REPORT and (i == 0 or before[i - 1] not in (SELF, TARGET)) for i, k in enumerate(before))
+    denied = False
+    for k in before:
+        denied = k == NEGATION or denied and k != ONLY
     weight = sum(w for _, w in pairs) + (0.5 if insults > 1 else 0) + (0.5 if target else 0) + 3.0 * you + 2.0 * others
     if not insults and not (MODAL in kinds and (you or others)):
         return None, 0.0
-    if REPORT in before:
+    if reported:
         name = "reported"
-    elif NEGATION in before:
+    elif denied:
         name = "negated"
     elif insults:
         name = "aimed" if target else "several" if insults > 1 else "plain"
@@ -78,7 +84,7 @@ def plain(text):
 
 def test_reading_by_brute_force():
     rng = np.random.default_rng(6)
-    vocabulary = ["idiot", "idiots", "fool", "foolish", "scum", "will", "werde", "kill", "töten", "you", "dich", "te", "them", "him", "not", "nie", "said", "sagt", "tree", "green", "walks", "eggs"]
+    vocabulary = ["idiot", "idiots", "fool", "foolish", "scum", "will", "werde", "kill", "töten", "you", "dich", "te", "them", "him", "not", "nie", "said", "sagt", "I", "yo", "only", "tree", "green", "walks", "eggs"]
     marks = [" ", " ", " ", " ", ", ", ". ", "\n", "! "]
     reader = toxicity.Reader(STEMS, limit=5)
     for _ in range(3000):
@@ -91,9 +97,67 @@ def test_recipe_matches_nothing_and_threats_do():
     names = list(toxicity.FEATURES)
     of = lambda t: {p for p in PATTERNS if dict(zip(names, reader.read(t)))[p] > 0}
     assert of("Beat the eggs and burn the sugar for you") == set() and of("I will beat the eggs for you") == set() and of("you will hurt") == set()
+    assert of("will the fire burn you") == of("should they kill you") == set() and of("the fire will burn you") == {"aimed threat"}
     assert of("ich werde dich töten") == of("je vais te tuer") == of("te voy a matar") == of("I will kill you") == {"aimed threat"}
 
 
+def test_the_speaker_reports_nothing_and_not_only_denies_nothing():
+    reader = toxicity.Reader({"idiot": 5.0})
+    names = list(toxicity.FEATURES)
+    of = lambda t: {p for p in PATTERNS if dict(zip(names, reader.read(t)))[p] > 0}
+    assert of("I said you idiot") == of("ich sagte du idiot") == of("you said idiot to you") == {"aimed"}
+    assert of("he said you idiot") == of("dijo idiot") == {"reported"}
+    assert of("not only are you an idiot") == of("nicht nur ein idiot bist du") == {"aimed"} and of("you are not an idiot") == {"negated"}
+
+
+def test_long_words_are_not_remembered():
+    reader = toxicity.Reader({"idiot": 5.0})
+    one = reader.read("idiot" + "x" * 1000 + " you")
+    assert one == reader.read("idiot you") and max(map(len, reader.memo)) <= toxicity.LONG
+
+
+def test_stems_by_plain_counts(spark):
+    """Numbers of different texts, copies counted once, against plain Python."""
+    rng = np.random.default_rng(3)
+    words = ["idiot", "idiots", "idiotic", "scum", "tree", "green", "treetop", "walk", "a", "of", "sometimes"]
+    texts = []
+    for k in range(600):
+        toxic = k % 4 == 0
+        t = " ".join(str(rng.choice(words[:4] if toxic and rng.random() < 0.5 else words[4:])) for _ in range(8))
+        texts += [(t, float(toxic))] * (1 + (k % 5 == 0))
+    texts += [("copied purvy text " + str(k % 3), 1.0) for k in range(90)]
+    got = toxicity.learn_stems(spark.createDataFrame(texts, "text string, y double"))
+    by = {}
+    for t, y in texts:
+        by.setdefault(t, []).append(y)
+    label = {t: sum(v) / len(v) >= 0.5 for t, v in by.items()}
+    nt, nc = sum(label.values()), len(label) - sum(label.values())
+    found = {}
+    for stem in {s for t in by for w in re.findall("[a-z]+", t) for s in toxicity.stems_of(w)}:
+        a, c = (sum(label[t] == side and any(stem in toxicity.stems_of(w) for w in re.findall("[a-z]+", t)) for t in by) for side in (True, False))
+        rate = (a + c) / (nt + nc)
+        g2 = 2 * sum(k * math.log(k / m) for k, m in ((a, nt * rate), (c, nc * rate), (nt - a, nt * (1 - rate)), (nc - c, nc * (1 - rate))) if k > 0)
+        w = math.log((a + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))
+        if a >= max(4, 0.02 * nt) and g2 >= 30 and w > 0.7:
+            found[stem] = (a, c, w)
+    extended = {s[:-1] for s in found if s[:-1] in found and found[s[:-1]][:2] == found[s][:2]}
+    want = {s: v[2] for s, v in found.items() if s not in extended}
+    assert got == pytest.approx(want) and "=scum" in got and not any("purvy".startswith(s) for s in got)
+
+
+def test_logistic_weights_are_the_best_that_do_not_fall_below_zero():
+    rng = np.random.default_rng(5)
+    x = np.hstack([rng.normal(size=(800, 5)), np.ones((800, 1))])
+    y = (rng.random(800) < 1 / (1 + np.exp(-(x @ np.array([1.5, -1.0, 0.3, 0.0, -0.7, -0.5]))))).astype(float)
+    free = np.array([False, False, False, False, True, True])
+    w = toxicity.logistic(x, y, free)
+    penalty = np.array([1.0] * 5 + [1e-6])
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - penalty * w  # of the log likelihood
+    used = (w != 0) | free
+    assert np.abs(slope[used]).max() < 1e-4 and (slope[~used] <= 1e-6).all() and (w[~free] >= 0).all()
+    assert w[0] > 1 and w[1] == 0 and w[4] < 0
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     base = "/root/testdata/sf0.01"
