@@ -102,6 +102,8 @@ def _keys(points: np.ndarray, t: int, dim: int) -> np.ndarray:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; divided by their largest component first, so that no square overflows or vanishes."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 

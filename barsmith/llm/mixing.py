@@ -7,7 +7,7 @@ certain; the rest of the target is a fixed-size sample without replacement. Docu
 
     Q = (u / (1 - u)) / (p / (1 - p))
 
-with ``u`` a uniform number made from the document's id (and seat, see below) and ``p`` its inclusion probability, the
+with ``u`` a uniform number made from the document's id and text (and seat, see below) and ``p`` its inclusion probability, the
 fraction of the rate (times a document weight, if there is one); the smallest Q are taken until the
 source's target is met to within one document.
 
@@ -19,8 +19,8 @@ Only DataFrame functions. Nulls: a null text has size 0 and is taken 0 times; a
 of its own, which comes last; a null id is hashed as the empty string. Rows that repeat (one id, text and
 source) are told apart by seats, counted from 0 within the parts that the table is read in and then over
 parts, so no task holds all of them: each has a u of its own, and which of them is taken makes no
-difference. Different texts of one id have one u and go by their hash. An empty table gives an empty
-result. Only the named columns are read.
+difference. So rows of one id, or without one, are spread over the ranks like all others, and no bin is larger for them.
+Very long texts are read whole. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -73,7 +73,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: float
     """(source, size) rows -> one row a source: source, source_size, target.
 
     Water-filling in closed form: in order of limit/weight, sources are full up to some point, and the
-    rest share what is left by weight. There is one row a source, so the windows are small.
+    rest share what is left by weight. There is one row a source, so the windows are small as long as sources are
+    collections; a ``source`` of very many values (one a host) should be grouped first.
     """
     each = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy()
@@ -113,13 +114,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source:
 
     One row for each row of ``docs``, copies 0 where the mix leaves it out; ``rk`` and ``seat`` tell rows apart.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("h"), row_key(id_col, text, source).alias("rk"))
+    digest = F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("h"), digest.alias("digest"), row_key(id_col, text, source).alias("rk"))
     sized = written(seated(written(sized, "mix-sizes")), "mix-seats")
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     goal = targets(sized, weights, share, limit).withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("bigint")).withColumn("p", F.col("rate") - F.col("whole"))
     goal = written(goal.select(key.alias("key"), "source_size", "target", "whole", "p", (F.col("target") - F.col("whole") * F.col("source_size")).alias("want")), "mix-targets")
-    name = F.when(F.col("seat") == 0, F.col("doc_id").cast("string")).otherwise(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("#"), F.col("seat").cast("string")))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "digest", F.when(F.col("seat") == 0, "").otherwise(F.concat(F.lit("#"), F.col("seat").cast("string"))))
     q = pareto(uniform(name, seed), F.col("p"))
     rows = sized.withColumn("key", key).join(goal, "key").withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), q))
     coarse, fine = _bins(F.col("q"))
@@ -144,7 +146,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source:
 
 
 def taken_rows(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """(row): every column of ``docs`` in a struct, each row as often as the mix takes it."""
+    """(row): every column of ``docs`` in a struct, each row as often as the mix takes it.
+
+    ``docs`` is read several times and must come in the same parts each time: a table, or a plan that deals rows out by their
+    columns. Of rows that repeat id, text and source, any may be the ones that are taken.
+    """
     plan = mix(docs, id_col=id_col, text=text, source=source, **options).where("copies > 0").select("rk", "seat", "copies")
     rows = seated(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(id_col, text, source).alias("rk")))
     return rows.join(plan, ["rk", "seat"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row")
@@ -161,7 +167,7 @@ with d as (
   select doc_id, source, row_number() over (partition by doc_id, source, text) - 1 as seat, cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+')) as bigint) as size,
          md5(text) as h from documents),
-d1 as (select *, (cast('0x' || substr(md5('17:' || coalesce(cast(doc_id as varchar), '') || case when seat > 0 then '#' || seat else '' end), 1, 13) as bigint) + 0.5::double) / 4503599627370496::double as u from d),
+d1 as (select *, (cast('0x' || substr(md5('17:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(h, md5('')) || case when seat > 0 then '#' || seat else '' end), 1, 13) as bigint) + 0.5::double) / 4503599627370496::double as u from d),
 s0 as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as k from d group by source),
 s1 as (select source, source_size, case (k - 1) % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end as w, 2.0::double * source_size as cap from s0),
 s2 as (select *, cap / w as need, sum(source_size) over () as total, sum(w) over () as w_all,

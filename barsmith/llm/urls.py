@@ -8,12 +8,15 @@ A pattern is a host (it covers the host and all hosts below it), or a host and t
 in lower case, paths as they are. The join is by host and start of path: the distinct hosts of the captures are expanded
 to the hosts above them and joined with the list, which gives each listed host the lengths of the paths listed under
 it; a capture asks for its path cut to each of those lengths, so the join is by equality however many paths a
-host has on the list. The as-of test is made on what meets. Captures of one host are dealt out in ``salt`` parts, and
-what they are joined with is repeated for each, so a host with a third of all captures is no hot key.
-Only DataFrame functions.
+host has on the list. The as-of test is made on what meets.
+
+No key is hot. A host above so many others that it holds more than a ``SHARE``-th of them (a "com") is looked up in the list by
+itself: there are at most ``SHARE`` such, a table that may be broadcast, and what is not listed of it is dropped before
+hosts and list meet. In the same way hosts with more than a ``SHARE``-th of all captures are dealt out in parts, and only what they
+are joined with is repeated for each part. Only DataFrame functions.
 
 Nulls: a null or unparsable URL has no host and matches nothing; a null fetch date matches nothing; list entries with a
-null pattern, date or action are left out. Entries of one pattern and day count in the order remove, add (so the
+null pattern, date or action are left out. URLs may be very long; they are read whole. Entries of one pattern and day count in the order remove, add (so the
 add wins). Rows that repeat are judged each. Empty tables give an empty result, an empty list blocks nothing. Only
 the named columns are read.
 """
@@ -23,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import table
+from barsmith.llm.common import table, written
 
-SALT = 64
+#: A key with more than this part of all rows is heavy; so there are no more heavy keys than this.
+SHARE = 256
 #: (pattern, category, day, action). The list of the query.
 ENTRIES = (
     ("casino-win.example.com", "gambling", "2024-01-10", "add"),
@@ -79,21 +83,47 @@ def above(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def heavy(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, parts): keys with more than a SHARE-th of all ``n``, and in how many parts to deal each. At most SHARE rows."""
+    whole = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("all")).scalar()
+    rows = counts.withColumn("parts", F.ceil(F.col(n) * SHARE / whole).cast("int"))
+    return rows.where((F.col(n) * SHARE > whole) & (F.col("parts") > 1)).select(key, "parts")
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """A row for each of its ``parts`` (null: one), numbered by ``part``."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
+def _dealt(rows: DataFrame, by: Column) -> DataFrame:
+    """The part of ``parts`` (null: one) that a row goes to by a hash."""
+    return rows.withColumn("part", F.pmod(by, F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
 def judge(captures: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url: str = "url", fetched: str = "fetched") -> DataFrame:
     """(page_id, host, fetched, blocked, categories, n_entries): the entries that cover the URL and hold on the day of its fetch."""
     url_ = F.col(url)
     rows = captures.select(F.col(id_col).alias("page_id"), host_of(url_).alias("host"), path_of(url_).alias("path"), F.col(fetched).alias("fetched"))
     rows = rows.withColumn("_k", F.xxhash64(F.col("page_id").isNull(), "page_id", "host", "path", "fetched"))
     spans = intervals(listed).withColumnRenamed("host", "on").withColumnRenamed("path", "start")
-    hosts = rows.where("host is not null").select("host").distinct().select("host", F.explode(above(F.col("host"))).alias("on"))
     # a host's paths may be many, their lengths are bounded by that of a URL
     lengths = spans.groupBy("on").agg(F.collect_set(F.length("start")).alias("lengths"))
-    asked = hosts.join(lengths, "on").groupBy("host").agg(F.collect_list(F.struct("on", "lengths")).alias("asks"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
-    dealt = rows.where("fetched is not null").withColumn("salt", F.pmod(F.col("_k"), F.lit(SALT)).cast("int"))
-    met = dealt.join(asked.withColumn("salt", salts), ["host", "salt"]).withColumn("ask", F.explode("asks"))
-    met = met.select("_k", "path", "fetched", "salt", "ask.on", F.explode("ask.lengths").alias("n")).where(F.col("n") <= F.length("path"))
-    met = met.withColumn("start", F.substring("path", F.lit(1), F.col("n"))).join(spans.withColumn("salt", salts), ["on", "start", "salt"])
+    hosts = written(rows.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n")), "url-hosts")
+    under = hosts.select("host", F.explode(above(F.col("host"))).alias("on"))
+    wide = written(heavy(under.groupBy("on").agg(F.count(F.lit(1)).alias("n")), "on", "n").join(lengths, "on", "left"), "url-wide")
+    wide_ = F.broadcast(wide.select("on", "parts", F.col("lengths").isNotNull().alias("listed")))
+    under = under.join(wide_, "on", "left").where("parts is null or listed").drop("listed")
+    busy = written(heavy(hosts, "host", "n"), "url-busy")
+    few = _in_parts(lengths.join(F.broadcast(wide.select("on", "parts")), "on", "left"))
+    asked = _dealt(under, F.xxhash64("host")).join(few, ["on", "part"]).groupBy("host").agg(F.collect_list(F.struct("on", "lengths")).alias("asks"))
+    asked = written(asked.join(F.broadcast(busy), "host", "left"), "url-asks")
+    dealt = _dealt(rows.where("fetched is not null").join(F.broadcast(busy), "host", "left"), F.col("_k"))
+    met = dealt.join(_in_parts(asked), ["host", "part"]).withColumn("ask", F.explode("asks"))
+    met = met.select("_k", "path", "fetched", "part", "ask.on", F.explode("ask.lengths").alias("n")).where(F.col("n") <= F.length("path"))
+    # entries of what busy hosts are under, once for each part of the busiest of them
+    wanted = asked.select("parts", F.explode("asks.on").alias("on")).where("parts > 1").groupBy("on").agg(F.max("parts").alias("parts"))
+    spans = _in_parts(spans.join(wanted, "on", "left"))
+    met = met.withColumn("start", F.substring("path", F.lit(1), F.col("n"))).join(spans, ["on", "start", "part"])
     now = met.where((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("fetched"))))
     # rows that repeat meet the same spans, so a span counts once for all of them
     found = now.groupBy("_k").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.count_distinct("on", "start", "valid_from", F.coalesce("category", F.lit(""))).alias("n_entries"))
