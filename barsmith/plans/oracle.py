@@ -23,6 +23,7 @@ def bars(name: str) -> str:
 
 
 BARS = f"with recursive {TICKS}, h as ({bars('1h')}), b as (select *, row_number() over (partition by symbol order by time) - 1 as i from h)"
+CLOSED = BARS.replace("h as (", "h0 as (", 1).replace("b as (select", f"h as (select * from h0 where time + {H} <= (select max(time) from t) - 2 * {H}), b as (select")
 DIRTY = """d as (select symbol, seq, time - time % 60000 as time, price - 5 as o, price - 6 as h, price - 4 as l, case when seq % 11 = 0 then null else price - 4.5 end as c, case when seq % 5 = 0 then null else cast(seq % 13 - 2 as double) end as v from t),
 m as (select *, not coalesce(o > 0 and h > 0 and l > 0 and c > 0, false) as bad from d)"""
 
@@ -309,5 +310,8 @@ union all select 3, 'contracts are strung together without adjustment, so prices
     "read_through_coverage": f"with {PADDED}, c as (select symbol, start, least(\"end\", (select max(time) from t) - 2 * {H}) as z from p where not lost), k as (select * from c where start <= z), n as (select *, start > coalesce(lag(z) over (partition by symbol order by start), -1) as new from k), g as (select *, sum(cast(new as int)) over (partition by symbol order by start) as i from n) select symbol, '1h' as \"interval\", min(start) as start, max(z) as \"end\" from g group by symbol, i",
     "runs_counted": RUNS_COUNTED,
     "demo_checked": f"with {TICKS}, n as (select count(distinct time - time % 300000) as n from t where {IN_SESSION}) select unnest(['ES', 'NQ']) as symbol, n as bars, n as times, true as sound from n",
+    "stream_cached": f"with {TICKS} {bars('1h')}",
+    "stream_swings": f"{CLOSED} {swings(2)}",
+    "stream_gaps": f"{CLOSED}, {GAPS} select * from gs",
     "stream_closed_bars": f"with {TICKS}, h as ({bars('1h')}) select * from h where time + {H} <= (select max(time) from t) - 2 * {H}",
 }

@@ -15,6 +15,8 @@ from barsmith.operators.tables import kept
 from barsmith.operators.tables import shared_folder
 from barsmith.plans import present, service
 from barsmith.sources import catalog, chain, demo, files
+from barsmith.streaming import cache
+from barsmith.streaming import structure as live
 from barsmith.streaming.bars import stream_bars
 
 HOUR = intervals.HOUR
@@ -560,6 +562,50 @@ def stream_closed_bars(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
+def _deliveries(spark, sf_dir, n=3):
+    """Ticks in ``n`` deliveries in order of time, but every tenth tick comes one delivery late."""
+    rows = ticks(spark, sf_dir).withColumn("ts", F.timestamp_millis("time")).select("symbol", "ts", "seq", "price")
+    low, high = rows.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()  # two numbers
+    at = F.floor((F.unix_millis("ts") - low) * n / (high - low + 1)) + F.when(F.col("seq") % 10 == 3, 1).otherwise(0)
+    dealt = rows.withColumn("at", F.least(at, F.lit(n - 1)))
+    return [dealt.where(F.col("at") == k).drop("at") for k in range(n)]
+
+
+def stream_cached(spark, sf_dir):
+    """A cache that a stream of late ticks kept, stopped after two deliveries and started again for the third."""
+    source, state, s = _folder(spark, "ticks"), _folder(spark, "state"), _fresh(spark)
+    parts = _deliveries(spark, sf_dir)
+    for some in (parts[:2], parts[2:]):
+        for part in some:
+            part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 2).parquet(source)
+        cache.into_cache(s, stream, "1h", state, late="3650 days", availableNow=True).awaitTermination()
+    return s.candles().where(F.col("provider") == "stream").select("symbol", "time", "open", "high", "low", "close", "volume")
+
+
+def _live(spark, sf_dir, make, schema):
+    """Ticks come in three deliveries; after each, one stream closes bars and another one reads them. (rows of the second, bars)."""
+    source, sink, out, first, second = (_folder(spark, n) for n in ("ticks", "closed", "live", "state", "state"))
+    rows = ticks(spark, sf_dir).withColumn("ts", F.timestamp_millis("time")).select("symbol", "ts", "seq", "price")
+    low, high = rows.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()  # two numbers
+    into = lambda stream, path, state: stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    for k in range(3):
+        rows.where(F.floor((F.unix_millis("ts") - low) * 3 / (high - low + 1)) == k).coalesce(1).write.mode("append").parquet(source)
+        into(stream_bars(spark.readStream.schema(rows.schema).parquet(source)), sink, first)
+        into(make(spark.readStream.schema("symbol string, time bigint, open double, high double, low double, close double, volume double").parquet(sink)), out, second)
+    return spark.read.schema(schema).parquet(out), spark.read.parquet(sink)
+
+
+def stream_swings(spark, sf_dir):
+    """Swing points of a stream of closed bars, which is stopped and goes on twice."""
+    return _live(spark, sf_dir, lambda b: live.swings(b, 2), live.SWINGS)[0]
+
+
+def stream_gaps(spark, sf_dir):
+    """What became of the gaps of such a stream."""
+    return live.latest(*_live(spark, sf_dir, live.gaps, live.GAPS))
+
+
 QUERIES = {
     **{f"ohlcv_{n}": ohlcv(n) for n in intervals.LENGTH},
     "resample_4h": resampled("4h"),
@@ -647,6 +693,9 @@ QUERIES = {
     "read_through_coverage": read_through_coverage,
     "demo_checked": demo_checked,
     "stream_closed_bars": stream_closed_bars,
+    "stream_cached": stream_cached,
+    "stream_swings": stream_swings,
+    "stream_gaps": stream_gaps,
 }
 
 
