@@ -43,6 +43,97 @@ def features(o: np.ndarray, h: np.ndarray, l: np.ndarray, c: np.ndarray, v: np.n
     return np.hstack(out)
 
 
+#: Windows whose running sums are made together, and when a window's are too inexact: its variance beside that of all of
+#: them, and its squared distance beside that of the pattern.
+TOGETHER, THIN, NEAR = 512, 1e-4, 1e-3
+
+
+def _running(x: np.ndarray, size: int, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum, sum of squares, and product with a kernel, of each stretch of ``size`` values."""
+    wide = np.concatenate(([0.0], x)).astype(np.longdouble)
+    total, squares = np.cumsum(wide), np.cumsum(wide * wide)
+    return total[size:] - total[:-size], squares[size:] - squares[:-size], np.einsum("ij,j->i", np.lib.stride_tricks.sliding_window_view(x, size), kernel)
+
+
+def _parts_of(bars: tuple[np.ndarray, ...], size: int, volume: bool) -> list[tuple[np.ndarray, int, np.ndarray]]:
+    """Each part of a feature vector as (values a bar, how many values at a window's start are others, those values a window)."""
+    o, h, l, c, v = bars
+    n = len(c) - size + 1
+    moves = np.zeros_like(c)
+    moves[1:] = _ratio(c[1:] - c[:-1], c[:-1], 0.0)
+    span = h - l
+    live = span > EPSILON
+    part = lambda x: np.where(live, x / np.where(live, span, 1.0), 0.0)
+    trail = np.zeros_like(c)
+    if len(c) >= TRAIL:
+        trail[TRAIL - 1 :] = np.lib.stride_tricks.sliding_window_view(moves, TRAIL).std(axis=1)
+    # the first deviations of a window look back to its first bar only, which has moved by nothing
+    early = np.zeros((n, min(TRAIL, size)))
+    for i in range(1, early.shape[1]):
+        seen = np.lib.stride_tricks.sliding_window_view(moves[1:], i)[:n]
+        early[:, i] = np.hstack([np.zeros((n, 1)), seen]).std(axis=1)
+    none = np.zeros((n, 0))
+    parts = [(c, 0, none), (moves, 1, np.zeros((n, 1))), (part(c - o), 0, none), (part(h - np.maximum(o, c)), 0, none), (part(np.minimum(o, c) - l), 0, none), (trail, early.shape[1], early)]
+    if volume:
+        parts.append((np.log1p(np.maximum(v, 0.0)), 0, none))
+    return parts
+
+
+def window_scores(bars: tuple[np.ndarray, ...], size: int, q: np.ndarray, volume: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity and distance of each window of a series to the vector ``q``, without a vector a window.
+
+    A standardised part takes its product with the pattern from three running values: sum, sum of squares, and product with the
+    pattern's part. Sums are made of a few hundred windows at a time, about their mean and in extended precision. Windows
+    with a part that hardly moves beside those around it, and those that nearly equal the pattern, are worked out
+    from their vectors instead.
+    """
+    n = len(bars[3]) - size + 1
+    parts, of_q = _parts_of(bars, size, volume), q.reshape(-1, size)
+    similar, far, again = np.empty(n), np.empty(n), np.zeros(n, bool)
+    whole = float(np.linalg.norm(q))
+    for a in range(0, n, TOGETHER):
+        b = min(n, a + TOGETHER)
+        product, norm, thin = np.zeros(b - a), np.zeros(b - a), np.zeros(b - a, bool)
+        for k, ((x, first, others), kernel, (_, weight)) in enumerate(zip(parts, of_q, WEIGHTS)):
+            total, squares, dot = np.zeros(b - a, np.longdouble), np.zeros(b - a, np.longdouble), np.zeros(b - a)
+            mine = x[a + first : b + size - 1]
+            if first < size:
+                shift = float(mine.mean()) if not first else 0.0
+                total, squares, dot = _running(mine - shift, size - first, kernel[first:])
+                spread = float((mine - shift).var())
+            else:
+                shift, spread = 0.0, 0.0
+            if first:
+                early = others[a:b]
+                total, squares, dot = total + early.sum(axis=1), squares + (early * early).sum(axis=1), dot + early @ kernel[:first]
+                spread = max(spread, float(early.var()))
+            mean = total / size
+            variance = np.maximum((squares / size - mean * mean).astype(np.float64), 0.0)
+            sigma = np.sqrt(variance)
+            # what the part is divided by before it is standardised
+            scale = np.abs(x[a:b]) if k == 0 else np.abs((mean + shift).astype(np.float64)) if k in (5, 6) else np.ones(b - a)
+            live = (scale > EPSILON) & (sigma > EPSILON * scale)
+            if spread > 0:
+                thin |= variance < THIN * spread
+            else:
+                live &= False
+            product += np.where(live, weight * (dot - mean.astype(np.float64) * kernel.sum()) / np.where(live, sigma, 1.0), 0.0)
+            norm += np.where(live, weight * weight * size, 0.0)
+        both = np.sqrt(norm) * whole
+        similar[a:b] = np.where(both > EPSILON, product / np.where(both > EPSILON, both, 1.0), 0.0)
+        square = norm + whole * whole - 2 * product
+        far[a:b] = np.sqrt(np.maximum(square, 0.0)) / max(np.sqrt(len(q)), EPSILON)
+        again[a:b] = thin | (square < NEAR * max(whole * whole, EPSILON))
+    rest = np.nonzero(again)[0]
+    for i in range(0, len(rest), AT_ONCE):
+        at = rest[i : i + AT_ONCE]
+        m = features(*(np.lib.stride_tricks.sliding_window_view(x, size)[at] for x in bars), volume)
+        norm = np.linalg.norm(m, axis=1) * whole
+        similar[at] = np.where(norm > EPSILON, m @ q / np.where(norm > EPSILON, norm, 1.0), 0.0)
+        far[at] = np.linalg.norm(m - q, axis=1) / max(np.sqrt(len(q)), EPSILON)
+    return similar, far
+
+
 def resample(series: np.ndarray, length: int) -> np.ndarray:
     """Linear interpolation of a series over 0..1 at ``length`` points."""
     if len(series) == 1:
@@ -84,7 +175,7 @@ def scores(bars: DataFrame, query: Pattern) -> DataFrame:
     """(symbol, start_index, end_index, start_time, end_time, entry_price, similarity, distance) of every window.
 
     Volume counts if the pattern has any and the symbol's series has any. Each block of positions is a
-    task of its own with the window length of overlap; vectors exist for a few thousand windows at a time.
+    task of its own with the window length of overlap, and works with running sums (:func:`window_scores`).
     """
     size = query.length
     rows = bars if "index" in bars.columns else indexed(bars)
@@ -101,13 +192,7 @@ def scores(bars: DataFrame, query: Pattern) -> DataFrame:
             return pd.DataFrame(columns=columns)
         volume = of_query and bool(part["_some"].iloc[0])
         q = vectors[volume]
-        windows = [np.lib.stride_tricks.sliding_window_view(part[c].to_numpy(np.float64), size) for c in ("open", "high", "low", "close", "volume")]
-        similar, far = np.empty(n), np.empty(n)
-        for i in range(0, n, AT_ONCE):
-            m = features(*(w[i : i + AT_ONCE] for w in windows), volume)
-            norm = np.linalg.norm(m, axis=1) * np.linalg.norm(q)
-            similar[i : i + AT_ONCE] = np.where(norm > EPSILON, m @ q / np.where(norm > EPSILON, norm, 1.0), 0.0)
-            far[i : i + AT_ONCE] = np.linalg.norm(m - q, axis=1) / max(np.sqrt(len(q)), EPSILON)
+        similar, far = window_scores(tuple(part[c].to_numpy(np.float64) for c in ("open", "high", "low", "close", "volume")), size, q, volume)
         at, time = part["index"].to_numpy(), part["time"].to_numpy()
         out = pd.DataFrame({"symbol": part["symbol"].iloc[0], "start_index": at[:n], "end_index": at[size - 1 :], "start_time": time[:n], "end_time": time[size - 1 :], "entry_price": part["close"].to_numpy()[size - 1 :], "similarity": similar, "distance": far})
         return out[part["_own"].to_numpy()[:n]]
