@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.operators.blocks import BLOCK, running
+from barsmith.operators.quantiles import median
 
 START, LEAST_SAMPLE = 100.0, 20
 
@@ -35,13 +36,17 @@ def streaks(trades: DataFrame) -> DataFrame:
 
 
 def summary(trades: DataFrame, total_matches: int | None = None, skipped: int | None = None) -> DataFrame:
-    """One row of figures about executed, numbered trades, rounded to four digits (holding bars to two)."""
+    """One row of figures about executed, numbered trades, rounded to four digits (holding bars to two).
+
+    ``trades`` are read several times, so they should be a table; the median of returns is found by jobs of its own.
+    """
+    middle = median(trades, "net_return")
     net = F.col("net_return")
     win, lose = net > 0, net < 0
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     each = trades.agg(
         F.count(F.lit(1)).alias("trades_executed"), F.count_if(win).alias("wins"), F.count_if(lose).alias("losses"), F.count_if(net == 0).alias("breakeven"), F.count_if(F.col("exit_reason") == "timeout").alias("timeouts"),
-        F.product(1 + F.col("gross_return") / 100).alias("_g"), F.avg(net).alias("_avg"), F.percentile("net_return", 0.5).alias("_mid"), zero(F.avg(F.when(win, net))).alias("_w"), zero(F.avg(F.when(lose, net))).alias("_l"),
+        F.product(1 + F.col("gross_return") / 100).alias("_g"), F.avg(net).alias("_avg"), F.lit(middle).cast("double").alias("_mid"), zero(F.avg(F.when(win, net))).alias("_w"), zero(F.avg(F.when(lose, net))).alias("_l"),
         zero(F.sum(F.when(win, net))).alias("_gp"), F.abs(zero(F.sum(F.when(lose, net)))).alias("_gl"), F.avg("holding_bars").alias("_hold"), F.count_if(F.coalesce("same_bar_ambiguity", F.lit(False))).alias("same_bar_ambiguity_count"),
     )
     curve = equity_curve(trades)

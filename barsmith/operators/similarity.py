@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.operators.blocks import BLOCK, in_blocks, indexed
+from barsmith.operators.ranges import outside
 
 #: What counts as zero, bars of the trailing deviation, windows scored at once.
 EPSILON, TRAIL, AT_ONCE = 1e-12, 5, 4096
@@ -201,15 +202,18 @@ def scores(bars: DataFrame, query: Pattern) -> DataFrame:
     return dealt.groupBy("symbol", "_block").applyInPandas(score, shape)
 
 
-def eligible(scored: DataFrame, bars: DataFrame, *, threshold: float, future: int = 0, exclude: list[tuple[int, int]] = (), exclude_of: list[tuple[str, int, int]] = ()) -> DataFrame:
-    """Windows similar enough, with ``future`` bars after them, that touch none of the excluded time ranges (of all symbols, or of one)."""
+def eligible(scored: DataFrame, bars: DataFrame, *, threshold: float, future: int = 0, exclude: list[tuple[int, int]] = (), exclude_of: list[tuple[str, int, int]] = (), excluded: DataFrame | None = None) -> DataFrame:
+    """Windows similar enough, with ``future`` bars after them, that touch none of the excluded time ranges (of all symbols, or of one).
+
+    A few ranges are predicates; many are a table ``excluded`` (symbol, start, end), which windows meet by counting its end points.
+    """
     last = bars.groupBy("symbol").agg((F.count(F.lit(1)) - 1).alias("_last"))
     rows = scored.join(last, "symbol").where((F.col("similarity") >= threshold) & (F.col("end_index") + future <= F.col("_last"))).drop("_last")
     for start, end in exclude:
         rows = rows.where(~((F.col("start_time") <= end) & (F.col("end_time") >= start)))
     for symbol, start, end in exclude_of:
         rows = rows.where(~((F.col("symbol") == symbol) & (F.col("start_time") <= end) & (F.col("end_time") >= start)))
-    return rows
+    return rows if excluded is None else outside(rows, excluded, "start_time", "end_time", ["symbol"])
 
 
 def guarded(rows: DataFrame, length: int, most: int) -> None:
