@@ -266,7 +266,8 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     """(query_id, vec_id, similarity, rank): for each query the ``k`` rows of the largest cosine, smaller ids first among equals.
 
     Queries are cut into blocks of about QUERIES, vectors into parts; a task compares one block with one part, tile by
-    tile, and keeps k of each query. Null embeddings, as query or vector, are left out; a zero vector is like nothing (0).
+    tile, and keeps k of each query. Vectors are compared with those of their own length. Null embeddings, as query or vector,
+    are left out; a zero vector is like nothing (0). Counting the queries runs a job.
     """
     spark = vectors.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -275,9 +276,9 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(parts - 1))
-    q = asked.select(block.alias("block"), F.explode(every).alias("part"), F.lit(0).alias("place"), "vec_id", "embedding")
-    v = vectors.where("vec_id is not null and embedding is not null").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part.alias("part"), F.lit(1).alias("place"), "vec_id", "embedding")
-    rows = q.unionByName(v).repartition(parts * blocks, "block", "part").sortWithinPartitions("block", "part", "place", "vec_id")
+    q = asked.select(block.alias("block"), F.explode(every).alias("part"), F.size("embedding").alias("size"), F.lit(0).alias("place"), "vec_id", "embedding")
+    v = vectors.where("vec_id is not null and embedding is not null").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part.alias("part"), F.size("embedding").alias("size"), F.lit(1).alias("place"), "vec_id", "embedding")
+    rows = q.unionByName(v).repartition(parts * blocks, "block", "part").sortWithinPartitions("block", "part", "size", "place", "vec_id")
 
     def unit(x: pd.Series) -> np.ndarray:
         x = np.stack(x.to_numpy()).astype(np.float64)
@@ -296,11 +297,11 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame
                 yield pd.DataFrame({"query_id": np.repeat(names, ids.shape[1])[real.ravel()], "vec_id": ids[real], "similarity": scores[real]})
 
         for batch in batches:
-            for at, group in batch.groupby(["block", "part", "place"], sort=False):
-                if at[:2] != key:
+            for at, group in batch.groupby(["block", "part", "size", "place"], sort=False):
+                if at[:3] != key:
                     yield from done()
-                    key, asking, ids = at[:2], [], None
-                if at[2] == 0:
+                    key, asking, ids = at[:3], [], None
+                if at[3] == 0:
                     asking.append(group)
                     continue
                 if not asking:

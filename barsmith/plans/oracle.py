@@ -6,6 +6,7 @@ from barsmith.functions.intervals import LENGTH
 from barsmith.operators.similarity import WEIGHTS
 from barsmith.operators.simulate import Rules
 from barsmith.plans.queries import FROM, FUTURE, LOST, MATCHES, PAGE, PATTERN_AT, PATTERN_LENGTH, PRIMARY, RUN_RULES, SEPARATION, THRESHOLD, TO, TRADES
+from barsmith.plans.service import ASSUMPTIONS
 from barsmith.sources.demo import REGIMES
 
 H = 3_600_000
@@ -291,7 +292,7 @@ select ok.symbol, ok."interval", ok.s as start, least(ok.l, coalesce((select min
     "run_trades": done(RUN_TRADES) + " select k as trade_number, id, symbol, entry_time, exit_time, entry_price, exit_price, net_return, exit_reason from n",
     "run_summary": summary(RUN_TRADES, "(select count(*) from mt) as total_matches, (select count(*) from tf where skip_reason is not null) as skipped_matches,"),
     "run_notes": f"""{BARS} select 0 as place, 'source: demo, vendor' as note union all select 1, 'demo bars are made up from a seed; they are no market data' union all select 2, symbol || ': searched ' || count(*) || ' bars of 1h' from h where symbol in ('{PRIMARY}', 'view', 'signup') group by symbol
-union all select 3, 'contracts are strung together without adjustment, so prices may jump where they change' union all select 4, 'a match that begins before the last trade ends is left out'""",
+union all select 3, 'contracts are strung together without adjustment, so prices may jump where they change' union all select 4, 'a match that begins before the last trade ends is left out' union all select * from (values """ + ", ".join(f"({5 + k}, '{a.replace(chr(39), chr(39) * 2)}')" for k, a in enumerate(ASSUMPTIONS)) + """) t(place, note)""",
     "runs_listed": " union all ".join(f"""select * from ({trades(TRADES[name])} select '{name}' as run, cast({1000 * (k + 1)} as bigint) as created_at, '{PRIMARY}' as primary_symbol, '1h' as "interval", 'done' as status, count(*) as trades_executed, round(count(*) filter (net_return > 0) * 100.0 / count(*), 4) as win_rate, round(avg(net_return), 4) as net_return from tf where skip_reason is null)""" for k, name in enumerate(("trades_long_pct", "trades_short_pct", "trades_long_fixed")) if k),
     "interval_table": INTERVALS,
     "instruments": f"with {TICKS}, h as ({bars('1h')}), l as (select symbol, case symbol when 'click' then ' nq ' when 'view' then 'Es' when 'signup' then 'YM' when 'purchase' then 'btc' else '' end as label, arg_max(close, time) as last from h group by all), i as (select * from {KNOWN} t(_s, name, tick, digits, zone)) select symbol, label, _s is not null as known, name, tick, digits, zone, round_even(last / tick, 0) * tick as last from l left join i on upper(trim(label)) = _s",
@@ -300,6 +301,12 @@ union all select 3, 'contracts are strung together without adjustment, so prices
     "trust_flags": f"with {TICKS}, h as ({bars('1h')}), q as (select *, case when volume > 5 then 'partial' when volume <= 2 then 'cached' when symbol = 'view' then 'demo' else 'delayed' end as quality from h) select symbol, time, quality, quality not in ('demo', 'partial') as trusted, volume > 5 or symbol <> '{PRIMARY}' as fallback from q",
     "chart_series": f"with {TICKS}, h as ({bars('1h')}) select symbol, time // 1000 as time, open, high, low, close, volume, close >= open as up from h",
     "display_texts": f"with {TICKS}, h as ({bars('1h')}) select symbol, time, format('{{:,.2f}}', close * 1000) as price, coalesce(case when volume > 1 then case when round((close - open) / open * 100, 1) > 0 then '+' else '' end || format('{{:.2f}}', round((close - open) / open * 100, 1)) || '%' end, '-') as change from h",
+    "display_more": f"""with {TICKS}, h as ({bars('1h')}), v as (select *, round(close * power(10.0::double, time // {H} % 13), 2) as v, case when volume > 1 then round(close / open, 1) end as r from h),
+u as (select *, case when abs(round(v / 1e9, 1)) >= 1000 then 1e12 when abs(round(v / 1e6, 1)) >= 1000 then 1e9 when abs(round(v / 1e3, 1)) >= 1000 then 1e6 when abs(round(v, 1)) >= 1000 then 1e3 else 1 end::double as size from v)
+select symbol, time, strftime(timezone('America/Chicago', to_timestamp(time / 1000.0)), '%d %b %Y, %H:%M') as moment, strftime(epoch_ms(time), '%d %b %Y') as day,
+  regexp_replace(format('{{:,.1f}}', round(v / size, 1)), '[.]0$', '') || case size when 1e12 then 'T' when 1e9 then 'B' when 1e6 then 'M' when 1e3 then 'K' else '' end as compact, format('{{:,.1f}}', round(v, 1)) as number,
+  coalesce(format('{{:.2f}}x', r), '-') as ratio, cast(volume as bigint) || case when volume = 1 then ' bar' else ' bars' end || ' (1h)' as duration,
+  case when volume >= 9 then 'never' when {TO} - time < 60000 then 'just now' when {TO} - time < {H} then (({TO} - time) // 60000) || 'm ago' when {TO} - time < 86400000 then (({TO} - time) // {H}) || 'h ago' else (({TO} - time) // 86400000) || 'd ago' end as ago from u""",
     "column_list_json": f"with {TICKS}, h as ({bars('1h')}) select * from h",
     "paged_scan": f"with {TICKS}, h as ({bars('5m')}) select * from h where time between {FROM} and {TO} and symbol <> 'view'",
     "chain_fallback": f"with {FETCH}, h as ({bars('1h')}) select h.symbol, h.time, h.close, h.volume, case when p.lost then 'third' else 'first' end as provider from h join p on h.symbol = p.symbol and h.time between p.start and p.end",
@@ -315,3 +322,4 @@ union all select 3, 'contracts are strung together without adjustment, so prices
     "stream_gaps": f"{CLOSED}, {GAPS} select * from gs",
     "stream_closed_bars": f"with {TICKS}, h as ({bars('1h')}) select * from h where time + {H} <= (select max(time) from t) - 2 * {H}",
 }
+ORACLES["run_saved"] = ORACLES["run_trades"]

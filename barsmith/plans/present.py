@@ -8,6 +8,9 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barsmith.functions.intervals import DAY, HOUR, MINUTE
+from barsmith.functions.time import local
+
 #: Qualities of data on which a win rate is not to be trusted.
 UNRELIABLE = ("demo", "partial")
 
@@ -50,6 +53,52 @@ def percent_text(value: Column) -> Column:
     return F.when(value.isNull(), "-").otherwise(text)
 
 
+def number_text(value: Column, digits: int = 2) -> Column:
+    """A number with thousands apart; a dash for none."""
+    return F.when(value.isNull() | F.isnan(value), "-").otherwise(F.format_number(F.round(value, digits), digits))
+
+
+def compact_text(value: Column) -> Column:
+    """A number with at most one digit after the point, in thousands, millions, billions or trillions; a dash for none."""
+    text = F.lit(None).cast("string")
+    for size, unit in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K"), (1.0, "")):
+        part = F.round(value / size, 1)
+        shown = F.concat(F.regexp_replace(F.format_number(part, 1), "[.]0$", ""), F.lit(unit))
+        fits = F.abs(F.round(value / (size / 1000), 1)) >= 1000 if size > 1 else F.lit(True)
+        text = F.coalesce(text, F.when(fits, shown))
+    return F.when(value.isNull() | F.isnan(value), "-").otherwise(text)
+
+
+def ratio_text(value: Column) -> Column:
+    """A ratio as 1.23x; a dash for one that is not defined, as a profit factor without losses."""
+    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), "-").otherwise(F.format_string("%.2fx", value))
+
+
+def date_text(ms: Column, zone: str = "UTC") -> Column:
+    return F.date_format(local(ms, zone), "dd MMM yyyy")
+
+
+def time_text(ms: Column, zone: str = "UTC") -> Column:
+    return F.date_format(local(ms, zone), "HH:mm")
+
+
+def moment_text(ms: Column, interval: str, zone: str = "UTC") -> Column:
+    """The date of a daily bar, date and time of a finer one; a dash for none."""
+    text = date_text(ms, zone) if interval == "1d" else F.concat(date_text(ms, zone), F.lit(", "), time_text(ms, zone))
+    return F.coalesce(text, F.lit("-"))
+
+
+def duration_text(bars: Column, interval: str) -> Column:
+    return F.concat(bars.cast("string"), F.when(bars == 1, " bar").otherwise(" bars"), F.lit(f" ({interval})"))
+
+
+def ago_text(ms: Column, now: Column) -> Column:
+    """How long ago something was, in whole minutes, hours or days."""
+    past = now - ms
+    whole = lambda unit, name: F.concat(F.floor(past / unit).cast("string"), F.lit(name))
+    return F.when(ms.isNull(), "never").when(past < MINUTE, "just now").when(past < HOUR, whole(MINUTE, "m ago")).when(past < DAY, whole(HOUR, "h ago")).otherwise(whole(DAY, "d ago"))
+
+
 def configuration(request) -> str:
     """A request as JSON."""
     return json.dumps(asdict(request), sort_keys=True)

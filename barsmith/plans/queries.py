@@ -360,6 +360,14 @@ def run_trades(spark, sf_dir):
     return _run(spark, sf_dir)[0]["trades"].select("trade_number", "id", "symbol", "entry_time", "exit_time", "entry_price", "exit_price", "net_return", "exit_reason")
 
 
+def run_saved(spark, sf_dir):
+    """The trades of a run that was persisted, loaded again."""
+    out, request = _run(spark, sf_dir)
+    s = _fresh(spark)
+    service.save(s, request, out, "one", 1000)
+    return s.load_run("one")[2].select("trade_number", "id", "symbol", "entry_time", "exit_time", "entry_price", "exit_price", "net_return", "exit_reason")
+
+
 def run_summary(spark, sf_dir):
     return _run(spark, sf_dir)[0]["summary"]
 
@@ -441,6 +449,13 @@ def trust(spark, sf_dir):
     return h.select("symbol", "time", state.alias("quality"), present.trusted(state).alias("trusted"), present.fallback(F.col("volume") > 5, F.col("symbol"), F.lit(PRIMARY)).alias("fallback"))
 
 
+def more_texts(spark, sf_dir):
+    """Moments, compact numbers, ratios and durations of hourly bars as they are shown."""
+    h = hourly(spark, sf_dir)
+    value, ratio = F.col("close") * F.pow(F.lit(10.0), F.pmod(F.floor(F.col("time") / HOUR), F.lit(13))), F.when(F.col("volume") > 1, F.round(F.col("close") / F.col("open"), 1))
+    return h.select("symbol", "time", present.moment_text(F.col("time"), "1h", time.EXCHANGE_ZONE).alias("moment"), present.moment_text(F.col("time"), "1d").alias("day"), present.compact_text(F.round(value, 2)).alias("compact"), present.number_text(F.round(value, 2), 1).alias("number"), present.ratio_text(ratio).alias("ratio"), present.duration_text(F.col("volume").cast("bigint"), "1h").alias("duration"), present.ago_text(F.when(F.col("volume") < 9, F.col("time")), F.lit(TO)).alias("ago"))
+
+
 def texts(spark, sf_dir):
     return hourly(spark, sf_dir).select("symbol", "time", present.price_text(F.col("close") * 1000, 2).alias("price"), present.percent_text(F.round(F.when(F.col("volume") > 1, numbers.percent_change(F.col("open"), F.col("close"))), 1)).alias("change"))
 
@@ -673,6 +688,7 @@ QUERIES = {
     "run_matches": run_matches,
     "run_trades": run_trades,
     "run_summary": run_summary,
+    "run_saved": run_saved,
     "run_notes": run_notes,
     "runs_listed": runs_listed,
     "runs_counted": runs_counted,
@@ -683,6 +699,7 @@ QUERIES = {
     "trust_flags": trust,
     "chart_series": lambda s, d: present.chart(hourly(s, d)),
     "display_texts": texts,
+    "display_more": more_texts,
     "column_list_json": column_list_json,
     "paged_scan": paged_scan,
     "chain_fallback": chain_fallback,

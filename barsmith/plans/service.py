@@ -14,7 +14,7 @@ from barsmith.operators.blocks import indexed
 from barsmith.operators.ranges import coalesce
 from barsmith.operators.store import PART, Store, latest_provider
 from barsmith.operators.tables import kept
-from barsmith.plans.present import fallback, of_kind, rounded, trusted
+from barsmith.plans.present import as_json, configuration, fallback, of_kind, rounded, trusted
 from barsmith.sources import chain
 from barsmith.sources.catalog import quality
 
@@ -180,8 +180,20 @@ class Request:
         return tuple(dict.fromkeys((self.primary, *self.symbols)))[:MOST_SYMBOLS]
 
 
-def notes(rows: DataFrame, request: Request, resampled: int | None) -> DataFrame:
-    """(place, note): what the data was, and what was assumed."""
+#: What every backtest takes for granted.
+ASSUMPTIONS = (
+    "a bar that reaches both stop and target counts as stopped",
+    "a bar that opens past a stop or target trades at its open",
+    "slippage makes entry and exit worse",
+    "fees are a percentage of the position, paid at entry and at exit",
+    "what is still open after the longest holding time is closed at that bar's close",
+    "returns are percentages of the entry price, without multipliers, margin or financing",
+    "matches come from a fixed comparison of features, not from a trained model",
+)
+
+
+def notes(rows: DataFrame, request: Request, resampled: int | None, state: DataFrame | None = None) -> DataFrame:
+    """(place, note): what the data was, and what was assumed. ``state`` (of a read through the cache) tells why a symbol's bars are not what was wanted."""
     provider = F.array_join(F.array_sort(F.collect_set("provider")), ", ") if "provider" in rows.columns else F.lit(None).cast("string")
     each = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).select(F.lit(2).alias("place"), F.concat("symbol", F.lit(": searched "), F.col("n").cast("string"), F.lit(f" bars of {request.interval}")).alias("note"))
     from_ = rows.agg(provider.alias("p") if "provider" in rows.columns else F.first(provider).alias("p")).where("p is not null")
@@ -190,10 +202,22 @@ def notes(rows: DataFrame, request: Request, resampled: int | None) -> DataFrame
     fixed = ["contracts are strung together without adjustment, so prices may jump where they change", "trades may overlap" if request.rules.overlap else "a match that begins before the last trade ends is left out"]
     if resampled:
         fixed.append(f"the selection was resampled to {resampled} bars")
+    fixed += ASSUMPTIONS
+    if state is not None:
+        reasons = state.where(F.col("reason").isNotNull() & F.col("symbol").isin(*request.searched))
+        each = each.unionByName(reasons.select(F.lit(2).alias("place"), F.concat("symbol", F.lit(": "), "reason").alias("note")))
     return each.unionByName(sources).unionByName(synthetic).unionByName(rows.sparkSession.createDataFrame([(3 + k, n) for k, n in enumerate(fixed)], "place int, note string"))
 
 
-def backtest(series: DataFrame, request: Request) -> dict[str, DataFrame]:
+def save(store: Store, request: Request, out: dict[str, DataFrame], run: str, now: int) -> None:
+    """Persists what a backtest gave under the id ``run``: matches and trades, and last the header with its request and summary as JSON."""
+    name = F.lit(run).alias("run")
+    summary = as_json(out["summary"], "summary")
+    header = summary.select(F.lit(now).cast("bigint").alias("created_at"), F.lit(request.primary).alias("primary_symbol"), F.lit(request.interval).alias("interval"), F.lit("done").alias("status"), F.lit(configuration(request)).alias("configuration"), "summary", name)
+    store.save_run(header, out["matches"].withColumn("run", name), out["trades"].withColumn("run", name))
+
+
+def backtest(series: DataFrame, request: Request, state: DataFrame | None = None) -> dict[str, DataFrame]:
     """``matches`` with outcomes and their normalised closes, numbered ``trades``, ``skipped``, ``summary``, ``equity`` and ``notes`` of one pattern."""
     inside = lambda r: F.col("time").between(*r)
     query = similarity.pattern(series.where((F.col("symbol") == request.primary) & inside(request.selection)), request.length)
@@ -212,5 +236,5 @@ def backtest(series: DataFrame, request: Request) -> dict[str, DataFrame]:
     total, skipped = best.count(), trades.where("skip_reason is not null").count()  # at most MOST_MATCHES
     return {
         "matches": simulate.outcomes(best, trades), "trades": done, "skipped": trades.where("skip_reason is not null").select("id", "skip_reason"),
-        "summary": metrics.summary(done, total, skipped), "equity": metrics.equity_curve(done), "notes": notes(rows, request, query.length if query.length != query.selected else None),
+        "summary": metrics.summary(done, total, skipped), "equity": metrics.equity_curve(done), "notes": notes(rows, request, query.length if query.length != query.selected else None, state),
     }

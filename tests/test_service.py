@@ -182,3 +182,43 @@ def test_pattern_of_another_length(spark):
     assert (p.length, p.selected) == (12, 20) and np.allclose(p.bars[3], np.interp(np.linspace(0, 1, 12), np.linspace(0, 1, 20), closes)) and len(p.normalized) == 20
     with pytest.raises(ValueError):
         similarity.pattern(b.limit(4))
+
+
+def test_texts(spark):
+    from barsmith.plans import present
+
+    values = [0.0, 0.25, 999.9, 999.96, 1000.0, -1234.5, 12_345.0, 999_950.0, 1e9, 2.34e13, None, float("nan")]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    shown = [r[0] for r in df.orderBy("k").select(present.compact_text(F.col("v"))).collect()]
+    assert shown == ["0", "0.3", "999.9", "1K", "1K", "-1.2K", "12.3K", "1M", "1B", "23.4T", "-", "-"]
+    assert [r[0] for r in df.orderBy("k").select(present.ratio_text(F.col("v"))).collect()][-3:] == ["23400000000000.00x", "-", "-"]
+    at = spark.createDataFrame([(1_704_204_300_000,), (None,)], "t bigint")
+    assert [r[0] for r in at.select(present.moment_text(F.col("t"), "1h", "America/Chicago")).collect()] == ["02 Jan 2024, 08:05", "-"]
+    assert [r[0] for r in at.select(present.moment_text(F.col("t"), "1d")).collect()] == ["02 Jan 2024", "-"]
+    ago = lambda ms: F.lit(10**12 - ms)
+    row = at.limit(1).select(*(present.ago_text(ago(x), F.lit(10**12)).alias(str(k)) for k, x in enumerate((5, 61_000, 3_700_000, 200_000_000))), present.duration_text(F.lit(1), "1h"), present.duration_text(F.lit(24), "5m"), present.ago_text(F.lit(None).cast("bigint"), F.lit(1))).first()
+    assert list(row) == ["just now", "1m ago", "1h ago", "2d ago", "1 bar (1h)", "24 bars (5m)", "never"]
+
+
+def test_a_saved_run_and_the_reasons_of_a_read(spark, tmp_path):
+    rows = wave(spark, "NQ").unionByName(wave(spark, "ES"))
+    times = [r["time"] for r in rows.where("symbol = 'NQ'").orderBy("time").collect()]
+    request = service.Request("NQ", ("ES",), (times[2], times[9]), (times[0], times[-1]), threshold=0.0, matches=3, rules=simulate.Rules(hold=2))
+    state = spark.createDataFrame([("ES", "first: lost"), ("NQ", None), ("YM", "not searched")], "symbol string, reason string")
+    out = service.backtest(rows, request, state)
+    notes = [r["note"] for r in out["notes"].orderBy("place", "note").collect()]
+    assert "ES: first: lost" in notes and set(service.ASSUMPTIONS) <= set(notes) and not any("YM" in n for n in notes)
+    s = store.Store(spark, str(tmp_path))
+    service.save(s, request, out, "r", 5)
+    header, matches, trades = s.load_run("r")
+    assert json.loads(header.first()["configuration"])["primary"] == "NQ" and json.loads(header.first()["summary"])["trades_executed"] == trades.count() == out["trades"].count()
+    assert matches.count() == out["matches"].count() and s.list_runs().first()["trades_executed"] == trades.count()
+
+
+def test_nearest_vectors_of_two_lengths(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(6)] + [(k, [1.0, float(k), 2.0]) for k in range(6, 9)] + [(9, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in similarity.nearest_vectors(df.where("vec_id in (0, 6)"), df, 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert got == {0: {1, 2, 3, 4, 5}, 6: {7, 8}}
