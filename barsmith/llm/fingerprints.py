@@ -12,7 +12,8 @@ The sum does not depend on the order of paragraphs; inserting or deleting one ad
 vector (:func:`insert`, :func:`delete`), so a fingerprint is kept up to date without the text.
 
 Only DataFrame functions are used. Nulls: a null text counts as the empty text, which has one empty
-paragraph. Rows that repeat are rows of their own. An empty table gives an empty result. Extra columns are left
+paragraph. Rows that repeat are rows of their own; rows of one id stand next to each other in an order that a hash of
+the text decides. Very long texts are hashed whole, paragraph by paragraph. An empty table gives an empty result. Extra columns are left
 alone; names starting with ``_fp_`` are reserved.
 """
 

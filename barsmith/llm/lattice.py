@@ -17,7 +17,8 @@ Vectors are compared with those of their own length: each length has its rotatio
 
 Nulls: a vector that is null, all zero, of another length than ``dim`` (if that is asked for), or holds null or
 non-finite components links with nothing and is a class of its own; so is a null id. Rows that repeat
-count as vectors of their own. An empty table gives an empty result. Only the named columns are read.
+count as vectors of their own. A pair at exactly the threshold is linked; there are no other ties. Vectors of any finite size are
+scaled first, so none overflows. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations

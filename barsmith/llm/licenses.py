@@ -12,7 +12,8 @@ one-line notices. Not in it: MPL-2.0 notices of other versions, EPL, EUPL, CDDL,
 in other layouts than the published ones; :func:`digests` makes a table of any texts.
 
 Only DataFrame functions. Nulls: a null text is the empty text, which no licence is; a null id stays null. Rows that
-repeat get the same answer each. An empty table gives an empty result. Only the named columns are read.
+repeat get the same answer each. Very long texts are folded and hashed whole. The table of known digests must have a digest once: two rows
+of one digest give two rows for each text that has it. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Each partition packs its own texts as they stream by, with a pool of bounded siz
 that grows, and a lost task is simply run again with the same result.
 
 Nulls: a null text is the empty text, which is the end id alone; a null id stays null; a null
-``loss_from`` means 1. Rows that repeat are packed each for itself. A very long text or word is held whole, in ids,
+``loss_from`` means 1. Rows that repeat are packed each for itself; among places that fit equally well the first one
+is taken, and any choice keeps the limits. A very long text or word is held whole, in ids,
 until it is packed. An empty table gives no pieces. Extra columns are not read.
 """
 

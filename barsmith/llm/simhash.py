@@ -21,7 +21,8 @@ Nothing is capped: every link is found, either as a pair or as a path within a c
 classes, not pairs of documents, leave the tasks.
 
 Nulls: a null id gets a class like any other, but is never a class id unless all ids in it are null.
-Rows that repeat are in one class. An empty table gives an empty result. Only the named columns are read.
+Rows that repeat are in one class. There are no ties to break: links are symmetric, and a class goes by its smallest id. Very long
+texts are hashed whole. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
