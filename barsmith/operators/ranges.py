@@ -85,7 +85,7 @@ def outside(rows: DataFrame, ranges: DataFrame, start: str, end: str, keys=()) -
     plain = rows.select(*keys, F.col(start).alias("_from"), F.col(end).alias("_to")).distinct().withColumn("_one", F.lit(1))
     spans = ranges.select(*keys, "start", "end").withColumn("_one", F.lit(1))
     told = _met(_islands(spans, 0, [*keys, "_one"]), plain, [*keys, "_one"]).where("begun_to = ended_from").select(*keys, F.col("_from").alias(start), F.col("_to").alias(end))
-    return rows.join(told, [*keys, start, end], "left_semi")
+    return rows.join(told, [*keys, start, end], "left_semi").select(*rows.columns)
 
 
 def chunks(requested: DataFrame, length: int, keys=KEYS) -> DataFrame:
