@@ -31,7 +31,6 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -108,14 +107,20 @@ HARM_OTHERS = _aimed((OTHER,), (), 2.0)
 
 
 def compose(parts: list[Transducer], final: Callable) -> Transducer:
-    """The transducer that runs all ``parts`` on the same symbols and adds their weights; ``final`` makes its output of theirs. State 0 is the start."""
-    states = list(product(*(range(len(p.out)) for p in parts)))
-    number = {s: i for i, s in enumerate(states)}
-    arcs = {}
-    for s in states:
+    """The transducer that runs all ``parts`` on the same symbols and adds their weights; ``final`` makes its output of theirs.
+
+    State 0 is the start; only states that some clause can reach are made.
+    """
+    states = [(0,) * len(parts)]
+    number, arcs = {states[0]: 0}, {}
+    for s in states:  # grows as states are found
         for x in range(SYMBOLS):
             steps = [p.step(q, x) for p, q in zip(parts, s)]
-            arcs[number[s], x] = (number[tuple(q for q, _ in steps)], sum(w for _, w in steps))
+            to = tuple(q for q, _ in steps)
+            if to not in number:
+                number[to] = len(states)
+                states.append(to)
+            arcs[number[s], x] = (number[to], sum(w for _, w in steps))
     return Transducer(arcs, tuple(final(*(p.out[q] for p, q in zip(parts, s))) for s in states))
 
 
@@ -154,7 +159,7 @@ class Reader:
     """Reads words as symbols with weights; remembers up to ``limit`` words, none of them a long one."""
 
     stems: dict[str, float]
-    limit: int = 300_000
+    limit: int = 150_000
     memo: dict[str, tuple[int, float]] = field(default_factory=dict)
 
     def symbol(self, word: str) -> tuple[int, float]:
