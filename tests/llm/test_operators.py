@@ -1,6 +1,8 @@
 """The corpus operators against brute force, on small tables with every odd case."""
 
 import hashlib
+import math
+import operator
 import zlib
 from collections import Counter, defaultdict
 
@@ -47,23 +49,45 @@ def test_fingerprints_by_brute_force(spark, docs):
         words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ("\n " + text.replace("\n", " \n ") + " \n").split(" ")]
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         pairs = [xxhash.xxh64_intdigest(signed(b).to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(signed(a).to_bytes(8, "little", signed=True), 42)) for a, b in zip(words, words[1:])] + [xxhash.xxh64_intdigest(signed(words[-1]).to_bytes(8, "little", signed=True), 42)]
-        content = [len(pairs)] + [sum(p >> k & 1 for p in pairs) for k in range(64)]
-        return "".join(f"{x % MODULUS:08x}" for x in ident + content)
-
-    got = fingerprints.fingerprint_edits(docs.where("length(coalesce(text, '')) < 1000")).collect()
-    small = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect() if len(r["text"] or "") < 1000), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        content, signs = [], []
+        for part in range(8):
+            some = [p for p in pairs if p >> 61 == part]
+            bits = [sum(p >> k & 1 for p in some) for k in (*range(16), *range(32, 48))]
+            content += [len(some), *bits]
+            signs += [2 * b - len(some) for b in bits]
+        return "".join(f"{x % MODULUS:08x}" for x in ident + content), signs
+
+    def like(a, b):
+        dot = lambda x, y: sum(map(operator.mul, x, y))
+        size = math.sqrt(dot(a[1], a[1]) * dot(b[1], b[1]))
+        return 1.0 if a[0] == b[0] else min(1.0, max(0.0, dot(a[1], b[1]) / size)) if size else 0.0
+
+    got = fingerprints.fingerprint_edits(docs).collect()
+    small = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     assert len(got) == len(small)
     want = Counter()
     for k, (i, text) in enumerate(small):
         nxt = small[(k + 1) % len(small)][1]
         n = len(text)
         edited = text[: n - n // 2] + nxt[: n // 2]
-        want[i, n, hashlib.sha256(edited.encode()).hexdigest(), expected(text), expected(edited)] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got) == want
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        own, other, following = expected(text), expected(edited), expected(nxt)
+        want[i, n, hashlib.sha256(edited.encode()).hexdigest(), own[0], other[0], round(like(own, other), 9), round(like(own, following), 9)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
     assert fingerprints.fingerprint_edits(empty(docs)).count() == 0
 
 
+def test_likeness_of_fingerprints_has_a_small_error(spark):
+    words = [[f"w{k}x{i}" for i in range(200)] for k in range(120)]
+    kept = [i % 9 / 8 for i in range(120)]
+    rows = [(k, side, " ".join(w if side == 0 else w[: int(200 * kept[k])] + [f"{x}y" for x in w[int(200 * kept[k]) :]])) for k, w in enumerate(words) for side in (0, 1)]
+    f = fingerprints.fingerprint(spark.createDataFrame(rows, "k int, side int, text string"), ["k", "side"])
+    both = f.where("side = 0").alias("a").join(f.where("side = 1").alias("b"), "k")
+    got = both.select("k", fingerprints.likeness(F.col("a.content"), F.col("b.content"), F.col("a.identity"), F.col("b.identity")).alias("like")).collect()
+    errors = [r["like"] - kept[r["k"]] for r in got if 0.1 < kept[r["k"]] < 1]
+    assert len(errors) > 90 and math.sqrt(sum(e * e for e in errors) / len(errors)) < 1 / 14
+    assert all(r["like"] == 1 for r in got if kept[r["k"]] == 1) and max(r["like"] for r in got if kept[r["k"]] == 0) < 0.25
+
+
 def test_fingerprint_is_a_multiset_hash(spark):
     df = spark.createDataFrame([(1, "a b\nc d\ne"), (2, "e\na b\nc d"), (3, "a b\nc d"), (4, "e"), (5, "a b\nc d\nf")], "k int, text string")
     f = {r["k"]: r for r in fingerprints.fingerprint(df, ["k"]).collect()}
