@@ -70,6 +70,16 @@ def content_lanes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return found.select(*keys, F.concat(*(F.coalesce(F.try_element_at("_fp_m", F.lit(p)), none) for p in range(PARTS))).alias("lanes"))
 
 
+def narrowed(lanes: Column) -> Column:
+    """Lanes in two bytes each where all fit, which they do in all but very long texts, for the way through a shuffle."""
+    fits = F.array_max(lanes) < 1 << 15
+    return F.struct(F.when(fits, F.transform(lanes, lambda v: v.cast("smallint"))).alias("small"), F.when(~fits, lanes).alias("wide"))
+
+
+def widened(narrow: Column) -> Column:
+    return F.coalesce(F.transform(narrow["small"], lambda v: v.cast("bigint")), narrow["wide"])
+
+
 def to_text(identity: Column, content: Column) -> Column:
     """The fingerprint as lowercase hex, eight digits a lane."""
     return F.lower(F.array_join(F.transform(F.concat(identity, content), lambda x: F.lpad(F.hex(x), 8, "0")), ""))
@@ -160,10 +170,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     rows = rows.select("bucket", "rn", "id", "last", "text", "next_text", n.cast("bigint").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
     sides = rows.select("bucket", "rn", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")), F.struct(F.lit(2).alias("side"), F.when(F.col("last"), F.col("next_text")).alias("t")))).alias("s")).select("bucket", "rn", "s.side", "s.t").where("t is not null")
     lanes = content_lanes(sides, ["bucket", "rn", "side"], "t")
-    lanes = lanes.groupBy("bucket", "rn").agg(*(F.first(F.when(F.col("side") == i, F.col("lanes")), ignorenulls=True).alias(c) for i, c in enumerate(("c", "ec", "nc"))))
+    lanes = lanes.groupBy("bucket", "rn").agg(*(F.first(F.when(F.col("side") == i, narrowed(F.col("lanes"))), ignorenulls=True).alias(c) for i, c in enumerate(("c", "ec", "nc"))))
     whole = rows.select("bucket", "rn", "id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), identity_lanes(F.col("text")).alias("i"), identity_lanes(F.col("edited")).alias("ei"), F.when(F.col("last"), identity_lanes(F.col("next_text"))).alias("ni"))
     w = Window.partitionBy("bucket").orderBy("rn")
-    out = whole.join(lanes, ["bucket", "rn"])
+    out = whole.join(lanes, ["bucket", "rn"]).withColumns({c: widened(F.col(c)) for c in ("c", "ec", "nc")})
     out = out.withColumn("nc", F.coalesce("nc", F.lead("c").over(w))).withColumn("ni", F.coalesce("ni", F.lead("i").over(w)))
     col = F.col
     return out.select(
