@@ -71,13 +71,14 @@ def content_lanes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def narrowed(lanes: Column) -> Column:
-    """Lanes in two bytes each where all fit, which they do in all but very long texts, for the way through a shuffle."""
-    fits = F.array_max(lanes) < 1 << 15
-    return F.struct(F.when(fits, F.transform(lanes, lambda v: v.cast("smallint"))).alias("small"), F.when(~fits, lanes).alias("wide"))
+    """Lanes in one byte each where all fit, else in two, else as they are, for the way through a shuffle."""
+    most = F.array_max(lanes)
+    cast = lambda kind: F.transform(lanes, lambda v: v.cast(kind))
+    return F.struct(F.when(most < 1 << 7, cast("tinyint")).alias("tiny"), F.when((most >= 1 << 7) & (most < 1 << 15), cast("smallint")).alias("small"), F.when(most >= 1 << 15, lanes).alias("wide"))
 
 
 def widened(narrow: Column) -> Column:
-    return F.coalesce(F.transform(narrow["small"], lambda v: v.cast("bigint")), narrow["wide"])
+    return F.coalesce(*(F.transform(narrow[k], lambda v: v.cast("bigint")) for k in ("tiny", "small")), narrow["wide"])
 
 
 def to_text(identity: Column, content: Column) -> Column:
