@@ -4,8 +4,11 @@ import os
 from datetime import datetime, timedelta
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
+from barsmith.operators import metrics
+from barsmith.plans import oracle
 from tests.test_queries import plain
 
 
@@ -19,3 +22,19 @@ def test_change_that_rounds_to_zero_has_no_sign(spark, tmp_path):
     got = [(r["time"], r["change"]) for r in entry.queries()["display_texts"](spark, str(tmp_path)).orderBy("time").collect()]
     assert sql == got
     assert [c for _, c in got][:3] == ["0.00%", "0.00%", "0.00%"] and got[4][1] == "-0.10%"
+
+
+@pytest.mark.parametrize("net", [[-10.0, -5.0, -20.0], [], [5.0, 7.0], [0.0, 0.0], [0.0, -4.0], [10.0, -5.0, 0.0]])
+def test_summary_without_gains_losses_or_trades(spark, net):
+    shape = "symbol string, end_index bigint, entry_time bigint, exit_time bigint, gross_return double, net_return double, exit_reason string, holding_bars bigint, same_bar_ambiguity boolean, skip_reason string"
+    rows = [("click", k, k, k + 1, x + 1, x, "timeout", 3, False, None) for k, x in enumerate(net)]
+    rows.append(("click", len(net), 0, None, None, None, None, None, None, "overlap"))
+    types = shape.replace("string", "varchar").split(", ")
+    each = ", ".join(f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in types)
+    values = ", ".join("(" + ", ".join("null" if v is None else repr(v) for v in r) + ")" for r in rows)
+    want = duckdb.sql(oracle.summary(f"with tf as (select {each} from (values {values}) t({', '.join(c.split()[0] for c in types)}))"))
+    done = spark.createDataFrame(rows[:-1], shape).selectExpr("*", "end_index + 1 as trade_number")
+    got = metrics.summary(done)
+    assert want.columns == got.columns
+    assert [plain(v) for v in want.fetchall()[0]] == [plain(v) for v in got.first()]
+    assert got.first()["profit_factor"] == (None if not [x for x in net if x < 0] else {3: 0.0, 2: 0.0}[len(net)] if max(net) <= 0 else 2.0)
