@@ -39,10 +39,12 @@ from barsmith.llm.common import partitions, table, written
 from barsmith.llm.components import components
 from barsmith.llm.dealing import meetings
 from barsmith.llm.shingles import hashes, majority
+from barsmith.llm.trie import settle as _settle
+from barsmith.llm.trie import trie_join
 
 BUDGET = 4
-#: Most fingerprints of one block value in a chunk, and most pairs of leaves compared at once.
-CHUNK, LEAF_PAIRS, FRONTIER = 2048, 64, 200_000
+#: Most fingerprints of one block value in a chunk.
+CHUNK = 2048
 
 
 def simhash(text: str | None, width: int) -> int:
@@ -67,73 +69,6 @@ def blocks(budget: int, bits: int = 64) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the classes of a[i] and b[i] in place; a label is the smallest index of its class."""
-    while True:
-        x, y = label[a], label[b]
-        if not (open_ := x != y).any():
-            return
-        x, y = x[open_], y[open_]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(jump := label[label], label):
-            label[:] = jump
-
-
-def trie_join(values: np.ndarray, roots: list[tuple[int, int]], depth: int, budget: int, label: np.ndarray) -> None:
-    """Links values (uint64, sorted within each root's range, equal in the first ``depth`` bits) into ``label``.
-
-    A node is a range of values with a common prefix. A work item is a depth and arrays of node pairs
-    (lo, hi, lo, hi) with the number of bits in which their prefixes differ.
-    """
-    start = np.array(roots, np.int64).reshape(-1, 2)
-    work = [(depth, start[:, 0], start[:, 1], start[:, 0], start[:, 1], np.zeros(len(start), np.int64))]
-    ones: dict[int, np.ndarray] = {}
-    while work:
-        d, a, b, c, e, acc = work.pop()
-        if len(a) > FRONTIER:
-            work += [(d, a[i : i + FRONTIER], b[i : i + FRONTIER], c[i : i + FRONTIER], e[i : i + FRONTIER], acc[i : i + FRONTIER]) for i in range(0, len(a), FRONTIER)]
-            continue
-        # sorted by class, a range holds one class iff its ends agree in every change count
-        changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
-        one_class = (changes[a] == changes[b - 1]) & (changes[c] == changes[e - 1]) & (label[a] == label[c])
-        keep = ~one_class & ~((a == c) & (b - a < 2))
-        a, b, c, e, acc = a[keep], b[keep], c[keep], e[keep], acc[keep]
-        small = ((b - a) * (e - c) <= LEAF_PAIRS) | (d >= 64)
-        if small.any():
-            _leaves(values, a[small], b[small], c[small], e[small], budget, label)
-        a, b, c, e, acc = a[~small], b[~small], c[~small], e[~small], acc[~small]
-        if not len(a):
-            continue
-        if d not in ones:
-            ones[d] = np.concatenate(([0], np.cumsum((values >> np.uint64(63 - d)) & np.uint64(1)).astype(np.int64)))
-        up = ones[d]
-        m, n = b - (up[b] - up[a]), e - (up[e] - up[c])
-        same = a == c
-        other = ~same
-        children = [(a, m, c, n, acc, slice(None)), (m, b, n, e, acc, slice(None)), (a, m, n, e, acc + 1, slice(None)), (m, b, c, n, acc + 1, other)]
-        parts = []
-        for lo, hi, lo2, hi2, cost, which in children:
-            lo, hi, lo2, hi2, cost = lo[which], hi[which], lo2[which], hi2[which], cost[which]
-            ok = (hi > lo) & (hi2 > lo2) & (cost <= budget)
-            parts.append((lo[ok], hi[ok], lo2[ok], hi2[ok], cost[ok]))
-        work.append((d + 1, *(np.concatenate(x) for x in zip(*parts))))
-
-
-def _leaves(values, a, b, c, e, budget, label) -> None:
-    """Compares all values of one node with all of the other."""
-    per = (b - a) * (e - c)
-    step = max(1, FRONTIER * 5 // max(1, int(per.max())))
-    for i in range(0, len(a), step):
-        n = per[i : i + step]
-        pair = np.repeat(np.arange(i, i + len(n)), n)
-        k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
-        w = (e - c)[pair]
-        x, y = a[pair] + k // w, c[pair] + k % w
-        hit = (np.bitwise_count(values[x] ^ values[y]) <= budget) & (label[x] != label[y])
-        if hit.any():
-            _settle(label, x[hit], y[hit])
-
-
 def _on_top(blocks_: list[tuple[int, int]], value: Column, bits: int) -> list[Column]:
     """For each block of the lowest ``bits`` bits of a value, those bits turned so that the block comes first."""
     whole = (1 << bits) - 1
@@ -236,8 +171,8 @@ def bit_classes(docs: DataFrame, id_col: str, text: str, width: int, budget: int
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, budget: int = BUDGET, least: float | None = likeness.LEAST) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of ``docs``.
 
-    With ``least``, documents are linked by the Jaccard likeness of their shingles and not by ``budget`` bits:
-    see :mod:`barsmith.llm.likeness`, which says why. Two more columns then tell rows without an id apart:
+    With ``least``, documents are linked by the Jaccard likeness of their shingles: pairs that the tries of several
+    fingerprints find are compared exactly (see :mod:`barsmith.llm.likeness`), and ``budget`` is that module's. Two more columns then tell rows without an id apart:
     ``text_hash`` (XXH64) and ``class``, the same number for all of a class. Without ``least``, by the bits alone.
     """
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")

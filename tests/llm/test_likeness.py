@@ -83,3 +83,45 @@ def test_null_and_repeated_ids_stay(spark, data):
     mixed = corpus_pipeline.mix_sources(spark, kept, data)
     got = [(r["doc_id"], r["h"]) for r in mixed.withColumn("h", F.xxhash64("text")).collect()]
     assert mixed.columns == df.columns and sorted(got, key=str) == sorted(plan, key=str) and {i for i, _ in got} >= {None, 7}
+
+
+def slow_print(found, which, tries):
+    factor, term = (x[which, 0] for x in likeness._orders(tries))
+    bits = []
+    for h in found:
+        x = (int(factor) * int(h) + int(term)) % 2**64
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
+        bits.append(x ^ x >> 32)
+    return sum(1 << k for k in range(64) if 2 * sum(b >> k & 1 for b in bits) > len(bits))
+
+
+def test_candidates_are_pairs_that_a_trie_holds_near(spark, monkeypatch):
+    """Every pair within the budget below one node is joined, and nothing but such pairs, by brute force; nodes dealt in chunks too."""
+    rng = np.random.default_rng(8)
+    top, tries, sets = 2, 3, []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)
+        sets += [base, np.concatenate((base[: -(len(base) // 7) or None], rng.integers(0, 1 << 63, len(base) // 9, dtype=np.uint64)))]
+    prints = np.array([likeness.fingerprints(s, tries) for s in sets])
+    assert prints[:9].tolist() == [[slow_print(s, k, tries) for k in range(tries)] for s in sets[:9]]
+    label = np.arange(len(sets))
+    for k in range(tries):
+        one, two = prints[:, k], prints[:, (k + 1) % tries]
+        apart = np.bitwise_count(one[:, None] ^ one).astype(int)
+        near = (apart <= likeness.BUDGET) & (apart + np.bitwise_count(two[:, None] ^ two) <= likeness.WHOLE) & (one[:, None] >> np.uint64(64 - top) == one >> np.uint64(64 - top))
+        likeness.settle(label, *np.nonzero(near))
+    df = spark.createDataFrame([(i, p.view(np.int64).tolist()) for i, p in enumerate(prints)], "node bigint, prints array<bigint>")
+    for most in (2048, 8):
+        monkeypatch.setattr(likeness, "MEET", most)
+        root = {r["node"]: r["root"] for r in likeness.components(likeness.trie_links(df, top, tries)).collect()}
+        got = [root.get(i, i) for i in range(len(sets))]
+        assert len(set(zip(got, label.tolist()))) == len(set(got)) == len(set(label.tolist())) < 90
+
+
+def test_tries_miss_few_pairs():
+    for rows in (0, 500, 10**4, 10**6, 10**8):
+        top, tries = likeness.tries_for(rows)
+        differ = np.arccos(1.6 / 1.8) / np.pi
+        rng = np.random.default_rng(2)
+        found = np.mean(rng.binomial(64 - top, differ, 100_000) <= likeness.BUDGET) * (1 - differ) ** top
+        assert (1 - found) ** tries < 1.2e-4 and (rows / 2**top <= likeness.NODE or top == likeness.TOP)
